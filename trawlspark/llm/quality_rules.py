@@ -29,10 +29,10 @@ MIN_GROUP = 200
 FENCE = 3.0
 #: ratio: (numerator, factor, denominator, slack in steps, whether a low value is rejected too)
 RATIOS = {
-    "word_length": ("word_chars", 100, "n_words", 60, True),
-    "symbols": ("n_symbols", 1000, "word_chars", 20, False),
-    "shouted": ("n_shouted", 1000, "word_chars", 60, False),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 150, False),
+    "word_length": ("word_chars", 100, "n_words", 250, True),
+    "symbols": ("n_symbols", 1000, "word_chars", 50, False),
+    "shouted": ("n_shouted", 1000, "word_chars", 200, False),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", 350, False),
     "repeats": ("n_repeat_words", 1000, "n_words", 100, False),
 }
 SYMBOLS = "#*$%&|<>"
