@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, minhash_dedup, quality_rules, substring_dedup
+from . import chat_format, decontaminate, line_dedup, minhash_dedup, quality_rules, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(planted))).drop("identical")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate)}
 SQL: dict[str, str] = {}
