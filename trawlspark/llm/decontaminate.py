@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from . import arrowtext as T
 from .common import materialize, with_texts
 
@@ -206,7 +207,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = []
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()  # about ITEM_BYTES of text
-        parts.append(texts.mapInArrow(_matcher([r[0] for r in block], [r[1] for r in block]), "doc_id long, item_id long, start long, similarity double"))
+        parts.append(map_arrow(texts, _matcher([r[0] for r in block], [r[1] for r in block]), "doc_id long, item_id long, start long, similarity double"))
     if not parts:
         return texts.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, similarity double")
     return reduce(DataFrame.unionByName, parts)

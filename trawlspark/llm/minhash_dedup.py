@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from . import arrowtext as T
 from .common import materialize, select_ids, with_texts
 from .components import components
@@ -95,7 +96,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (which tell equal sets), bands (array of long)."""
-    return with_texts(documents).mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return map_arrow(with_texts(documents), _signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     j = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    return j.select("a", "b", "text", "other").mapInArrow(_confirm, "a long, b long")
+    return map_arrow(j.select("a", "b", "text", "other"), _confirm, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

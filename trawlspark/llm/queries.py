@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, minhash_dedup, quality_rules, substring_dedup
+from . import bpe, chat_format, decontaminate, line_dedup, minhash_dedup, quality_rules, substring_dedup
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +47,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate, op9_bpe)}
 SQL: dict[str, str] = {}

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from . import arrowtext as T
 from .common import BROADCAST_IDS, materialize, select_ids, with_texts
 
@@ -107,7 +108,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_places(places: DataFrame) -> DataFrame:
     """(doc_id, at) of the places whose hash occurs at another place too."""
-    return places.repartition("hash", F.when(F.col("hash").isNull(), F.col("doc_id"))).sortWithinPartitions("hash").mapInArrow(_repeated, "doc_id long, at int")
+    return map_arrow(places.repartition("hash", F.when(F.col("hash").isNull(), F.col("doc_id"))).sortWithinPartitions("hash"), _repeated, "doc_id long, at int")
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +167,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words left, joined by one space), kept_sha256."""
     texts = with_texts(documents)
-    anchors = repeated_places(texts.mapInArrow(_anchors, PLACES))
+    anchors = repeated_places(map_arrow(texts, _anchors, PLACES))
     anchors = materialize(anchors.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "anchors")
-    windows = repeated_places(_joined(texts, anchors).mapInArrow(_windows, PLACES))
+    windows = repeated_places(map_arrow(_joined(texts, anchors), _windows, PLACES))
     windows = materialize(windows.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "windows")
     n = windows.count()
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     if n > BROADCAST_IDS:
-        return texts.join(windows, "doc_id", "left").mapInArrow(_cut, schema)
+        return map_arrow(texts.join(windows, "doc_id", "left"), _cut, schema)
     ids = windows.select("doc_id")
     clean = select_ids(texts, ids, "doc_id", "left_anti", n).withColumn("ats", F.lit(None).cast("array<int>"))
-    return _joined(texts, windows).unionByName(clean).mapInArrow(_cut, schema)
+    return map_arrow(_joined(texts, windows).unionByName(clean), _cut, schema)
 
 
 def _joined(texts: DataFrame, lists: DataFrame) -> DataFrame:
