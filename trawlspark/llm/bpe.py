@@ -39,6 +39,9 @@ HOT_WORDS = 1_000_000
 OTHER, LETTER, NUMBER, BLANK, ADDED = range(5)
 #: Code points that \\s matches (fixed values: the White_Space property).
 BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+#: Letters and numbers of Unicode 16 (fixed values: the tokenizer knows them, Python's older database doesn't).
+NEW_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 _MULTIPLY = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -47,8 +50,9 @@ def classes() -> np.ndarray:
     """The class of every code point, from the Unicode database's general categories."""
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    for a, b in BLANK_RANGES:
-        table[a : b + 1] = BLANK
+    for kind, ranges in ((BLANK, BLANK_RANGES), (LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for a, b in ranges:
+            table[a : b + 1] = kind
     return table
 
 
