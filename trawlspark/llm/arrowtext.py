@@ -103,9 +103,10 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, columns:
             i = j
 
 
-def split_words(column: pa.Array) -> Words:
+def split_words(column: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """The words of a text column; between: for each byte value, whether it stands between words."""
     data, offsets = buffers(column)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True  # a document's end ends its last word
     before = np.zeros(len(data), bool)

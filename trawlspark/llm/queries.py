@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, line_dedup, minhash_dedup, pii, quality_rules, substring_dedup
+from . import bpe, chat_format, decontaminate, line_dedup, minhash_dedup, pii, quality_model, quality_rules, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(_documents(spark, sf_dir)).select("doc_id", "n_found", "text")
 
@@ -55,5 +59,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_pii, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate, op9_bpe)}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.grade_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_pii, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate, op9_bpe, op10_quality_model)}
 SQL: dict[str, str] = {}
