@@ -1,8 +1,69 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: raw documents to token ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
+but the last return the columns of documents; the last one returns doc_id, n_tokens, ids
+(binary, 4-byte unsigned little-endian integers), ids_sha256 and decoded_sha256.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawlspark.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
+from trawlspark.llm.common import materialize, select_ids
+from trawlspark.llm.queries import tokenizer_path
+
+
+def _without_rejected(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    rejected = materialize(decided.filter(~F.col("kept")).select("doc_id"), "rejected")
+    return select_ids(docs, rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _without_rejected(docs, quality_rules.quality_rules(docs))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    own = {c: F.col(c) for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*(c.alias(k) for k, c in own.items()))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the smallest doc_id stays."""
+    return _without_rejected(docs, minhash_dedup.near_duplicates(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without_rejected(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, decoded again for the round trip."""
+    out = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("line dedup", drop_boilerplate),
+    ("near dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: BPE merges can't be expressed in SQL; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
