@@ -11,9 +11,14 @@ of the 32 bands with probability (1 - 0.75**4)**32 = 5e-6.
 Documents with equal sets (told by two 64-bit sums over the set and its size) are
 one class; only its smallest doc_id is banded. A bucket is never expanded into
 all pairs: each member is compared with the bucket's leader, which joins whole
-groups in one round. Pairs are compared in later rounds only where they would
-join different components: first with each bucket's other leaders, then, for
-what few are left, all pairs of members of different components.
+groups in one round, and then with other leaders where that would join different
+components. What is left are buckets with members of different components. Those of
+at most SMALL members are compared pair by pair. In larger ones, and in blocks of at
+most BLOCK members a task, signatures tell which members may have a partner in another
+component (at least PLAUSIBLE of 2 * PERMUTATIONS values agree: a pair at 0.75 falls
+short by five standard deviations), and those are compared on their full sets, in
+blocks again: a task gets two blocks and returns the links it needs to join them, not
+their pairs. Blocks within one large component don't meet.
 
 Defined results: a document without words has an empty set (n_shingles 0), is its
 own component and is kept; rows with the same doc_id are expected not to occur
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, ship
 from . import arrowtext as T
 from .common import materialize, select_ids, with_texts
 from .components import components
@@ -38,8 +43,10 @@ from .components import components
 WORDS = 5
 PERMUTATIONS = 64
 THRESHOLD = (75, 100)
-#: Rounds in which each bucket's members meet one leader; later all remaining pairs between components.
-LEADER_ROUNDS = 3
+#: Rounds in which each bucket's members meet one leader.
+LEADER_ROUNDS = 2
+SMALL, BLOCK = 32, 256
+PLAUSIBLE = 71
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,14 +96,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.array([len(s) for s in distinct], np.int64)
         one = np.array([s.sum(dtype=np.uint64) for s in distinct], np.uint64)
         two = np.array([T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in distinct], np.uint64)
-        keys = bands(min_max(hashes, first))
+        signature = min_max(hashes, first)
+        keys = bands(signature)
         lists = T.ragged(T.long_column(keys.ravel()), np.where(full, keys.shape[1], 0))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), T.long_column(one), T.long_column(two), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+        low = np.zeros((batch.num_rows, 2 * PERMUTATIONS), np.uint8)
+        low[full] = (signature & 0xFF).astype(np.uint8)
+        sketches = pa.array([x.tobytes() for x in low], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), T.long_column(one), T.long_column(two), lists, sketches], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (which tell equal sets), bands (array of long)."""
-    return map_arrow(with_texts(documents), _signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    """doc_id, n_shingles, f1, f2 (which tell equal sets), bands (array of long), sketch (the last byte of each signature value)."""
+    return map_arrow(with_texts(documents), _signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +133,124 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(j.select("a", "b", "text", "other"), _confirm, "a long, b long")
 
 
+def _joined(edges: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with more of them, and the components of all."""
+    more = materialize(more, "links")
+    if more.isEmpty():
+        return edges, found
+    edges = materialize(edges.unionByName(more), "links")
+    return edges, components(edges)
+
+
+def _labelled(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """ids with c, their component so far."""
+    return ids.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _open_buckets(met: DataFrame, found: DataFrame, r: int) -> DataFrame:
+    """band, id, c of the buckets with more than one component, with n (members), li and lc: the leader of round r and its component."""
+    now = _labelled(met.select("band", "id"), found)
+    order = F.col("id") if r == 0 else F.xxhash64(F.lit(r), F.col("id"))  # another member each time
+    leader = F.min(F.struct(order.alias("o"), F.col("id").alias("i"), F.col("c").alias("c"))).alias("l")
+    mixed = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), leader).filter("low < high")
+    return materialize(now.join(mixed.select("band", "n", F.col("l.i").alias("li"), F.col("l.c").alias("lc")), "band"), "open")
+
+
+def _small_pairs(open_: DataFrame) -> DataFrame:
+    """The pairs between components in buckets of at most SMALL members."""
+    few = open_.filter(F.col("n") <= SMALL)
+    other = few.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
+    return few.join(other, "band").filter("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """From a symmetric matrix: for each connected part, its first member with each other one."""
+    left, out = linked.any(axis=1), []
+    while left.any():
+        root = int(left.argmax())
+        seen = np.zeros(len(linked), bool)
+        new = np.zeros(len(linked), bool)
+        new[root] = True
+        while new.any():
+            seen |= new
+            new = linked[new].any(axis=0) & ~seen
+        left &= ~seen
+        out += [(root, int(k)) for k in np.flatnonzero(seen) if k != root]
+    return out
+
+
+def _plausible_block(table: pa.Table) -> pa.Table:
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+    agree = np.stack([(sketch == row).sum(axis=1) for row in sketch])
+    tree = _forest((agree >= PLAUSIBLE) & (c[:, None] != c[None, :]))
+    return pa.table({"a": pa.array([ids[i] for i, _ in tree], pa.int64()), "b": pa.array([ids[j] for _, j in tree], pa.int64())})
+
+
+def _plausible(open_: DataFrame, sig: DataFrame) -> DataFrame:
+    """(id, g): members of large buckets that may have a partner in another component, with the group that holds all of these partners."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = open_.select("band", "id", "c", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("q"))
+    rows = rows.select("band", "id", "c", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    rows = rows.join(sig.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    ship(open_.sparkSession)
+    edges = rows.groupBy("band", "p", "q").applyInArrow(_plausible_block, "a long, b long")
+    return components(edges).select("id", F.col("component").alias("g"))
+
+
+def _linked_block(table: pa.Table) -> pa.Table:
+    part, whole = THRESHOLD
+    own = sets(*shingle_hashes(table.column("text")))
+    ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+    n, size = len(own), np.array([len(s) for s in own])
+    _, column = np.unique(np.concatenate(own), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    order = np.argsort(column, kind="stable")
+    holders, start = row[order], np.concatenate([[0], np.cumsum(np.bincount(column))])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    linked = np.zeros((n, n), bool)
+    for i in range(n):
+        mine = column[edge[i] : edge[i + 1]]
+        shared = np.bincount(holders[T.ranges(start[mine], start[mine + 1] - start[mine])], minlength=n)
+        linked[i] = whole * shared >= part * (size[i] + size - shared)
+    linked &= c[:, None] != c[None, :]
+    a, b = np.nonzero(np.triu(linked))
+    # Links that join no further components are left out.
+    parent = {int(x): int(x) for x in c}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(int(c[i])), top(int(c[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+
+def _block_links(plausible: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of each group, found block by block."""
+    rows = _labelled(plausible, found)
+    sizes = rows.groupBy("g", "c").agg(F.count("*").alias("n"))
+    # A component of more than one block has blocks of its own; the others share blocks.
+    unit = F.when(F.col("n") > BLOCK, F.col("c")).otherwise(F.lit(None).cast("long"))
+    rows = materialize(rows.join(sizes, ["g", "c"]).select("id", "g", "c", unit.alias("u")), "blocked")
+    units = rows.groupBy("g", "u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    rows = rows.join(units.withColumnsRenamed({"g": "g_", "u": "u_"}), (F.col("g") == F.col("g_")) & F.col("u").eqNullSafe(F.col("u_"))).select("id", "g", "c", F.struct("u", F.pmod(F.xxhash64("id"), "k").cast("int").alias("x")).alias("block"))
+    blocks = units.select("g", "u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x")).select("g", F.struct("u", "x").alias("block"))
+    # Pairs of blocks, not of documents; two blocks of one large component don't meet, nor does such a block meet itself.
+    meet = blocks.withColumnRenamed("block", "p").join(blocks.withColumnRenamed("block", "q"), "g").filter("p <= q and not (p.u is not null and p.u <=> q.u)")
+    sides = meet.select("g", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    each = rows.join(sides.withColumnsRenamed({"g": "g_", "block": "block_"}), (F.col("g") == F.col("g_")) & F.col("block").eqNullSafe(F.col("block_"))).select("g", "p", "q", "id", "c")
+    each = each.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return each.groupBy("g", "p", "q").applyInArrow(_linked_block, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     sig = materialize(signatures(documents), "signatures")
@@ -140,24 +269,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pairs = met.filter("id > first").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a"))
     edges = materialize(confirm(pairs.select("a", "b"), texts), "links")
     found = components(edges)
-    for r in range(LEADER_ROUNDS + 1):
-        label = F.coalesce(F.col("component"), F.col("id"))
-        now = met.select("band", "id").join(found, "id", "left").select("band", "id", label.alias("c"))
-        # A round's leader is another member each time, by a keyed order of the ids.
-        rank = F.struct(F.xxhash64(F.lit(r), F.col("id")).alias("o"), F.col("id").alias("i"), F.col("c").alias("c"))
-        mixed = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), (F.min(F.struct(F.lit(0).cast("long").alias("o"), F.col("id").alias("i"), F.col("c").alias("c"))) if r == 0 else F.min(rank)).alias("l")).filter("low < high").select("band", F.col("l.i").alias("li"), F.col("l.c").alias("lc"))
-        open_ = materialize(now.join(mixed, "band"), "open")
-        if open_.isEmpty():
-            break
-        if r < LEADER_ROUNDS:
-            pairs = open_.filter("c != lc").select(F.least("id", "li").alias("a"), F.greatest("id", "li").alias("b")).distinct()
-        else:
-            other = open_.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = open_.join(other, "band").filter("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        new = materialize(confirm(pairs, texts), "links")
-        if not new.isEmpty():
-            edges = materialize(edges.unionByName(new), "links")
-            found = components(edges)
+    for r in range(LEADER_ROUNDS):
+        open_ = _open_buckets(met, found, r)
+        pairs = open_.filter("c != lc").select(F.least("id", "li").alias("a"), F.greatest("id", "li").alias("b")).distinct()
+        edges, found = _joined(edges, found, confirm(pairs, texts))
+    open_ = _open_buckets(met, found, LEADER_ROUNDS)
+    edges, found = _joined(edges, found, confirm(_small_pairs(open_), texts))
+    open_ = _open_buckets(met, found, LEADER_ROUNDS).filter(F.col("n") > SMALL)
+    if not open_.isEmpty():
+        plausible = materialize(_plausible(open_, sig), "plausible")
+        if not plausible.isEmpty():
+            edges, found = _joined(edges, found, _block_links(plausible, found, texts))
 
     named = sig.join(classes, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("id"))
     out = named.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
