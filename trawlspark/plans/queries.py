@@ -267,7 +267,10 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ID = "CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT)"
-_id = F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id")
+def _page_id() -> Column:
+    return F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id")
+
+
 _TITLE = "regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)"
 
 
@@ -281,16 +284,16 @@ def _plain(name: str, query: Query, sql: str | None = None) -> None:
     _add(name, query, sql, model=False)
 
 
-_plain("extract_title", lambda s, d: _records(s, d).select(_id, "title", "title_count"), f"SELECT page_id, {_decoded(_TITLE)} AS title, CAST(len(regexp_extract_all(html, '<title')) AS INTEGER) AS title_count FROM pages")
+_plain("extract_title", lambda s, d: _records(s, d).select(_page_id(), "title", "title_count"), f"SELECT page_id, {_decoded(_TITLE)} AS title, CAST(len(regexp_extract_all(html, '<title')) AS INTEGER) AS title_count FROM pages")
 _H = "regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)"
-_plain("extract_h1", lambda s, d: _records(s, d).select(_id, F.get("h1", F.lit(0)).alias("h1"), F.size("h1").alias("n_h1")), f"SELECT page_id, {_decoded(_H)} AS h1, CAST(len(regexp_extract_all(html, '<h1')) AS INTEGER) AS n_h1 FROM pages")
+_plain("extract_h1", lambda s, d: _records(s, d).select(_page_id(), F.get("h1", F.lit(0)).alias("h1"), F.size("h1").alias("n_h1")), f"SELECT page_id, {_decoded(_H)} AS h1, CAST(len(regexp_extract_all(html, '<h1')) AS INTEGER) AS n_h1 FROM pages")
 _LINKS = "SELECT page_id, html, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>')))) AS k FROM pages"
-_plain("extract_links", lambda s, d: extraction.outlinks(_records(s, d)).select(_id, "k", "href", "text", "nofollow"), f"SELECT page_id, CAST(k AS INTEGER) AS k, href, {_decoded('text')} AS text, false AS nofollow FROM ({_LINKS})")
-_plain("extract_link_counts", lambda s, d: _records(s, d).select(_id, F.size("links").alias("n_links"), F.size("images").alias("n_images")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<img')) AS INTEGER) AS n_images FROM pages")
+_plain("extract_links", lambda s, d: extraction.outlinks(_records(s, d)).select(_page_id(), "k", "href", "text", "nofollow"), f"SELECT page_id, CAST(k AS INTEGER) AS k, href, {_decoded('text')} AS text, false AS nofollow FROM ({_LINKS})")
+_plain("extract_link_counts", lambda s, d: _records(s, d).select(_page_id(), F.size("links").alias("n_links"), F.size("images").alias("n_images")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<img')) AS INTEGER) AS n_images FROM pages")
 _BODY = "regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)</body>.*$', ''), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-_plain("extract_word_count", lambda s, d: _records(s, d).select(_id, "word_count"), f"SELECT page_id, CAST(len(list_filter(regexp_split_to_array({_BODY}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')) AS INTEGER) AS word_count FROM pages")
-_plain("extract_records", lambda s, d: _records(s, d).select(_id, "size", "kind", "content_type_mismatch", "meta_description", "canonical_url", "noindex"), "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, 'html' AS kind, false AS content_type_mismatch, CAST(NULL AS VARCHAR) AS meta_description, CAST(NULL AS VARCHAR) AS canonical_url, false AS noindex FROM pages")
-_plain("body_hash", lambda s, d: _records(s, d).select(_id, "body_hash"))
+_plain("extract_word_count", lambda s, d: _records(s, d).select(_page_id(), "word_count"), f"SELECT page_id, CAST(len(list_filter(regexp_split_to_array({_BODY}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')) AS INTEGER) AS word_count FROM pages")
+_plain("extract_records", lambda s, d: _records(s, d).select(_page_id(), "size", "kind", "content_type_mismatch", "meta_description", "canonical_url", "noindex"), "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, 'html' AS kind, false AS content_type_mismatch, CAST(NULL AS VARCHAR) AS meta_description, CAST(NULL AS VARCHAR) AS canonical_url, false AS noindex FROM pages")
+_plain("body_hash", lambda s, d: _records(s, d).select(_page_id(), "body_hash"))
 
 
 def body_hash_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -309,8 +312,7 @@ _plain("url_host", lambda s, d: _raw(s, d).groupBy(base_host(host(c("url"))).ali
 
 
 def _locality(subdomains: bool) -> Query:
-    seed: Column = F.lit("https://ththre.example.com/")
-    return lambda spark, d: _raw(spark, d).select("page_id", is_internal(c("url"), seed, subdomains).alias("internal"))
+    return lambda spark, d: _raw(spark, d).select("page_id", is_internal(c("url"), F.lit("https://ththre.example.com/"), subdomains).alias("internal"))
 
 
 _BARE = f"regexp_replace({_HOST}, '^www[.]', '')"
