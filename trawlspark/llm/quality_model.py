@@ -71,6 +71,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.cuts[None, :] - s[:, None], -40, 40)))
 
 
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """document, bucket, share of the document's words: one entry for each document and bucket, put together a slice at a time."""
+    parts, at = [], 0
+    for batch in T.slices([pa.record_batch([column], ["text"])]):
+        buckets, first = features(batch.column("text"))
+        n = np.diff(first)
+        doc = np.tile(np.repeat(np.arange(len(n)), n), len(buckets))
+        key, count = np.unique(doc * BUCKETS + buckets.ravel(), return_counts=True)
+        parts.append(((key // BUCKETS + at).astype(np.int32), (key % BUCKETS).astype(np.int32), (count / np.maximum(n, 1)[key // BUCKETS]).astype(np.float32)))
+        at += len(n)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def train(column: pa.Array, grade: np.ndarray, weight: np.ndarray, grades: int) -> Model:
     weights = np.zeros(BUCKETS)
     share = np.array([(weight * (grade <= k)).sum() for k in range(grades - 1)]) / max(weight.sum(), 1e-9)
@@ -84,17 +97,12 @@ def train(column: pa.Array, grade: np.ndarray, weight: np.ndarray, grades: int)
     model = Model(weights, cuts(theta))
     if len(set(grade.tolist())) < 2:
         return model
-    buckets, first = features(column)
-    n = np.diff(first)
-    doc = np.tile(np.repeat(np.arange(len(n)), n), len(buckets))
-    # One entry for each document and bucket.
-    key, count = np.unique(doc * BUCKETS + buckets.ravel(), return_counts=True)
-    doc, col = key // BUCKETS, key % BUCKETS
-    value = count / np.maximum(n, 1)[doc]
+    doc, col, value = _entries(column)
+    n = len(grade)
     w = weight / weight.sum()
     m1, m2, t1, t2 = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(theta)), np.zeros(len(theta))
     for step in range(1, STEPS + 1):
-        s = np.bincount(doc, value * weights[col], len(n))
+        s = np.bincount(doc, value * weights[col], n)
         edge = np.concatenate([[-np.inf], cuts(theta), [np.inf]])
         upper, lower = 1 / (1 + np.exp(-(edge[grade + 1] - s))), 1 / (1 + np.exp(-(edge[grade] - s)))
         # log(upper - lower): its slopes by the score and by the two cuts around the grade.
