@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids are broadcast only up to this many rows (two longs each in Spark's hashed relation: 16 MB); beyond it the join shuffles.
@@ -46,6 +46,26 @@ def select_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi",
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
 
 
+#: Keys from here on stand for rows without a doc_id; doc_ids are below.
+NO_ID = 1 << 62
+
+
+def key_of(doc_id: Column, text: Column) -> Column:
+    """doc_id, or for null a key from NO_ID on, made of the text: rows without doc_id keep their own decisions."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID)))
+
+
 def with_texts(documents: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and the columns named, by position of no other column: extra columns can't clash."""
-    return documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    """doc_id (a key, never null), text (never null) and the columns named, and no other column: extra columns can't clash."""
+    return documents.select(key_of(F.col("doc_id"), F.col("text")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+
+
+def restored(df: DataFrame, *columns: str) -> DataFrame:
+    """df with null again where the columns hold keys that stand for no doc_id."""
+    return df.withColumns({c: F.when(F.col(c) < NO_ID, F.col(c)) for c in columns or ("doc_id",)})
+
+
+def rows_without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """df's rows, with its columns as they are, whose key is not in keys (doc_id)."""
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key_of(F.col("doc_id"), F.col("text")).alias("doc_id"))
+    return select_ids(packed, keys, "doc_id", "left_anti").select("row.*")

@@ -20,7 +20,8 @@ The benchmark is a stated query set: it is read in blocks of about ITEM_BYTES of
 and each block meets all documents. A block is what a task holds of the benchmark.
 
 Defined results: null and empty texts match nothing, neither as items nor as
-documents; repeated items all match; extra columns are ignored; an empty benchmark
+documents; repeated items all match; doc_id and item_id are keys, and null ones are told
+apart by their texts (see common.key_of); extra columns are ignored; an empty benchmark
 keeps all documents; an empty table gives no rows.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import arrowtext as T
-from .common import materialize, with_texts
+from .common import key_of, materialize, with_texts
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -201,7 +202,7 @@ def _matcher(ids: list[int], texts: list[str]) -> Callable[[Iterator[pa.RecordBa
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, similarity): the best window of each document that holds an item."""
     texts = with_texts(documents)
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    items = benchmark.select(key_of(F.col("item_id"), F.col("text")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // ITEM_BYTES)
     parts = []
@@ -217,5 +218,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, items (sorted array of item_id), similarity (the greatest; 0 without a match), kept."""
     found = materialize(matches(documents, benchmark), "matches")
     by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
-    j = documents.select("doc_id").join(by_doc, "doc_id", "left")
+    j = with_texts(documents).select("doc_id").join(by_doc, "doc_id", "left")
     return j.select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("items").isNull().alias("kept"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize
+from .common import BLANKS, key_of, materialize
 
 MIN_SITES = 10
 LG_K = 11
@@ -36,10 +36,11 @@ def split_lines(text: Column) -> Column:
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """(doc_id, site, version, at, h1, h2): a row for every line with a word."""
-    d = documents.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.xxhash64("text").alias("version"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    d = d.select("doc_id", "site", "version", "at", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
-    return d.select("doc_id", "site", "version", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    """(key, site, version, at, h1, h2): a row for every line with a word."""
+    key = key_of(F.col("doc_id"), F.col("text")).alias("key")
+    d = documents.select(key, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.xxhash64("text").alias("version"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
+    d = d.select("key", "site", "version", "at", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
+    return d.select("key", "site", "version", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -57,14 +58,20 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(exact.filter((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites)).select("h1", "h2"))
 
 
-def dedup_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """documents with text without boilerplate lines; two more columns: n_lines and n_removed (long)."""
+def cleaned(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """row (each document's columns), text (without boilerplate lines), n_lines, n_removed (long)."""
     lines = occurrences(documents)
     found = materialize(boilerplate(lines, min_sites), "boilerplate")
-    drop = lines.join(found, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("_drop")).withColumnRenamed("doc_id", "_id")
-    j = documents.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", split_lines(F.col("text")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    n_lines = F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    own = {c: F.col(c) for c in documents.columns} | {"text": text}
-    return j.select(*(c.alias(k) for k, c in own.items()), F.greatest(F.lit(0), n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    drop = lines.join(found, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("drop"))
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    j = packed.join(drop, "key", "left").withColumn("lines", split_lines(F.col("row.text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    n_lines = F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    return j.select("row", text.alias("text"), F.greatest(F.lit(0), n_lines).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("drop"), F.lit(0))).cast("long").alias("n_removed"))
+
+
+def dedup_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """documents with text cleaned, and n_lines and n_removed (in the place of columns that have these names)."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in ("text", "n_lines", "n_removed")]
+    return cleaned(documents, min_sites).select(*kept, "text", "n_lines", "n_removed")

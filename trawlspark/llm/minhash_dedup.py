@@ -21,9 +21,9 @@ blocks again: a task gets two blocks and returns the links it needs to join them
 their pairs. Blocks within one large component don't meet.
 
 Defined results: a document without words has an empty set (n_shingles 0), is its
-own component and is kept; rows with the same doc_id are expected not to occur
-(doc_id is the key) and come back once each; extra columns are ignored; an empty
-table gives no rows.
+own component and is kept; doc_id is the key: repeated rows come back as often as they
+are there, with one component, and null ones are told apart by their texts (see
+common.key_of); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -147,15 +147,16 @@ def pseudonym(s: Column, key: str = KEY) -> Column:
 
 
 def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """documents with text pseudonymised; one more column: n_found (long), the values replaced."""
-    own = {c: F.col(c) for c in documents.columns}
-    text = F.col("text")
+    """documents with text pseudonymised, and n_found (long), the values replaced (in the place of a column of that name)."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in ("text", "n_found")]
+    text = F.col("row.text")
     # Every kind has a digit or an at sign: a plain scan spares most texts the search.
     some = text.rlike("[0-9@]")
     none = F.array().cast("array<string>")
-    d = documents.withColumn("_found", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
-    d = d.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda s: pseudonym(s, key))).otherwise(none))
-    between = F.when(F.size("_found") > 0, F.split(text, ANY, -1))
-    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    n = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return d.select(*(c.alias(k) for k, c in (own | {"text": F.when(F.size("_found") > 0, joined).otherwise(text)}).items()), n.cast("long").alias("n_found"))
+    d = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    d = d.withColumn("found", F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
+    d = d.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda s: pseudonym(s, key))).otherwise(none))
+    between = F.when(F.size("found") > 0, F.split(text, ANY, -1))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    n = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    return d.select(*kept, F.when(F.size("found") > 0, joined).otherwise(text).alias("text"), n.cast("long").alias("n_found"))

@@ -118,6 +118,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = batch.column("ats")
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at, doc = at[at < words.counts[doc]], doc[at < words.counts[doc]]  # rows that share a doc_id but not a text
             n = words.counts - LENGTH + 1  # windows of each document
             # All windows that hold the anchor: their starts as steps up and down, counted along the slice.
             first = np.maximum(at - (PERIOD - 1), 0)
@@ -143,7 +144,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lists.null_count < len(lists):
             lists = lists.fill_null([])
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at = words.first[doc] + lists.flatten().to_numpy(zero_copy_only=False)
+            at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            inside = at + LENGTH <= words.counts[doc]  # rows that share a doc_id but not a text
+            at = (words.first[doc] + at)[inside]
             steps = np.zeros(total + 1, np.int32)
             np.add.at(steps, at, 1)
             np.add.at(steps, at + LENGTH, -1)
