@@ -11,26 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlspark.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
-from trawlspark.llm.common import materialize, select_ids
+from trawlspark.llm.common import key_of, materialize, restored, rows_without
 from trawlspark.llm.queries import tokenizer_path
 
 
 def _without_rejected(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    rejected = materialize(decided.filter(~F.col("kept")).select("doc_id"), "rejected")
-    return select_ids(docs, rejected, "doc_id", "left_anti").select(*docs.columns)
+    return rows_without(docs, materialize(decided.filter(~F.col("kept")).select("doc_id"), "rejected"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without_rejected(docs, quality_rules.quality_rules(docs))
+    keyed = docs.select(key_of(F.col("doc_id"), F.col("text")).alias("doc_id"), "text", "lang", "source")
+    return _without_rejected(docs, quality_rules.quality_rules(keyed))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    own = {c: F.col(c) for c in docs.columns}
+    out = line_dedup.cleaned(docs)
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in own:
-        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
     return out.select(*(c.alias(k) for k, c in own.items()))
 
 
@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, decoded again for the round trip."""
     out = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
-    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return restored(out).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
