@@ -14,7 +14,8 @@ The split follows this pattern (a fixed value of the tokenizer), alternatives in
 and added tokens such as <|endoftext|> are cut out of a text before it.
 
 Defined results: null and empty texts have no ids; invalid UTF-8 counts as U+FFFD;
-extra columns are ignored; an empty table gives no rows. Any length of text works; a
+doc_id is the key, and null ones are told apart by their texts (see common.key_of);
+repeated rows each come back; extra columns are ignored; an empty table gives no rows. Any length of text works; a
 text is worked on as a whole.
 """
 
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ from ..shipping import map_arrow
 from . import arrowtext as T
 from .common import materialize, with_texts
 
-#: Words whose ids are broadcast, at most: about 25 MB.
+#: Words whose ids are broadcast, at most: about 30 MB.
 HOT_WORDS = 1_000_000
+#: Text that is split at a time: every character takes some 60 bytes of arrays.
+SPLIT_BYTES = 1 << 20
 OTHER, LETTER, NUMBER, BLANK, ADDED = range(5)
 #: Code points that \\s matches (fixed values: the White_Space property).
 BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
@@ -56,6 +60,20 @@ def classes() -> np.ndarray:
     return table
 
 
+def _hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of code points."""
+    power, inverse = T._power(np.uint64(0x9E3779B97F4A7C15), len(c) + 1)
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _MULTIPLY * power[:-1], out=total[1:])
+    return T.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _hashes(c, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+
+
 class Split:
     """The words of a text column: text (all texts in one string), starts and ends in it, hashes, first (each document's first word)."""
 
@@ -98,10 +116,7 @@ class Split:
         self.starts = np.flatnonzero(begin)
         self.ends = np.append(self.starts[1:], n)[: len(self.starts)]
         self.first = np.searchsorted(self.starts, at)
-        power, inverse = T._power(np.uint64(0x9E3779B97F4A7C15), n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _MULTIPLY * power[:-1], out=total[1:])
-        self.hashes = T.mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = _hashes(c, self.starts, self.ends)
 
     @staticmethod
     def _contractions(c: np.ndarray, kind: np.ndarray, begin: np.ndarray, cut: np.ndarray) -> None:
@@ -156,22 +171,21 @@ def added_tokens(tokenizer: str) -> tuple[str, ...]:
 
 
 def distinct_words(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, hash, n): every distinct word of the texts and its number of occurrences."""
+    """(word, n): every distinct word of the texts and its number of occurrences."""
     added = added_tokens(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, SPLIT_BYTES):
             s = Split(batch.column("text"), added)
-            hashes, at, n = np.unique(s.hashes, return_index=True, return_counts=True)
+            _, at, n = np.unique(s.hashes, return_index=True, return_counts=True)
             words = [s.text[a:b] for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), T.long_column(hashes), pa.array(n.astype(np.int64))], ["word", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    found = map_arrow(with_texts(documents), count, "word string, hash long, n long")
-    return found.groupBy("word", "hash").agg(F.sum("n").alias("n"))
+    return map_arrow(with_texts(documents), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """words with ids (binary: unsigned integers, little-endian, as wide as the vocabulary needs)."""
+    """words with hash, and ids (binary: unsigned integers, little-endian, as wide as the vocabulary needs)."""
     shared = words.sparkSession.sparkContext.broadcast(tokenizer)  # as large as the vocabulary
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,25 +198,51 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         t.no_padding()
         t.no_truncation()
         for batch in batches:
-            ids = [np.array(e.ids, width).tobytes() for e in t.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield batch.append_column("ids", pa.array(ids, pa.binary()))
+            words = batch.column("word").to_pylist()
+            ids = [np.array(e.ids, width).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), T.long_column(word_hashes(words)), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
 
-    return map_arrow(words, encode, "word string, hash long, n long, ids binary")
+    return map_arrow(words, encode, "word string, n long, hash long, ids binary")
 
 
 class Hot:
-    """The broadcast part of the table: sorted hashes, and each one's ids."""
+    """The broadcast part of the table: sorted hashes, each one's ids, and every id's rank by its number of occurrences."""
 
-    def __init__(self, table: pa.Table, width: np.dtype):
+    def __init__(self, table: pa.Table, width: np.dtype, vocabulary: int):
         hashes = table.column("hash").to_numpy().view(np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         data, at = T.buffers(table.column("ids").cast(pa.large_binary()).combine_chunks())
         at = at // width.itemsize
-        ids = np.frombuffer(data.tobytes(), width)
-        self.sizes = np.diff(at)[order]
-        self.ids = ids[T.ranges(at[:-1][order], self.sizes)]
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        ids, sizes = np.frombuffer(data.tobytes(), width), np.diff(at)
+        seen = np.bincount(ids, np.repeat(table.column("n").to_numpy(), sizes), vocabulary)
+        self.by_rank = np.argsort(-seen, kind="stable").astype(np.uint32)
+        self.rank = np.empty(vocabulary, np.uint32)
+        self.rank[self.by_rank] = np.arange(vocabulary, dtype=np.uint32)
+        self.sizes = sizes[order].astype(np.int32)
+        self.ids = ids[T.ranges(at[:-1][order], sizes[order])]
+        self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int64)
+
+    def pack(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids as bytes: their ranks, seven bits a byte, the last one below 128; and how many bytes each id takes."""
+        r = self.rank[ids]
+        size = 1 + (r >= 1 << 7).astype(np.int64) + (r >= 1 << 14) + (r >= 1 << 21)
+        end = np.cumsum(size)
+        out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+        for k in range(4):
+            own = size > k
+            more = np.where(size[own] > k + 1, 128, 0)
+            out[(end - size)[own] + k] = ((r[own] >> np.uint32(7 * k)) & np.uint32(127)) | more.astype(np.uint32)
+        return out, size
+
+    def unpack(self, data: np.ndarray, width: np.dtype) -> np.ndarray:
+        last = np.flatnonzero(data < 128)
+        begin = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
+        r = np.zeros(len(last), np.uint32)
+        for k in range(4):
+            own = begin + k <= last
+            r[own] |= (data[begin[own] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
+        return self.by_rank[r].astype(width)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's place, or -1."""
@@ -230,14 +270,15 @@ def encode(documents: DataFrame, tokenizer_path: str, hot_limit: int = HOT_WORDS
     spark: SparkSession = documents.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # the driver's own file; the tasks get its text
         tokenizer = f.read()
-    added, width = added_tokens(tokenizer), Pieces(tokenizer).width
+    added, pieces = added_tokens(tokenizer), Pieces(tokenizer)
+    width, vocabulary = pieces.width, len(pieces.sizes)
     table = materialize(encode_words(distinct_words(documents, tokenizer), tokenizer), "words")
     chosen, whole = hot_words(table, hot_limit)
-    hot = spark.sparkContext.broadcast(Hot(chosen.select("hash", "ids").toArrow(), width))
+    hot = spark.sparkContext.broadcast(Hot(chosen.select("hash", "ids", "n").toArrow(), width, vocabulary))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The occurrences of words that weren't broadcast: (doc_id, k, word), k their order in the document."""
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, SPLIT_BYTES):
             s = Split(batch.column("text"), added)
             at = np.flatnonzero(hot.value.find(s.hashes) < 0)
             doc = np.searchsorted(s.first, at, "right") - 1
@@ -247,20 +288,26 @@ def encode(documents: DataFrame, tokenizer_path: str, hot_limit: int = HOT_WORDS
             yield pa.RecordBatch.from_arrays([T.long_column(ids[doc]), pa.array(k.astype(np.int32)), pa.array(words, pa.string())], ["doc_id", "k", "word"])
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, ids of the broadcast words, gaps: how many ids come before each of the others."""
-        for batch in T.slices(batches):
+        """doc_id, ids of the broadcast words, gaps: how many ids come before each of the others. If there are others, the ids are
+        packed, since they will be shuffled."""
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in T.slices(batches, SPLIT_BYTES):
             s, h = Split(batch.column("text"), added), hot.value
             at = h.find(s.hashes)
-            sizes = np.where(at >= 0, h.sizes[at], 0) if len(h.sizes) else np.zeros(len(at), np.int64)
+            sizes = np.where(at >= 0, h.sizes[at], 0).astype(np.int64) if len(h.sizes) else np.zeros(len(at), np.int64)
             ids = h.ids[T.ranges(h.starts[at], sizes)] if len(h.sizes) else np.zeros(0, width)
             before = np.concatenate([[0], np.cumsum(sizes)])
             edge = before[s.first]
             gap = np.flatnonzero(at < 0)
             doc = np.searchsorted(s.first, gap, "right") - 1
             lists = T.ragged(pa.array((before[gap] - edge[doc]).astype(np.int32)), np.bincount(doc, minlength=batch.num_rows))
-            raw = pa.py_buffer(ids.astype(width).tobytes())
-            binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((edge * width.itemsize).astype(np.int32).tobytes()), raw])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary, lists], ["doc_id", "ids", "gaps"])
+            if whole:
+                raw, place = ids.astype(width).tobytes(), edge * width.itemsize
+            else:
+                packed, size = h.pack(ids)
+                raw, place = packed.tobytes(), np.concatenate([[0], np.cumsum(size)])[edge]
+            each = [raw[i:j] for i, j in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each if whole else map(squeeze, each), pa.binary()), lists], ["doc_id", "ids", "gaps"])
 
     texts = with_texts(documents)
     out = map_arrow(texts, frequent, "doc_id long, ids binary, gaps array<int>")
@@ -268,12 +315,15 @@ def encode(documents: DataFrame, tokenizer_path: str, hot_limit: int = HOT_WORDS
         return out.select("doc_id", "ids")
     # Only words that weren't broadcast meet the table here, so no frequent word is a key of this join.
     placed = map_arrow(texts, rare, "doc_id long, k int, word string").join(table.select("word", F.col("ids").alias("own")), "word")
-    placed = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "own"))).alias("rest"))
+    # A set, and not a list: repeated rows have the same words in the same places.
+    placed = placed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("k", "own"))).alias("rest"))
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             merged = []
-            for ids, gaps, rest in zip(*(batch.column(c).to_pylist() for c in ("ids", "gaps", "rest")), strict=True):
+            for packed, gaps, rest in zip(*(batch.column(c).to_pylist() for c in ("ids", "gaps", "rest")), strict=True):
+                ids = hot.value.unpack(np.frombuffer(expand(packed), np.uint8), width).tobytes()
                 parts, last = [], 0
                 for gap, own in zip(gaps, rest or (), strict=True):
                     parts += [ids[last * width.itemsize : gap * width.itemsize], own]
