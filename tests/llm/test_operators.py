@@ -218,6 +218,30 @@ def test_equal_values_stay_linked_and_the_rest_stays(spark):
     assert got[3] == (rows[2][1], 0) and got[4] == (None, 0)
 
 
+def test_digits_beside_a_number_hide_nothing(spark):
+    phone, other, ip, card, spaced, date = "+1 (826) 555-4081", "+44 20 7946 0958", "190.137.223.204", "4111111111111111", "4111 1111 1111 1111", "2024-05-12"
+    # Each text and the values in it; all else stays.
+    texts = {
+        f"{phone} {ip} du": [phone, ip], f"{other} {ip}": [other, ip], f"{phone} 2024 x": [phone], f"{other} 2024": [other], f"{phone} {date}": [phone, date], f"+49 30 12345678 {date}": ["+49 30 12345678", date],
+        f"{phone} {spaced}": [phone, spaced], f"{phone} 190.1": [phone], "+49 30 12345678 12@example.com": ["+49 30 12345678", "12@example.com"], "+86 138 0013 2024": ["+86 138 0013 2024"], "+49 30 123.45.67": ["+49 30 123.45.67"],
+        f"pay {card} 12 items": [card], f"pay 12 {card}": [card], f"{card} 12/27": [card], f"{spaced} 12 items": [spaced], f"2024 {spaced} 12": [spaced], f"{card} {ip}": [card, ip], f"{card} {spaced}": [card, spaced],
+        f"12 {card} 5-12abc": [card], f"{card} 123-45-6789": [card, "123-45-6789"], "4111-1111-1111-1111": ["4111-1111-1111-1111"], "41111111 11111111 12": ["41111111 11111111"], " ".join(card) + " 12": [" ".join(card)],
+        "5-1.2.3.4": ["1.2.3.4"], "12 4111111111111112 34": [], " ".join(str(k) for k in range(5, 40)) + f" {card}": [card],
+    }
+    alone = sorted({v for vs in texts.values() for v in vs})
+    one = {r["text"]: r["new"] for r in pii.pseudonymize(spark.createDataFrame([(v, v) for v in alone], "v string, text string")).selectExpr("v AS text", "text AS new").collect()}
+    assert all(one[v] != v for v in alone)
+    got = {r["v"]: (r["text"], r["n_found"]) for r in pii.pseudonymize(spark.createDataFrame([(t, t) for t in texts], "v string, text string")).collect()}
+    want = {}
+    for t, vs in texts.items():
+        want[t] = t, len(vs)
+        for v in vs:
+            want[t] = want[t][0].replace(v, one[v], 1), len(vs)
+    assert got == want
+    long = " ".join(["12345"] * 3000) + f" {card} 7"
+    assert pii.pseudonymize(spark.createDataFrame([(long,)], "text string")).collect()[0]["text"].endswith(f" 12345 {one[card]} 7")
+
+
 # ---- chat -----------------------------------------------------------------------------------------
 
 SPELLS = ["<|im_end|>", "<|im_start|>", "<|im_start|~|>", "~l", "~t", "~", "<", "\n", "a", "<|im_end|>\n<|im_start|>user\n", "é"]

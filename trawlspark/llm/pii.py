@@ -2,7 +2,7 @@
 
 Found are e-mail addresses, IPv4 addresses, phone numbers in international notation,
 payment card numbers (13 to 19 digits that pass the Luhn check, spaces or hyphens
-between groups allowed), social security numbers (3-2-4 digits), dates and secrets
+between groups allowed; other digits may stand before or after them), social security numbers (3-2-4 digits), dates and secrets
 (runs of 32 to 64 letters and digits with both of them). What looks like one but does
 not validate stays: a number that fails the Luhn check, an octet beyond 255, the 31st
 of February.
@@ -40,9 +40,34 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+
 SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{32,64}(?![A-Za-z0-9])"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|\.\d)"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)"
+#: Where another value starts: a number before it ends there.
+OTHER = "|".join((EMAIL, DATE, IPV4, SSN))
+
+# A phone number is at most 15 digits (ten after +1). The lookbehinds count them at the end of a match, so the groups
+# given up are those beyond one number, and whatever matches validates.
+
+
+def _digits(least: int, most: int) -> str:
+    """Digits with separators before them; Java takes no repeated groups of several lengths in a lookbehind."""
+    one = r"[ .()-]{0,3}\d"
+    return one * least + f"(?:{one}" * (most - least) + ")?" * (most - least)
+
+
+_VALID = rf"(?<=\+(?:\d{{1,3}}(?=[ .(-])|\d(?!\d{{0,2}}[ .(-])){_digits(7, 14)})"
+_ONE_NUMBER = rf"(?<=\+1(?!\d{{1,2}}[ .(-]){_digits(7, 10)}|\+(?!1(?!\d{{1,2}}[ .(-])){_digits(8, 15)})"
+_NEXT_VALUE = rf"(?!{OTHER}|\d(?:[ -]?\d){{12,18}}(?!\w|-\d)|(?<=\+{_digits(11, 15)} )(?:19|20)\d\d(?!\w|[.-]\d))"
+_GROUPS = r"\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?:[ .-]{})?\d{{2,4}}){{2,4}}(?!\w)"
+# By preference: +1 with its ten digits; groups up to the next value; any groups of one number; any that validate.
+_PHONES = (
+    r"1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)", _GROUPS.format(_NEXT_VALUE) + _VALID + _ONE_NUMBER,
+    _GROUPS.format("") + _VALID + _ONE_NUMBER, _GROUPS.format("") + _VALID,
+)
+PHONE = rf"(?<![\w+])\+(?:{'|'.join(_PHONES)})"
+
+# A whole run of digit groups: which of them are a card, the Luhn check decides (_cards). Possessive, so that a run of any length is no recursion.
+_GROUP = rf"\d++(?:-(?!{IPV4})\d++)*+(?!\w|-(?!{IPV4})\d)"
+CARD = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?: (?!{OTHER}){_GROUP})*+"
 ANY = "|".join((EMAIL, SECRET, DATE, IPV4, PHONE, SSN, CARD))
 
 
@@ -94,15 +119,65 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(_chars(F.reverse(digits)), value), F.lit(0), lambda a, x: a + x)
 
 
-def _card(s: Column, key: str) -> Column:
-    def own(d: Column) -> Column:
-        def renewed(body: Column) -> Column:
-            check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-            return put_digits(s, F.concat(body, check.cast("string")))
+def _renewed(s: Column, key: str) -> Column:
+    """The pseudonym of a card number that passes the check."""
+
+    def renewed(body: Column) -> Column:
+        check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
+        return put_digits(s, F.concat(body, check.cast("string")))
+
+    return _let(digits_of(s), lambda d: _let(feistel(F.substr(d, F.lit(1), F.length(d) - 1), DIGITS, key), renewed))
+
+
+def _cards(run: Column, key: str) -> Column:
+    """text and n of a run of digit groups: the run with its cards replaced, and their number.
+
+    A card is one group, or groups of four digits and more (the last of any length) or of one digit each that start as issuers' numbers do;
+    the longest from each group on. Where none starts, the longest 13 to 19 digits count as one in any grouping.
+    """
+
+    def of(r: Column) -> Column:
+        t, n = r["t"], F.size(r["t"])
+        value = lambda i, j: F.array_join(F.slice(t, i, j - i + 1), "")
+        ends = lambda i: F.sequence(i, F.least(i + 18, n))
+        valid = lambda i, j: _let(digits_of(value(i, j)), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+
+        def shaped(i: Column, j: Column) -> Column:
+            sizes = F.slice(r["sizes"], i, j - i + 1)
+            form = F.forall(F.slice(sizes, F.lit(1), j - i), lambda x: x >= 4) | F.forall(sizes, lambda x: x == 1)
+            return (i == j) | (form & digits_of(value(i, j)).rlike("^(?:[3-9]|2[2-7])"))
 
-        return F.when(luhn_sum(d) % 10 == 0, _let(feistel(F.substr(d, F.lit(1), F.length(d) - 1), DIGITS, key), renewed)).otherwise(s)
+        def last(i: Column) -> Column:
+            """The last group of the card that starts at group i, or 0."""
+            return F.coalesce(F.array_max(F.filter(ends(i), lambda j: shaped(i, j) & valid(i, j))), F.lit(0))
 
-    return _let(digits_of(s), own)
+        def longest(i: Column) -> Column:
+            """The last group of the longest 13 to 19 digits from group i on, or 0."""
+            return F.coalesce(F.array_max(F.filter(ends(i), lambda j: F.length(digits_of(value(i, j))).between(13, 19))), F.lit(0))
+
+        def scan(lasts: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                def take(x: Column) -> Column:
+                    """x: the last group of a card, or of groups that could be one."""
+                    known, none_inside = F.get(lasts, i - 1) > 0, ~F.exists(F.slice(lasts, i, x - i + 1), lambda e: e > 0)
+                    tried = ~known & (x > 0) & F.when(x > 0, none_inside).otherwise(False)
+                    skipped = F.struct(s["next"].alias("next"), F.when(tried, x + 1).otherwise(s["tried"]).alias("tried"), F.concat(s["text"], F.get(t, i - 1)).alias("text"), s["n"].alias("n"))
+
+                    def put(old: Column) -> Column:
+                        return _let(_renewed(old, key), lambda new: F.struct((x + 1).alias("next"), (x + 1).alias("tried"), F.concat(s["text"], new).alias("text"), (s["n"] + (new != old).cast("int")).alias("n")))
+
+                    return F.when(known | (tried & F.when(tried, valid(i, x)).otherwise(False)), _let(value(i, x), put)).otherwise(skipped)
+
+                free = F.when(F.get(lasts, i - 1) > 0, F.get(lasts, i - 1)).when(i >= s["tried"], longest(i)).otherwise(0)
+                return F.when(i < s["next"], s).otherwise(_let(free, take))
+
+            start = F.struct(F.lit(1).alias("next"), F.lit(1).alias("tried"), F.lit("").alias("text"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+        return _let(F.transform(F.sequence(F.lit(1), n), last), scan)
+
+    groups = F.split(run, "(?<=[ -])")
+    return _let(F.struct(groups.alias("t"), F.transform(groups, lambda g: F.length(digits_of(g))).alias("sizes")), of)
 
 
 def _ipv4(s: Column, key: str) -> Column:
@@ -135,15 +210,22 @@ def _date(s: Column, key: str) -> Column:
     return out
 
 
-def pseudonym(s: Column, key: str = KEY) -> Column:
-    """The pseudonym of one match of ANY; the match itself if it doesn't validate."""
+def _replaced(s: Column, key: str) -> Column:
+    """text and n of one match of ANY: the match with what validates replaced, and the number of values replaced."""
     whole = lambda p: s.rlike(rf"\A(?:{p})\z")
     mail = F.concat(F.lit("u"), F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(s)), 256), F.lit(1), F.lit(16)), F.lit("@mail.invalid"))
     secret = F.when(s.rlike(r"\A[0-9a-f]+\z"), feistel(s, HEX, key)).when(s.rlike(r"\A[0-9A-F]+\z"), F.upper(feistel(F.lower(s), HEX, key))).otherwise(feistel(s, ALNUM, key))
-    return (
+    one = (
         F.when(s.contains("@"), mail).when(whole(SECRET), secret).when(whole(DATE), _date(s, key)).when(whole(IPV4), _ipv4(s, key))
-        .when(s.startswith("+"), _phone(s, key)).when(whole(SSN), put_digits(s, feistel(digits_of(s), DIGITS, key))).otherwise(_card(s, key))
+        .when(s.startswith("+"), _phone(s, key)).when(whole(SSN), put_digits(s, feistel(digits_of(s), DIGITS, key))).otherwise(s)
     )
+    run = s.rlike(r"\A\d++(?:[ -]\d++)*+\z") & (F.length(digits_of(s)) >= 13)
+    return F.when(run, _cards(s, key)).otherwise(_let(one, lambda new: F.struct(new.alias("text"), (new != s).cast("int").alias("n"))))
+
+
+def pseudonym(s: Column, key: str = KEY) -> Column:
+    """The pseudonym of one match of ANY; the match itself if it doesn't validate."""
+    return _replaced(s, key)["text"]
 
 
 def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
@@ -153,10 +235,11 @@ def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
     # Every kind has a digit or an at sign: a plain scan spares most texts the search.
     some = text.rlike("[0-9@]")
     none = F.array().cast("array<string>")
+    unchanged = F.array().cast("array<struct<text:string,n:int>>")
     d = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
     d = d.withColumn("found", F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
-    d = d.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda s: pseudonym(s, key))).otherwise(none))
+    d = d.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda s: _replaced(s, key))).otherwise(unchanged))
     between = F.when(F.size("found") > 0, F.split(text, ANY, -1))
-    joined = F.array_join(F.flatten(F.zip_with(between, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    n = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col("new.text"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    n = F.aggregate(F.col("new.n"), F.lit(0), lambda a, x: a + x)
     return d.select(*kept, F.when(F.size("found") > 0, joined).otherwise(text).alias("text"), n.cast("long").alias("n_found"))
