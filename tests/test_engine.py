@@ -164,6 +164,20 @@ def test_generated_site_is_reachable(spark):
     assert records.filter("title is not null and size(h1) = 1").count() == 60
 
 
+def test_depths_have_no_bound(spark, tables):
+    url = {r["id"]: r["url"] for r in tables["pages"].select("id", "url").collect()}
+    out = {}
+    for r in tables["links"].select("source_page_id", "target_url").collect():
+        out.setdefault(url.get(r["source_page_id"]), []).append(r["target_url"])
+    level = [url[1]]
+    want = {url[1]: 0}
+    while level:
+        level = sorted({v for u in level for v in out.get(u, []) if v is not None} - set(want))
+        want |= {v: max(want.values()) + 1 for v in level}
+    assert max(want.values()) > 6
+    assert {r["url"]: r["depth"] for r in engine.QUERIES["bfs_depth_all"](spark, SF).collect()} == want
+
+
 def test_extraction_keeps_only_crawlable_pages(spark):
     rows = spark.createDataFrame([("https://A.com", "<title>a</title>", "text/html"), ("mailto:x", "<p>", "text/html"), ("https://a.com/p", "%PDF-1", "text/html"), ("https://a.com/n", None, None)], "url string, html string, content_type string")
     got = {r["url"]: (r["kind"], r["content_type_mismatch"], r["title"]) for r in extraction.extract_records(rows).collect()}

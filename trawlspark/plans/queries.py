@@ -175,6 +175,15 @@ SQL["bfs_depth"] = on_model("SELECT url, CAST(min(depth) AS INTEGER) AS depth FR
 QUERIES["bfs_depth"] = bfs_depth
 
 
+def bfs_depth_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pages that can be reached, at any depth. No SQL: a recursive query over links with cycles ends only at a bound, as that of bfs_depth does."""
+    t = crawl_tables(spark, d)
+    return frontier.bfs_depths(_edges(t), t["pages"].filter("id = 1").select("url"))
+
+
+QUERIES["bfs_depth_all"] = bfs_depth_all
+
+
 def redirect_walk(spark: SparkSession, d: str) -> DataFrame:
     m = crawl_tables(spark, d)["pages"].select("id")
     spot = lambda i: F.concat(F.lit("u"), i.cast("string"))
