@@ -114,6 +114,17 @@ def test_min_max_is_unbiased():
     assert both.shape == (2, 128) and abs((both[0] == both[1]).mean() - 0.6) < 0.15
 
 
+def test_short_pairs_at_the_threshold_share_a_band():
+    """Sets of 3 of 4 shingles: by 32 bands alone about one pair in 10,000 shares none."""
+    full = [" ".join(f"{i}x{k}" for k in range(8)) for i in range(60_000)]
+    texts = full + [t.rsplit(" ", 1)[0] for t in full]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(minhash_dedup._signatures(iter([batch])))
+    a = np.stack(found.column("bands").to_numpy())
+    assert found.column("n_shingles").to_pylist() == [4] * 60_000 + [3] * 60_000
+    assert (a[:60_000] == a[60_000:]).any(axis=1).all()
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (7, 7)], "a long, b long")
     assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(201)} | {(499, 499), (500, 499)}

@@ -6,7 +6,11 @@ and the maximum are kept, so the signature has two values for each evaluation of
 a hash. Two permutations' four values make a band; documents that share a band
 are candidates, and every link is confirmed on the full sets: linked if
 100 * |intersection| >= 75 * |union|. At a similarity of 0.75 a pair shares none
-of the 32 bands with probability (1 - 0.75**4)**32 = 5e-6.
+of the 32 bands with probability (1 - 0.75**4)**32 = 5e-6. That takes minimum and
+maximum as independent. In small sets, where they are drawn without replacement, the
+probability is up to (1 - 1/4)**32 = 1e-4 (3 of 4 shingles), so sets of at most SHORT
+shingles have 32 more bands of permutations of their own: 1e-8 for two of them, and
+at most 6e-6 for larger sets.
 
 Documents with equal sets (told by two 64-bit sums over the set and its size) are
 one class; only its smallest doc_id is banded. A bucket is never expanded into
@@ -48,9 +52,14 @@ LEADER_ROUNDS = 2
 SMALL, BLOCK = 32, 256
 PLAUSIBLE = 71
 
+#: Sets of at most this many shingles have twice the bands.
+SHORT = 64
+
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_MORE_A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE_B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
 def shingle_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +76,7 @@ def sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def min_max(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def min_max(hashes: np.ndarray, first: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     """A row for each document with shingles: the minimum and maximum under each permutation, side by side (uint32)."""
     starts = first[:-1][np.diff(first) > 0]
     out = np.empty((len(starts), 2 * PERMUTATIONS), np.uint32)
@@ -75,16 +84,16 @@ def min_max(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         return out
     x = hashes >> np.uint64(32)
     for p in range(PERMUTATIONS):
-        v = ((x * _A[p] + _B[p]) >> np.uint64(32)).astype(np.uint32)
+        v = ((x * a[p] + b[p]) >> np.uint64(32)).astype(np.uint32)
         out[:, 2 * p] = np.minimum.reduceat(v, starts)
         out[:, 2 * p + 1] = np.maximum.reduceat(v, starts)
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of four values; keys of different bands differ."""
+def bands(signature: np.ndarray, before: int = 0) -> np.ndarray:
+    """A 64-bit key for each band of four values; keys of different bands differ, also from those of the bands before."""
     wide = signature.view(np.uint64).reshape(len(signature), -1, 2) if len(signature) else np.zeros((0, PERMUTATIONS // 2, 2), np.uint64)
-    salt = T.mix(np.arange(1, wide.shape[1] + 1, dtype=np.uint64))
+    salt = T.mix(np.arange(before + 1, before + wide.shape[1] + 1, dtype=np.uint64))
     return T.mix(T.mix(wide[:, :, 0] + salt) ^ (wide[:, :, 1] * np.uint64(0x9E3779B97F4A7C15)))
 
 
@@ -98,7 +107,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.array([T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in distinct], np.uint64)
         signature = min_max(hashes, first)
         keys = bands(signature)
-        lists = T.ragged(T.long_column(keys.ravel()), np.where(full, keys.shape[1], 0))
+        short = (size <= SHORT)[full]
+        starts, counts = first[:-1][full][short], np.diff(first)[full][short]
+        own = np.concatenate([keys, np.zeros_like(keys)], axis=1)
+        own[short, keys.shape[1] :] = bands(min_max(hashes[T.ranges(starts, counts)], np.concatenate([[0], np.cumsum(counts)]), _MORE_A, _MORE_B), keys.shape[1])
+        used = np.ones(own.shape, bool)
+        used[~short, keys.shape[1] :] = False
+        number = np.zeros(batch.num_rows, np.int64)
+        number[full] = used.sum(axis=1)
+        lists = T.ragged(T.long_column(own[used]), number)
         low = np.zeros((batch.num_rows, 2 * PERMUTATIONS), np.uint8)
         low[full] = (signature & 0xFF).astype(np.uint8)
         sketches = pa.array([x.tobytes() for x in low], pa.binary())
