@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlspark.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
-from trawlspark.llm.common import key_of, materialize, restored, rows_without
+from trawlspark.llm.common import key_of, materialize, restored, rows_without, select_ids
 from trawlspark.llm.queries import tokenizer_path
 
 
@@ -35,8 +35,20 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays."""
-    return _without_rejected(docs, minhash_dedup.near_duplicates(docs))
+    """Of each component of near duplicates the smallest doc_id stays, and of its rows with the same text one."""
+    decided = materialize(minhash_dedup.near_duplicates(docs).select("doc_id", "kept"), "decided")
+    repeated = materialize(decided.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    return _one_of_each(_without_rejected(docs, decided), repeated)
+
+
+def _one_of_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with one row for each text of the keys (doc_id) that several rows have; rows of other keys as they are."""
+    n = keys.count()
+    if n == 0:
+        return docs
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key_of(F.col("doc_id"), F.col("text")).alias("doc_id"))
+    one = select_ids(rows, keys, "doc_id", "left_semi", n).groupBy("doc_id", F.col("row.text")).agg(F.first("row").alias("row"))
+    return select_ids(rows, keys, "doc_id", "left_anti", n).select("row.*").unionByName(one.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

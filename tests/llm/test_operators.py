@@ -399,3 +399,13 @@ def test_pipeline_takes_odd_rows(spark):
         assert out.columns == docs.columns
         out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(ODD)
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    a, b = " ".join(prose(30)), " ".join(prose(30))
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, b), (3, "alone"), (4, "x y z"), (4, "another text"), (None, "no id"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).selectExpr("*", "'extra' AS row", "map('a', doc_id) AS kept")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert left == sorted([(1, a), (None, b), (3, "alone"), (4, "x y z"), (4, "another text"), (None, "no id"), (9, None)], key=repr)
