@@ -280,6 +280,16 @@ def test_chat_digests(spark):
 # ---- benchmark ------------------------------------------------------------------------------------
 
 
+def test_loss_spans_cut_the_assistant_texts(spark):
+    rows = [(c, t, R.choice(("user", "assistant", "assistant\n", "assistant x")), "".join(R.choice(SPELLS + ["😀"]) for _ in range(R.randrange(6)))) for c in range(200) for t in range(R.randrange(1, 5))]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    undo = lambda s: s.replace("~n", "\n").replace("~l", "<").replace("~t", "~")
+    for r in out:
+        cut = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        assert [undo(x) if s["escaped"] else x for x, s in zip(cut, r["loss_spans"], strict=True)] == [t for c, _, role, t in rows if c == r["conv_id"] and role == "assistant"]
+    assert any(s["escaped"] for r in out for s in r["loss_spans"]) and any(not s["escaped"] and s["length"] for r in out for s in r["loss_spans"])
+
+
 def test_decontamination(spark, real):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     items += [(900, "four words only here"), (901, None), (902, "AB cd"), (903, " ".join(VOCABULARY[:30]))]

@@ -14,6 +14,10 @@ feed to ``~n``; escaped turns open with ``<|im_start|~|>`` instead, so that the
 parser knows which to unescape. An escaped turn holds no ``<``, so the second
 rendering always parses back; the check of the result stays in the plan.
 
+The loss mask is a list of spans: where in the rendered string the text of each
+assistant turn stands. Opening mark, role, closing mark and the other turns are
+outside.
+
 Defined results: null texts and roles count as empty strings; turns are in the
 order of turn (null first), then role, then text, repeated rows all kept; rows
 with a null conv_id form one conversation; extra columns are ignored; an empty
@@ -66,8 +70,26 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def loss_spans(formatted: Column) -> Column:
+    """Where the texts of assistant turns stand in a rendered conversation: array of (start, length, escaped), start from 0 in characters."""
+    pieces = F.filter(F.split(formatted, r"(?=<\|im_start\|(?:~\|)?>)"), lambda p: p != "")
+
+    def step(s: Column, piece: Column) -> Column:
+        marked = piece.startswith(ESCAPED)
+        opening = F.when(marked, len(ESCAPED)).otherwise(len(OPEN))
+        # The role and its line feed; no assistant's role has more of them, escaped or not.
+        head = opening + F.lit(len("assistant\n"))
+        body = F.substring_index(F.substr(piece, opening + 1), END, 1)
+        span = F.struct((s["at"] + head).alias("start"), (F.length(body) - len("assistant\n")).alias("length"), marked.alias("escaped"))
+        spans = F.when(body.startswith("assistant\n"), F.concat(s["spans"], F.array(span))).otherwise(s["spans"])
+        return F.struct((s["at"] + F.length(piece)).alias("at"), spans.alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,escaped:boolean>>").alias("spans"))
+    return F.aggregate(pieces, start, step, lambda s: s["spans"])
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, escaped, turns (array of role, text as parsed back from formatted), identical."""
+    """conv_id, formatted, escaped, turns (array of role, text as parsed back from formatted), loss_spans (see there), identical."""
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     source = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
     source = source.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
@@ -76,16 +98,21 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     tried = first.withColumn("escaped", F.col("back") != F.col("source"))
     out = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), F.lit(True))).otherwise(F.col("plain")))
     out = out.withColumn("turns", F.when(F.col("escaped"), parse(F.col("formatted"))).otherwise(F.col("back")))
-    return out.select("conv_id", "formatted", "escaped", "turns", (F.col("turns") == F.col("source")).alias("identical"))
+    return out.select("conv_id", "formatted", "escaped", "turns", loss_spans(F.col("formatted")).alias("loss_spans"), (F.col("turns") == F.col("source")).alias("identical"))
+
+
+def training_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask: formatted cut at the spans and unescaped, in order."""
 
+    def cut(x: Column) -> Column:
+        text = F.substr(formatted, x["start"] + 1, x["length"])
+        return F.when(x["escaped"], unescape(text)).otherwise(text)
 
-def training_text(turns: Column) -> Column:
-    """All text under the loss mask: each assistant text once, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return F.array_join(F.transform(spans, cut), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """The digest columns of format_conversations()'s result."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    d = formatted.withColumn("loss", training_text(F.col("turns")))
+    d = formatted.withColumn("loss", training_text(F.col("formatted"), F.col("loss_spans")))
     return d.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "identical")
