@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once for each Spark application."""
     context = spark.sparkContext
@@ -25,7 +26,29 @@ def ship(spark: SparkSession) -> None:
     context._trawlspark_shipped = True
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, and so would the task's peak."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow on executors that have this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
