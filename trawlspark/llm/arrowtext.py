@@ -2,15 +2,18 @@
 
 A slice of documents is one byte buffer with offsets. Words are maximal runs of
 bytes other than ASCII white space, so they are those of ``[^\\x20\\x09-\\x0D]+``.
-A word's hash is the sum of T[byte k] * P**k (mod 2**64), mixed; it comes from
-one prefix sum, as do the hashes of windows of words. P is odd, so that its
-powers can be divided out again.
+A slice's distinct words are told apart by their bytes, and each one's digest is
+128 bits of BLAKE2b, as two lanes of 64 bits. Windows of words hash by halves: two
+neighbours' hashes are joined by multiplications with shifts between them, so no sum
+of powers can cancel out. One lane is enough where a hit is verified or counts within
+a pair; what decides by itself takes both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,12 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
-_P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Odd multipliers, two for each lane.
+_JOIN = ((U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)), (U64(0xC2B2AE3D27D4EB4F), U64(0xFF51AFD7ED558CCD)))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,16 +39,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k for k < n."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1) if base == _P else max(n, 1 << 19)
-        inverse = U64(pow(int(base), -1, 2**64))
-        have = tuple(np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (base, inverse))
-        if size <= 8 * SLICE_BYTES:  # powers for one giant document aren't kept
-            _powers[int(base)] = have
-    return have[0][:n], have[1][:n]
+def join(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The hash of a sequence from those of its two parts."""
+    one, two = _JOIN[lane]
+    h = (a ^ (a >> U64(29))) * one + b
+    h = (h ^ (h >> U64(32))) * two
+    return h ^ (h >> U64(29))
+
+
+def digest(word: bytes) -> bytes:
+    """128 bits of a word."""
+    return blake2b(word, digest_size=16, person=b"trawlspark").digest()
 
 
 @dataclass
@@ -67,12 +70,28 @@ class Words:
         """Each word's document, by place in the slice."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def distinct(self, lower: bool = False) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and the place of each word among them."""
+        steps = np.zeros(len(self.data) + 1, np.int8)
+        steps[self.starts] += 1
+        steps[self.ends] -= 1
+        packed = self.data[np.cumsum(steps[:-1], dtype=np.int8).view(bool)]
+        if lower:
+            packed = _LOWER[packed]
+        sizes = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        wide = len(packed) >= 1 << 31
+        column = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(self.starts), [None, pa.py_buffer(sizes.astype(np.int64 if wide else np.int32)), pa.py_buffer(packed)])
+        found = column.dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+
+    def digests(self, lower: bool = False) -> np.ndarray:
+        """Both lanes of each word's digest: two rows."""
+        words, at = self.distinct(lower)
+        table = np.frombuffer(b"".join(map(digest, words)), U64).reshape(-1, 2)
+        return np.ascontiguousarray(table[at].T)
+
     def hashes(self, lower: bool = False) -> np.ndarray:
-        power, inverse = _power(_P, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum((_LOWER if lower else _TABLE)[self.data] * power[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64))
+        return self.digests(lower)[0]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,17 +138,32 @@ def split_words(column: pa.Array, between: np.ndarray = _SPACE) -> Words:
 
 
 class Windows:
-    """Hashes of any windows of consecutive words, from one prefix sum over the words' hashes."""
+    """Hashes of any windows of consecutive words, from those of the windows of 1, 2, 4, ... words."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.power, self.inverse = _power(_Q, len(hashes) + 1)
-        self.total = np.zeros(len(hashes) + 1, U64)
-        np.cumsum(hashes * self.power[:-1], out=self.total[1:])
+    def __init__(self, hashes: np.ndarray, lane: int = 0):
+        self.lane, self.levels = lane, [hashes]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(join(last[:-half], last[half:], self.lane) if len(last) > half else np.zeros(0, U64))
+        return self.levels[k]
 
     def __call__(self, starts: np.ndarray, length) -> np.ndarray:
         """Of the windows of length words (a number, or one for each start)."""
-        h = (self.total[starts + length] - self.total[starts]) * self.inverse[starts]
-        return mix(h + np.asarray(length, U64))
+        if np.ndim(length):
+            out = np.zeros(len(starts), U64)
+            for n in np.unique(length).tolist():
+                own = length == n
+                out[own] = self(starts[own], n)
+            return out
+        h, at = None, starts
+        for k in reversed(range(int(length).bit_length())):
+            if length >> k & 1:
+                part = self._level(k)[at]
+                h = part if h is None else join(h, part, self.lane)
+                at = at + (1 << k)
+        return mix(h + U64(length)) if h is not None else np.zeros(len(starts), U64)
 
 
 def window_starts(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +186,14 @@ def shingles(words: Words, windows: Windows, length: int) -> tuple[np.ndarray, n
 
     A document with fewer words than length has one shingle, its whole sequence; one without words has none.
     """
+    starts, size, first = shingle_places(words, length)
+    return windows(starts, size), first
+
+
+def shingle_places(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and number of words of each shingle, and each document's first shingle (with the total at the end)."""
     n = np.where(words.counts >= length, words.counts - length + 1, np.minimum(words.counts, 1))
-    starts = ranges(words.first[:-1], n)
-    size = np.repeat(np.minimum(words.counts, length), n)
-    return windows(starts, size), np.concatenate([[0], np.cumsum(n)])
+    return ranges(words.first[:-1], n), np.repeat(np.minimum(words.counts, length), n), np.concatenate([[0], np.cumsum(n)])
 
 
 def long_column(values: np.ndarray) -> pa.Array:

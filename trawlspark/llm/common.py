@@ -60,6 +60,21 @@ def with_texts(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select(key_of(F.col("doc_id"), F.col("text")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def with_row_keys(documents: DataFrame) -> DataFrame:
+    """row (the document's columns) and key: doc_id; where it is null, or several rows have it, a key made of it and the text.
+
+    So rows of one doc_id but different texts keep apart, and equal rows share a key.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    rows = documents.select(row, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("own"))
+    again = materialize(documents.select(F.col("doc_id").cast("long").alias("again")).groupBy("again").count().filter("count > 1 and again is not null").select("again"), "again")
+    n = again.count()
+    if n == 0:
+        return rows.select("row", key_of(F.col("id"), F.col("own")).alias("key"))
+    j = rows.join(F.broadcast(again) if n <= BROADCAST_IDS else again, F.col("id") == F.col("again"), "left")
+    return j.select("row", F.when(F.col("again").isNull(), key_of(F.col("id"), F.col("own"))).otherwise(F.lit(NO_ID) + F.pmod(F.xxhash64("id", "own"), F.lit(NO_ID))).alias("key"))
+
+
 def restored(df: DataFrame, *columns: str) -> DataFrame:
     """df with null again where the columns hold keys that stand for no doc_id."""
     return df.withColumns({c: F.when(F.col(c) < NO_ID, F.col(c)) for c in columns or ("doc_id",)})

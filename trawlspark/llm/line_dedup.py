@@ -14,8 +14,10 @@ Aggregation combines on the map side, so a line that a third of all documents
 hold sends one sketch from each task.
 
 Defined results: null texts have no lines and come back as they are; a null
-source is one site; repeated rows count once in both sketches; extra columns
-are kept in ``dedup_lines`` and take no part; an empty table gives no rows.
+source is one site; repeated rows count once in both sketches; rows that share a
+doc_id, or have none, keep their own lines; a line at the threshold goes; a text of
+any length is one row's work; extra columns are kept in ``dedup_lines`` and take no
+part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, key_of, materialize
+from .common import BLANKS, materialize, with_row_keys
 
 MIN_SITES = 10
 LG_K = 11
@@ -35,10 +37,9 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """(key, site, version, at, h1, h2): a row for every line with a word."""
-    key = key_of(F.col("doc_id"), F.col("text")).alias("key")
-    d = documents.select(key, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.xxhash64("text").alias("version"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
+def occurrences(rows: DataFrame) -> DataFrame:
+    """rows (see common.with_row_keys) -> (key, site, version, at, h1, h2): a row for every line with a word."""
+    d = rows.select("key", F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("site"), F.xxhash64("row.text").alias("version"), F.posexplode(split_lines(F.col("row.text"))).alias("at", "line"))
     d = d.select("key", "site", "version", "at", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
     return d.select("key", "site", "version", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
@@ -60,10 +61,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def cleaned(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """row (each document's columns), text (without boilerplate lines), n_lines, n_removed (long)."""
-    lines = occurrences(documents)
+    packed = with_row_keys(documents)
+    lines = occurrences(packed)
     found = materialize(boilerplate(lines, min_sites), "boilerplate")
     drop = lines.join(found, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("drop"))
-    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), key_of(F.col("doc_id"), F.col("text")).alias("key"))
     j = packed.join(drop, "key", "left").withColumn("lines", split_lines(F.col("row.text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))

@@ -12,8 +12,8 @@ probability is up to (1 - 1/4)**32 = 1e-4 (3 of 4 shingles), so sets of at most
 shingles have 32 more bands of permutations of their own: 1e-8 for two of them, and
 at most 6e-6 for larger sets.
 
-Documents with equal sets (told by two 64-bit sums over the set and its size) are
-one class; only its smallest doc_id is banded. A bucket is never expanded into
+Documents with equal sets (told by 128 bits of BLAKE2b over the whole set, itself of
+128-bit digests of words) are one class; only its smallest doc_id is banded. A bucket is never expanded into
 all pairs: each member is compared with the bucket's leader, which joins whole
 groups in one round, and then with other leaders where that would join different
 components. What is left are buckets with members of different components. Those of
@@ -33,6 +33,7 @@ common.key_of); extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ THRESHOLD = (75, 100)
 #: Rounds in which each bucket's members meet one leader.
 LEADER_ROUNDS = 2
 SMALL, BLOCK = 32, 256
+#: Text in a block, on average at most (a longer document is a block of its own size).
+BLOCK_BYTES = 8 << 20
 PLAUSIBLE = 71
 
 #: Sets of at most this many shingles have twice the bands.
@@ -67,6 +70,21 @@ def shingle_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return T.shingles(words, T.Windows(words.hashes(lower=True)), WORDS)
 
 
+def set_digests(hashes: np.ndarray, first: np.ndarray, places: tuple[np.ndarray, np.ndarray], lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's number of distinct shingles, and 128 bits that tell its set from any other: rows of two longs."""
+    other = T.Windows(lanes[1], 1)(*places)
+    size, out = np.zeros(len(first) - 1, np.int64), []
+    for i in range(len(first) - 1):
+        own = slice(first[i], first[i + 1])
+        order = np.argsort(hashes[own], kind="stable")
+        s = hashes[own][order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        size[i] = new.sum()
+        out.append(blake2b(s[new].tobytes() + other[own][order][new].tobytes(), digest_size=16).digest())
+    return size, np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
+
 def sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Each document's sorted distinct shingles."""
     out = []
@@ -99,12 +117,12 @@ def bands(signature: np.ndarray, before: int = 0) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches):
-        hashes, first = shingle_hashes(batch.column("text"))
+        words = T.split_words(batch.column("text"))
+        lanes = words.digests(lower=True)
+        *places, first = T.shingle_places(words, WORDS)
+        hashes = T.Windows(lanes[0])(*places)
         full = np.diff(first) > 0
-        distinct = sets(hashes, first)
-        size = np.array([len(s) for s in distinct], np.int64)
-        one = np.array([s.sum(dtype=np.uint64) for s in distinct], np.uint64)
-        two = np.array([T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in distinct], np.uint64)
+        size, marks = set_digests(hashes, first, tuple(places), lanes)
         signature = min_max(hashes, first)
         keys = bands(signature)
         short = (size <= SHORT)[full]
@@ -119,7 +137,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.zeros((batch.num_rows, 2 * PERMUTATIONS), np.uint8)
         low[full] = (signature & 0xFF).astype(np.uint8)
         sketches = pa.array([x.tobytes() for x in low], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), T.long_column(one), T.long_column(two), lists, sketches], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), T.long_column(marks[:, 0].copy()), T.long_column(marks[:, 1].copy()), lists, sketches], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
 
 def signatures(documents: DataFrame) -> DataFrame:

@@ -12,10 +12,13 @@ that a third of all documents hold is no larger work than the rows it is in; and
 each task sends a repeated hash once for each CHUNK_BYTES of text, whatever its
 number of places there.
 
-Hashes are 64 bits over bytes, unchanged by case. Defined results: null texts have
+Anchors group by 64 bits, which only choose what is extended; windows group by 128 bits
+(both lanes of BLAKE2b digests of their words), which decide. Words are bytes, unchanged by case.
+Defined results: null texts have
 no words; documents shorter than LENGTH lose nothing; exact copies lose all words
-of their windows; doc_id is the key; extra columns are ignored; an empty table
-gives no rows.
+of their windows, and so do repeated rows; rows that share a doc_id, or have none,
+keep their own words; extra columns are ignored; an empty table gives no rows. A text
+of any length is worked on as a whole.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import arrowtext as T
-from .common import BROADCAST_IDS, materialize, select_ids, with_texts
+from .common import BROADCAST_IDS, materialize, select_ids, with_row_keys
 
 LENGTH = 35
 PERIOD = 21
@@ -40,24 +43,24 @@ ANCHOR = LENGTH - PERIOD + 1
 CHUNK_BYTES = 8 << 20
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-PLACES = "hash long, doc_id long, at int, again boolean"
+PLACES = "hash long, other long, key long, at int, again boolean"
 
 
-def _places(hashes: np.ndarray, docs: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, doc_id, at, again). A hash's places within the chunk: one row stands for the hash, again true if it has more places;
-    the others, known to be repeated, come with a null hash."""
+def _places(hashes: np.ndarray, others: np.ndarray, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, other, key, at, again). A hash's places within the chunk: one row stands for the hash (both of its lanes), again true if it
+    has more places; the others, known to be repeated, come with a null hash."""
     if not len(hashes):
         return
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    head = np.concatenate([[True], h[1:] != h[:-1]])
+    order = np.lexsort((others, hashes)) if others.any() else np.argsort(hashes, kind="stable")
+    h, o = hashes[order], others[order]
+    head = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
     more = np.zeros(len(h), bool)
     more[:-1] = ~head[1:]
-    columns = [pa.array(h.view(np.int64), mask=~head), T.long_column(docs[order]), pa.array(at[order].astype(np.int32)), pa.array(more | ~head)]
-    yield from pa.Table.from_arrays(columns, ["hash", "doc_id", "at", "again"]).to_batches(20_000)
+    columns = [pa.array(h.view(np.int64), mask=~head), pa.array(o.view(np.int64), mask=~head), T.long_column(keys[order]), pa.array(at[order].astype(np.int32)), pa.array(more | ~head)]
+    yield from pa.Table.from_arrays(columns, ["hash", "other", "key", "at", "again"]).to_batches(20_000)
 
 
-def _chunked(parts: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _chunked(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for n, *part in parts:
         held.append(part)
@@ -78,37 +81,38 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A document shorter than LENGTH has no window, but it costs little to leave its anchors out as well.
             long = np.repeat(words.counts >= LENGTH, n)
             take = _IN_COVER[at % PERIOD] & long
-            docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), n)
-            yield len(words.data), T.Windows(words.hashes())(starts[take], ANCHOR), docs[take], at[take]
+            keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), n)
+            hashes = T.Windows(words.hashes())(starts[take], ANCHOR)
+            yield len(words.data), hashes, np.zeros_like(hashes), keys[take], at[take]
 
     yield from _chunked(parts())
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From places sorted by hash, nulls first: the places whose hash has another row, or that have a twin in their own chunk."""
-    last: tuple | None = None  # the row before this batch: hash, doc_id, at, told
+    last: tuple | None = None  # the row before this batch: hash, other, key, at, told
     for batch in batches:
         if not batch.num_rows:
             continue
-        hash_, doc, at, again = batch.columns
+        hash_, other, key, at, again = batch.columns
         known = hash_.is_null().to_numpy(zero_copy_only=False)
-        h = hash_.fill_null(0).to_numpy(zero_copy_only=False)
+        h, o = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (hash_, other))
         same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & ~known[1:] & ~known[:-1]
+        same[1:] = (h[1:] == h[:-1]) & (o[1:] == o[:-1]) & ~known[1:] & ~known[:-1]
         out = same | known | again.to_numpy(zero_copy_only=False)
         out[:-1] |= same[1:]
-        if last is not None and not known[0] and last[0] == h[0]:
+        if last is not None and not known[0] and last[:2] == (h[0], o[0]):
             out[0] = True
-            if not last[3]:
-                yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())], ["doc_id", "at"])
+            if not last[4]:
+                yield pa.RecordBatch.from_arrays([pa.array([last[2]], pa.int64()), pa.array([last[3]], pa.int32())], ["key", "at"])
         mask = pa.array(out)
-        yield pa.RecordBatch.from_arrays([doc.filter(mask), at.filter(mask)], ["doc_id", "at"])
-        last = None if known[-1] else (h[-1], doc[-1].as_py(), at[-1].as_py(), bool(out[-1]))
+        yield pa.RecordBatch.from_arrays([key.filter(mask), at.filter(mask)], ["key", "at"])
+        last = None if known[-1] else (h[-1], o[-1], key[-1].as_py(), at[-1].as_py(), bool(out[-1]))
 
 
 def repeated_places(places: DataFrame) -> DataFrame:
-    """(doc_id, at) of the places whose hash occurs at another place too."""
-    return map_arrow(places.repartition("hash", F.when(F.col("hash").isNull(), F.col("doc_id"))).sortWithinPartitions("hash"), _repeated, "doc_id long, at int")
+    """(key, at) of the places whose hash occurs at another place too."""
+    return map_arrow(places.repartition("hash", F.when(F.col("hash").isNull(), F.col("key"))).sortWithinPartitions("hash", "other"), _repeated, "key long, at int")
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +122,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = batch.column("ats")
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at, doc = at[at < words.counts[doc]], doc[at < words.counts[doc]]  # rows that share a doc_id but not a text
             n = words.counts - LENGTH + 1  # windows of each document
             # All windows that hold the anchor: their starts as steps up and down, counted along the slice.
             first = np.maximum(at - (PERIOD - 1), 0)
@@ -129,8 +132,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(steps, words.first[doc[ok]] + last[ok] + 1, -1)
             starts = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
             of = np.searchsorted(words.first, starts, "right") - 1
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[of]
-            yield len(words.data), T.Windows(words.hashes())(starts, LENGTH), docs, starts - words.first[of]
+            keys = batch.column("key").to_numpy(zero_copy_only=False)[of]
+            lanes = words.digests()
+            yield len(words.data), *(T.Windows(lanes[k], k)(starts, LENGTH) for k in (0, 1)), keys, starts - words.first[of]
 
     yield from _chunked(parts())
 
@@ -145,8 +149,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = lists.fill_null([])
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            inside = at + LENGTH <= words.counts[doc]  # rows that share a doc_id but not a text
-            at = (words.first[doc] + at)[inside]
+            at = np.unique(words.first[doc] + at)
             steps = np.zeros(total + 1, np.int32)
             np.add.at(steps, at, 1)
             np.add.at(steps, at + LENGTH, -1)
@@ -169,22 +172,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words left, joined by one space), kept_sha256."""
-    texts = with_texts(documents)
-    anchors = repeated_places(map_arrow(texts, _anchors, PLACES))
-    anchors = materialize(anchors.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "anchors")
-    windows = repeated_places(map_arrow(_joined(texts, anchors), _windows, PLACES))
-    windows = materialize(windows.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "windows")
+    texts = with_row_keys(documents).select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    anchors = repeated_places(map_arrow(texts.select("key", "text"), _anchors, PLACES))
+    anchors = materialize(anchors.groupBy("key").agg(F.collect_list("at").alias("ats")), "anchors")
+    windows = repeated_places(map_arrow(_joined(texts.select("key", "text"), anchors), _windows, PLACES))
+    windows = materialize(windows.groupBy("key").agg(F.collect_list("at").alias("ats")), "windows")
     n = windows.count()
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     if n > BROADCAST_IDS:
-        return map_arrow(texts.join(windows, "doc_id", "left"), _cut, schema)
-    ids = windows.select("doc_id")
-    clean = select_ids(texts, ids, "doc_id", "left_anti", n).withColumn("ats", F.lit(None).cast("array<int>"))
+        return map_arrow(texts.join(windows, "key", "left"), _cut, schema)
+    ids = windows.select("key")
+    clean = select_ids(texts, ids, "key", "left_anti", n).withColumn("ats", F.lit(None).cast("array<int>"))
     return map_arrow(_joined(texts, windows).unionByName(clean), _cut, schema)
 
 
 def _joined(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """The documents that have a list, with it. Few ids first thin out the texts, so that the others don't shuffle."""
+    """The documents that have a list, with it. Few keys first thin out the texts, so that the others don't shuffle."""
     n = lists.count()
-    thin = select_ids(texts, lists.select("doc_id"), "doc_id", count=n) if n <= BROADCAST_IDS else texts
-    return thin.join(lists, "doc_id")
+    thin = select_ids(texts, lists.select("key"), "key", count=n) if n <= BROADCAST_IDS else texts
+    return thin.join(lists, "key")
