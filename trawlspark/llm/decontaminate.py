@@ -7,20 +7,24 @@ if fewer), weighted by their bytes and counted with repeats. A window matches an
 item if 100 * sum(min weight) >= 75 * sum(max weight), the weighted Jaccard
 similarity over their shingles.
 
-Candidates come from fingerprints: a 128-bit SimHash of the weighted shingles, cut
-into BLOCKS blocks of 8 bits. Two fingerprints within RADIUS bits differ in at most
-RADIUS // BLOCKS bits in one block at least (the pigeonhole principle), so the index
-has an entry for each value of each block with the items of that size that are so
-near; what it yields is held against RADIUS on all 128 bits and then verified. At a
-similarity of 0.75 fingerprints differ in 22 bits on average, with a standard
-deviation of 4.3; RADIUS is 5 deviations more. A window without any shingle of any
-item has similarity 0 with all of them and is not fingerprinted; this loses nothing.
-
-The benchmark is a stated query set: it is read in blocks of about ITEM_BYTES of text,
-and each block meets all documents. A block is what a task holds of the benchmark.
+Candidates come from fingerprints alone: every window of every document gets the 64-bit
+SimHash of its weighted shingles. An item is fingerprinted over its first W words, W its
+size class (eight to a doubling, so W > 8/9 L), and so are the windows, so that items of
+like size share them. A fingerprint has BLOCKS blocks of 16 bits; two within RADIUS bits
+differ in at most RADIUS // BLOCKS bits of one block at least (the pigeonhole principle), so
+the index has an entry for each value of each block with the items that are so near
+there, 15 % of all, and its entries are held against RADIUS on all 64 bits, which leaves
+one unrelated pair in 1,200. What is left is verified exactly. At a similarity of 0.75
+fingerprints differ in 11 bits on average, with a standard deviation of 3: RADIUS is 2.8
+deviations more, and of pairs at 0.75 about 1 in 300 is missed, at 0.8 and more hardly any.
+
+The benchmark is a stated query set: it is read in blocks of at most ITEMS_AT_ONCE items and
+ITEM_BYTES of text (a longer item is a block of its own), and each block meets all documents.
+A task holds one block and its index (130 MB at most), and SUMMED words of windows at a time.
 
 Defined results: null and empty texts match nothing, neither as items nor as
-documents; repeated items all match; doc_id and item_id are keys, and null ones are told
+documents; repeated items all match; texts and items of any length are worked on as a whole;
+doc_id and item_id are keys (rows of one doc_id share its items), and null ones are told
 apart by their texts (see common.key_of); extra columns are ignored; an empty benchmark
 keeps all documents; an empty table gives no rows.
 """
@@ -41,174 +45,213 @@ from .common import key_of, materialize, with_texts
 
 WORDS = 5
 THRESHOLD = (75, 100)
-BITS, BLOCKS = 128, 16
-RADIUS = 44
-#: Text of the items in one block of the benchmark, on average.
-ITEM_BYTES = 4 << 20
-#: Windows that are fingerprinted at a time.
-WINDOWS_AT_ONCE = 4096
+BITS, BLOCKS, RADIUS = 64, 4, 19
+#: Items and bytes of their texts in one block of the benchmark, at most.
+ITEMS_AT_ONCE, ITEM_BYTES = 4096, 4 << 20
+#: Words whose windows are fingerprinted at a time, and shingles that are verified at a time.
+SUMMED, VERIFIED = 1 << 13, 1 << 20
+
+_ALL = np.arange(1 << 16)
+_NEAR = _ALL[np.bitwise_count(_ALL) <= RADIUS // BLOCKS].astype(np.uint16)  # what near block values differ by
+
 
-_POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-_NEAR = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS  # pairs of block values
-_NEXT = np.uint64(0xA0761D6478BD642F)
+def size_class(words: int) -> int:
+    """The largest size at most words that has a four-bit mantissa."""
+    shift = max(0, words.bit_length() - 4)
+    return words >> shift << shift
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    """A row of 128 numbers 1 or -1 for each shingle hash."""
-    two = np.stack([hashes, T.mix(hashes ^ _NEXT)], axis=1)
-    bits = np.unpackbits(np.ascontiguousarray(two).view(np.uint8), axis=1)
-    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
+    """A row of 64 numbers 1 or -1 for each shingle hash."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
+    return bits.view(np.int8) * np.int8(2) - np.int8(1)
+
+
+def _packed(positive: np.ndarray) -> np.ndarray:
+    """Rows of 64 booleans as 64-bit numbers."""
+    return np.packbits(positive.ravel()).view(np.uint64)
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """hashes, weights: a row for each window. Fingerprints as rows of 16 bytes."""
-    distinct, at = np.unique(hashes, return_inverse=True)
-    signs = _signs(distinct).astype(np.float32)
-    at = at.reshape(hashes.shape)
-    total = np.zeros((len(hashes), BITS), np.float32)  # sums of small integers: exact
-    for k in range(hashes.shape[1]):
-        total += signs[at[:, k]] * weights[:, k : k + 1].astype(np.float32)
-    return np.packbits(total > 0, axis=1)
+def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.uint64:
+    """The fingerprint of one sequence of shingles."""
+    total = np.zeros(BITS)  # sums of integers: exact
+    for k in range(0, len(hashes), SUMMED):
+        total += weights[k : k + SUMMED].astype(np.float64) @ _signs(hashes[k : k + SUMMED]).astype(np.float64)
+    return _packed(total > 0)[0]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
 
 
 class _Text:
-    """Words of a slice with hashes of shingles and their weights for windows."""
+    """Words of a slice with the hash and weight of every run of k words."""
 
     def __init__(self, column: pa.Array):
         self.words = T.split_words(column)
         self.windows = T.Windows(self.words.hashes(lower=True))
         self.bytes = np.concatenate([[0], np.cumsum(self.words.ends - self.words.starts)])
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def shingles(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The shingle hashes and weights of windows of length words: a row for each start."""
-        k = min(WORDS, length)
-        at = starts[:, None] + np.arange(length - k + 1)[None, :]
-        return self.windows(at, k), self.bytes[at + k] - self.bytes[at]
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.runs:
+            starts = np.arange(max(0, len(self.words.starts) - k + 1))
+            self.runs[k] = self.windows(starts, k), self.bytes[starts + k] - self.bytes[starts]
+        return self.runs[k]
+
+    def prints(self, start: int, size: int) -> np.uint64:
+        k = min(WORDS, size)
+        return simhash(*(x[start : start + size - k + 1] for x in self.shingles(k)))
 
 
 class Index:
-    """The items of one block, by size; built once in each task."""
+    """The items of one block of the benchmark; built once in each task."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         text = _Text(pa.array(texts, pa.string()))
-        counts = text.words.counts
-        self.sizes: dict[int, dict] = {}
-        anchors: dict[int, set[int]] = {}  # shingle hash -> sizes of the items that have it
-        for size in sorted(set(counts.tolist()) - {0}):
-            own = np.flatnonzero(counts == size)
-            hashes, weights = text.shingles(text.words.first[own], size)
-            prints = simhash(hashes, weights)
-            near = np.stack([_NEAR[:, prints[:, b]] for b in range(BLOCKS)])  # block, value, item
-            self.sizes[size] = {"ids": np.array(ids, np.int64)[own], "hashes": hashes, "weights": weights, "prints": prints, "near": near}
-            for h in np.unique(hashes).tolist():
-                anchors.setdefault(h, set()).add(size)
-        self.short = sorted(s for s in self.sizes if s < WORDS)
-        self.anchors = np.array(sorted(anchors), np.uint64)
-        self.of = [np.array(sorted(anchors[h])) for h in self.anchors.tolist()]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.anchors >> np.uint64(44)] = True
-
-    def _hits(self, text: _Text, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The starts of runs of length words that are a shingle of some item, and the shingle's place in anchors."""
-        starts, _ = T.window_starts(text.words, length)
-        h = text.windows(starts, length)
-        some = self.filter[h >> np.uint64(44)]
-        starts, h = starts[some], h[some]
-        at = np.searchsorted(self.anchors, h)
-        at[at == len(self.anchors)] = 0
-        same = self.anchors[at] == h
-        return starts[same], at[same]
+        first, counts = text.words.first, text.words.counts
+        own = np.flatnonzero(counts > 0)
+        of_class = np.array([size_class(int(n)) for n in counts[own]], np.int64)
+        own = own[np.argsort(of_class, kind="stable")]
+        self.ids, self.sizes = np.array(ids, np.int64)[own], counts[own]
+        self.classes: dict[int, np.ndarray] = {}  # window size -> items
+        for i, n in enumerate(self.sizes.tolist()):
+            self.classes.setdefault(size_class(n), []).append(i)
+        self.classes = {w: np.array(x) for w, x in self.classes.items()}
+        self.items, self.prints = [], np.zeros(len(own), np.uint64)
+        self.table = np.zeros((BLOCKS, -(-len(own) // 64), 1 << 16), np.uint64)
+        for i, (at, n) in enumerate(zip(first[own].tolist(), self.sizes.tolist(), strict=True)):
+            k = min(WORDS, n)
+            hashes, weights = (x[at : at + n - k + 1] for x in text.shingles(k))
+            mine, where, have = np.unique(hashes, return_index=True, return_counts=True)
+            self.items.append((mine, weights[where], have, int(weights.sum())))
+            self.prints[i] = text.prints(at, size_class(n))
+            for b, value in enumerate(self.prints[i : i + 1].view(np.uint16)):
+                self.table[b, i // 64, value ^ _NEAR] |= np.uint64(1 << i % 64)
+
+    def near(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The items of a size class with the places of the fingerprints within RADIUS."""
+        parts = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)
+        items = self.classes[size]
+        for g in range(items[0] // 64, items[-1] // 64 + 1):
+            here = items[items // 64 == g]
+            bits = np.uint64(sum(1 << int(i) % 64 for i in here))
+            found = reduce(np.bitwise_or, (self.table[b, g][parts[:, b]] for b in range(BLOCKS))) & bits
+            some = np.flatnonzero(found)
+            found = found[some]
+            for i in here.tolist():
+                at = some[(found >> np.uint64(i % 64)) & np.uint64(1) == 1]
+                at = at[distances(prints[at], self.prints[i]) <= RADIUS]
+                if len(at):
+                    yield i, at
+
+    def candidates(self, text: _Text) -> Iterator[tuple[int, np.ndarray]]:
+        """An item and the first words of windows whose fingerprints are near its own."""
+        first, counts = text.words.first, text.words.counts
+        total = len(text.words.starts)
+        if not len(self.ids) or not total:
+            return
+        end = np.repeat(first[1:], counts)  # of each word's document
+        for k in sorted({min(WORDS, w) for w in self.classes}):
+            sizes = [w for w in self.classes if min(WORDS, w) == k]
+            hashes, weights = text.shingles(k)
+            most, step = max(sizes) - k + 1, max(SUMMED, max(sizes))
+            for a in range(0, len(hashes), step):
+                h, w = hashes[a : a + step + most], weights[a : a + step + most]
+                kind = np.int32 if w.sum() < 1 << 31 else np.int64
+                sums = np.zeros((len(h) + 1, BITS), kind)
+                np.cumsum(_signs(h) * w[:, None].astype(kind), axis=0, dtype=kind, out=sums[1:])
+                for size in sizes:
+                    shingles = size - k + 1
+                    n = min(step, len(h) - shingles + 1)
+                    if n <= 0:
+                        continue
+                    starts = a + np.flatnonzero(np.arange(a, a + n) + size <= end[a : a + n])
+                    prints = _packed(sums[shingles : shingles + n] > sums[:n])[starts - a]
+                    for i, at in self.near(prints, size):
+                        yield i, starts[at]
+        # Documents shorter than the size class, whole: those of fewer than five words have one shingle, which no longer item has.
+        short = np.flatnonzero((counts >= WORDS) & (counts < max(self.classes)))
+        whole = np.array([text.prints(int(first[d]), int(counts[d])) for d in short], np.uint64)
+        for size in self.classes:
+            own = counts[short] < size
+            for i, at in self.near(whole[own], size):
+                yield i, first[short[own][at]]
 
     def matches(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """document (place in the slice), item, start word, shared and total weight of every matching window."""
         text = _Text(column)
-        first, counts = text.words.first, text.words.counts
+        first = text.words.first
         found: list[tuple[np.ndarray, ...]] = []
-        if len(self.anchors):
-            todo: dict[tuple[int, int], list[np.ndarray]] = {}  # item size, window size -> starts
-            for length in (WORDS, *self.short):
-                at, which = self._hits(text, length)
-                doc = np.searchsorted(first, at, "right") - 1
-                for anchor in np.unique(which):
-                    here = which == anchor
-                    p, d = at[here], doc[here]
-                    for size in self.of[anchor].tolist():
-                        if (size < WORDS) != (length < WORDS) or (size < WORDS and size != length):
-                            continue
-                        fits = counts[d] >= size
-                        low = np.maximum(p[fits] - (size - length), first[d[fits]])
-                        high = np.minimum(p[fits], first[d[fits] + 1] - size)
-                        if fits.any():
-                            todo.setdefault((size, size), []).append(T.ranges(low, high - low + 1))
-                        for n in np.unique(counts[d[~fits]]).tolist():  # documents shorter than the item
-                            todo.setdefault((size, n), []).append(first[d[~fits & (counts[d] == n)]])
-            # A document of fewer than five words has one shingle, which no longer item has.
-            for (size, n), starts in todo.items():
-                all_ = np.unique(np.concatenate(starts))
-                for i in range(0, len(all_), WINDOWS_AT_ONCE):
-                    found += self._verify(text, all_[i : i + WINDOWS_AT_ONCE], size, n)
+        for i, starts in self.candidates(text):
+            doc = np.searchsorted(first, starts, "right") - 1
+            size = np.minimum(self.sizes[i], first[doc + 1] - first[doc])
+            fits = starts + size <= first[doc + 1]
+            for n in np.unique(size[fits]).tolist():
+                own = starts[fits & (size == n)]
+                step = max(1, VERIFIED // n)
+                found += [self._verify(text, own[k : k + step], i, n) for k in range(0, len(own), step)]
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(5))
         item, start, shared, total = (np.concatenate(x) for x in zip(*found, strict=True))
         doc = np.searchsorted(first, start, "right") - 1
         return doc, item, start - first[doc], shared, total
 
-    def _verify(self, text: _Text, starts: np.ndarray, size: int, n: int) -> list[tuple[np.ndarray, ...]]:
-        own = self.sizes[size]
-        hashes, weights = text.shingles(starts, n)
-        prints = simhash(hashes, weights)
-        candidates = np.zeros((len(starts), len(own["ids"])), bool)
-        for b in range(BLOCKS):
-            candidates |= own["near"][b][prints[:, b]]
-        w, i = np.nonzero(candidates)
-        if not len(w):
-            return []
-        ok = _POPCOUNT[prints[w] ^ own["prints"][i]].sum(axis=1) <= RADIUS
-        w, i, out = w[ok], i[ok], []
-        for item in np.unique(i):
-            rows = w[i == item]
-            mine, at = np.unique(own["hashes"][item], return_index=True)
-            unit = own["weights"][item][at]
-            have = np.array([(own["hashes"][item] == h).sum() for h in mine])
-            place = np.searchsorted(mine, hashes[rows])
-            place[place == len(mine)] = 0
-            same = mine[place] == hashes[rows]
-            seen = np.zeros((len(rows), len(mine)), np.int64)
-            np.add.at(seen, (np.nonzero(same)[0], place[same]), 1)
-            shared = (np.minimum(seen, have[None, :]) * unit[None, :]).sum(axis=1)
-            total = weights[rows].sum(axis=1) + own["weights"][item].sum() - shared
-            good = THRESHOLD[1] * shared >= THRESHOLD[0] * total
-            out.append((np.full(good.sum(), own["ids"][item]), starts[rows[good]], shared[good], total[good]))
-        return out
-
-
-def _matcher(ids: list[int], texts: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def _verify(self, text: _Text, starts: np.ndarray, i: int, size: int) -> tuple[np.ndarray, ...]:
+        """The windows of size words that match item i."""
+        mine, unit, have, whole = self.items[i]
+        k = min(WORDS, size)
+        hashes, weights = text.shingles(k)
+        at = starts[:, None] + np.arange(size - k + 1)[None, :]
+        own = hashes[at]
+        place = np.searchsorted(mine, own)
+        place[place == len(mine)] = 0
+        row, column = np.nonzero(mine[place] == own)
+        seen = np.bincount(row * len(mine) + place[row, column], minlength=len(starts) * len(mine)).reshape(len(starts), len(mine))
+        shared = (np.minimum(seen, have[None, :]) * unit[None, :]).sum(axis=1)
+        total = weights[at].sum(axis=1) + whole - shared
+        good = THRESHOLD[1] * shared >= THRESHOLD[0] * total
+        return np.full(good.sum(), self.ids[i]), starts[good], shared[good], total[good]
+
+
+def _matcher(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(ids, texts)
-        for batch in T.slices(batches):
-            doc, item, start, shared, total = index.matches(batch.column("text"))
+        index = Index(*shared.value)
+        for batch in T.slices(batches, T.SLICE_BYTES // 2):
+            doc, item, start, shared_, total = index.matches(batch.column("text"))
             # The best window of each document and item, the first of equals.
-            order = np.lexsort((start, -shared / np.maximum(total, 1), item, doc))
-            doc, item, start, shared, total = (x[order] for x in (doc, item, start, shared, total))
+            order = np.lexsort((start, -shared_ / np.maximum(total, 1), item, doc))
+            doc, item, start, shared_, total = (x[order] for x in (doc, item, start, shared_, total))
             best = np.ones(len(doc), bool)
             best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-            ids_ = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            doc, item, start, shared, total = (x[best] for x in (ids_[doc], item, start, shared, total))
-            yield pa.RecordBatch.from_arrays([T.long_column(doc), T.long_column(item), T.long_column(start), pa.array(shared / np.maximum(total, 1), pa.float64())], ["doc_id", "item_id", "start", "similarity"])
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc, item, start, shared_, total = (x[best] for x in (ids[doc], item, start, shared_, total))
+            yield pa.RecordBatch.from_arrays([T.long_column(doc), T.long_column(item), T.long_column(start), pa.array(shared_ / np.maximum(total, 1), pa.float64())], ["doc_id", "item_id", "start", "similarity"])
 
     return run
 
 
+def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+    """The benchmark in blocks of at most ITEMS_AT_ONCE items and ITEM_BYTES, or of one item."""
+    ids, texts, size = [], [], 0
+    for id_, text in items.toLocalIterator():
+        n = len(text.encode())
+        if ids and (len(ids) >= ITEMS_AT_ONCE or size + n > ITEM_BYTES):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(id_)
+        texts.append(text)
+        size += n
+    if ids:
+        yield ids, texts
+
+
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, similarity): the best window of each document that holds an item."""
-    texts = with_texts(documents)
+    texts, context = with_texts(documents), documents.sparkSession.sparkContext
     items = benchmark.select(key_of(F.col("item_id"), F.col("text")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // ITEM_BYTES)
-    parts = []
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()  # about ITEM_BYTES of text
-        parts.append(map_arrow(texts, _matcher([r[0] for r in block], [r[1] for r in block]), "doc_id long, item_id long, start long, similarity double"))
+    # A broadcast is one block: its bound is checked as it is filled.
+    parts = [map_arrow(texts, _matcher(context.broadcast(block)), "doc_id long, item_id long, start long, similarity double") for block in _blocks(items)]
     if not parts:
         return texts.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, similarity double")
     return reduce(DataFrame.unionByName, parts)
