@@ -52,7 +52,7 @@ def run_all(spark, docs, tmp_path):
     items = spark.createDataFrame([(1, "same text here"), (2, None), (None, ""), (3, LONG[:900])], "item_id long, text string")
     return {
         "near": minhash_dedup.near_duplicates(docs), "toxicity": toxicity.toxicity(docs, labels), "pii": pii.pseudonymize(docs), "lines": line_dedup.dedup_lines(docs), "quality": quality_rules.quality_rules(docs),
-        "repeats": substring_dedup.remove_repeats(docs), "leaks": decontaminate.decontaminate(docs, items), "bpe": bpe.round_trip(docs, tokenizer_path()), "grades": quality_model.grade_documents(docs, labels),
+        "repeats": substring_dedup.remove_repeats(docs), "leaks": decontaminate.decontaminate(docs, items), "bpe": bpe.digests(bpe.round_trip(docs, tokenizer_path())), "grades": quality_model.grade_documents(docs, labels),
     }
 
 
@@ -300,25 +300,69 @@ def test_decontamination(spark, real):
 
 def test_blocks_find_all_within_the_radius():
     r = np.random.default_rng(3)
-    a = r.integers(0, 256, (200, 16), dtype=np.uint8)
-    for bits in (0, 10, decontaminate.RADIUS):
-        flips = np.zeros((200, 128), bool)
+    index = decontaminate.Index(list(range(200)), [" ".join(f"i{k}x{j}" for j in range(20)) for k in range(200)])
+    for bits in (0, 10, decontaminate.RADIUS, decontaminate.RADIUS + 1):
+        flips = np.zeros((200, 64), bool)
         for row in flips:
-            row[r.choice(128, bits, replace=False)] = True
-        b = a ^ np.packbits(flips, axis=1)
-        assert decontaminate._NEAR[a, b].any(axis=1).all()
+            row[r.choice(64, bits, replace=False)] = True
+        near = index.prints ^ decontaminate._packed(flips)
+        found = {i: set(at.tolist()) for i, at in index.near(near, 20)}
+        assert [k in found.get(k, ()) for k in range(200)] == [bits <= decontaminate.RADIUS] * 200
+
+
+def test_blocks_select_few_unrelated_fingerprints():
+    index = decontaminate.Index(list(range(64)), [" ".join(f"i{k}x{j}" for j in range(30)) for k in range(64)])
+    prints = np.random.default_rng(5).integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
+    parts = prints.view(np.uint16).reshape(-1, decontaminate.BLOCKS)
+    looked_at = sum(np.bitwise_count(np.bitwise_or.reduce([index.table[b, 0][parts[:, b]] for b in range(decontaminate.BLOCKS)])).tolist())
+    assert looked_at < 0.2 * 64 * 20_000 and sum(len(at) for _, at in index.near(prints, 30)) < 0.003 * 64 * 20_000
+
+
+@pytest.mark.parametrize("size", [15, 31, 59, 200])
+def test_fingerprints_recall_similar_windows(size):
+    """Windows of an item with words replaced until the similarity is between 0.75 and 0.8 or 0.8 and 0.9: what fingerprints alone find of them."""
+    item = prose(size)
+    index = decontaminate.Index([1], [" ".join(item)])
+    rows = {0.75: [], 0.8: []}
+    for _ in range(6000):
+        w = list(item)
+        for _ in range(R.choice((1, 1, 2, 3, 4, 6))):
+            k = R.choice((0, size - 1, R.randrange(size), R.randrange(size)))
+            w[k] = R.choice(VOCABULARY)
+        a, b = brute._weighted(item), brute._weighted(w)
+        both = sum(min(n, b.get(x, 0)) for x, n in a.items())
+        like = both / (sum(a.values()) + sum(b.values()) - both)
+        if 0.75 <= like < 0.9:
+            rows[0.75 if like < 0.8 else 0.8].append(" ".join(w))
+    for least, wanted in ((0.75, 0.97), (0.8, 0.99)):
+        if rows[least]:
+            doc = index.matches(pa.array(rows[least]))[0]
+            assert len(set(doc.tolist())) >= wanted * len(rows[least]), (least, len(rows[least]))
+
+
+def test_long_items_need_little_memory():
+    import tracemalloc
+
+    item = prose(20_000)
+    tracemalloc.start()
+    index = decontaminate.Index([1], [" ".join(item)])
+    doc = index.matches(pa.array([" ".join(prose(30_000)), " ".join(prose(500) + item + prose(500))]))[0]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and set(doc.tolist()) == {1}
+    tracemalloc.stop()
 
 
 # ---- tokens ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [10**6, 300])
-def test_bpe_is_the_library(spark, real, limit):
+@pytest.mark.parametrize("chunk", [bpe.CHUNK_BYTES, 2000])
+def test_bpe_is_the_library(spark, real, chunk):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
     docs = [*real[:60], (-1, None), (-2, ""), (-3, "a<|endoftext|> b  \n c's don'T"), (-4, "日本語 ñandú 😀😀  "), (-5, "x" * 3000)]
-    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(spark.createDataFrame(docs, "doc_id long, text string"), tokenizer_path(), limit), tokenizer_path()).collect()}
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(rows, tokenizer_path(), chunk), tokenizer_path()).collect()}
+    assert got == {r["doc_id"]: r for r in bpe.round_trip(rows, tokenizer_path(), chunk).collect()}
     for i, text in docs:
         ids = t.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(got[i]["ids"]), "<u4").tolist() == ids and got[i]["text"] == t.decode(ids, skip_special_tokens=False), i

@@ -1,43 +1,48 @@
 """Byte-level BPE by a table of distinct words.
 
-1. Texts are split into the tokenizer's words (its pre-tokenizer's pattern) by array
-   operations on code points, and the distinct words are counted.
-2. Each distinct word is encoded once, into the table (word, hash, n, ids).
-3. The ids are joined back by position. A word's occurrences are too many to shuffle
-   for the frequent words, so the most frequent ones, at most HOT_WORDS, are broadcast
-   (their number is checked) and looked up in place; the occurrences of all others are
-   joined with the table by word and put back by document and position.
-4. Decoding looks each id up in the table of pieces, which is as large as the vocabulary.
+1. Texts are split once into the tokenizer's words (its pre-tokenizer's pattern) by array
+   operations on code points, and written in chunks of about CHUNK_BYTES of text: each
+   chunk's distinct words with their numbers, and its documents as sequences of numbers.
+2. The chunks' words meet by a hash of the word, a packed row for each chunk and part of
+   the table of distinct words. In each part every distinct word is encoded once.
+3. The ids are joined back by position: by chunk and number to the places in its
+   documents. The most frequent word is one entry for each chunk and not one for each
+   occurrence, and no task holds more than a chunk, or the distinct words of one part.
+4. Decoding joins every chunk's distinct ids with the table of pieces, which is as large
+   as the vocabulary, and puts the pieces in the places of the ids.
 
 The split follows this pattern (a fixed value of the tokenizer), alternatives in order:
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 and added tokens such as <|endoftext|> are cut out of a text before it.
 
 Defined results: null and empty texts have no ids; invalid UTF-8 counts as U+FFFD;
-doc_id is the key, and null ones are told apart by their texts (see common.key_of);
-repeated rows each come back; extra columns are ignored; an empty table gives no rows. Any length of text works; a
-text is worked on as a whole.
+doc_id is carried along, so null and repeated ones come back as they are, each row with
+its own text's ids; extra columns are ignored; an empty table gives no rows. Any length
+of text works; a text is worked on as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, release_memory, ship
 from . import arrowtext as T
-from .common import materialize, with_texts
+from .common import BROADCAST_IDS, materialize
 
-#: Words whose ids are broadcast, at most: about 30 MB.
-HOT_WORDS = 1_000_000
+#: Text of a chunk, at most (a longer document is a chunk of its own).
+CHUNK_BYTES = 16 << 20
+#: Ids of which a task decodes the documents together, about.
+DECODED_IDS = 1 << 20
 #: Text that is split at a time: every character takes some 60 bytes of arrays.
 SPLIT_BYTES = 1 << 20
 OTHER, LETTER, NUMBER, BLANK, ADDED = range(5)
@@ -46,7 +51,6 @@ BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 #: Letters and numbers of Unicode 16 (fixed values: the tokenizer knows them, Python's older database doesn't).
 NEW_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
 NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
-_MULTIPLY = np.uint64(0xE7037ED1A0B428DB)
 
 
 @lru_cache(1)
@@ -60,22 +64,8 @@ def classes() -> np.ndarray:
     return table
 
 
-def _hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of code points."""
-    power, inverse = T._power(np.uint64(0x9E3779B97F4A7C15), len(c) + 1)
-    total = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _MULTIPLY * power[:-1], out=total[1:])
-    return T.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _hashes(c, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
-
-
 class Split:
-    """The words of a text column: text (all texts in one string), starts and ends in it, hashes, first (each document's first word)."""
+    """The words of a text column: text (all texts in one string), words (its distinct ones), at (each word's place among them), first (each document's first word)."""
 
     def __init__(self, column: pa.Array, added: tuple[str, ...] = ()):
         data, offsets = T.buffers(column)
@@ -116,7 +106,15 @@ class Split:
         self.starts = np.flatnonzero(begin)
         self.ends = np.append(self.starts[1:], n)[: len(self.starts)]
         self.first = np.searchsorted(self.starts, at)
-        self.hashes = _hashes(c, self.starts, self.ends)
+
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and the place of each word among them."""
+        data = np.frombuffer(self.text.encode("utf-8"), np.uint8)
+        edge = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[np.append(self.starts, len(self.text))]  # words cover the text
+        wide = len(data) >= 1 << 31
+        column = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(self.starts), [None, pa.py_buffer(edge.astype(np.int64 if wide else np.int32)), pa.py_buffer(data)])
+        found = column.dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(zero_copy_only=False)
 
     @staticmethod
     def _contractions(c: np.ndarray, kind: np.ndarray, begin: np.ndarray, cut: np.ndarray) -> None:
@@ -143,213 +141,289 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class Pieces:
-    """The bytes of every id, one after another."""
+class Tokenizer:
+    """What a tokenizer's file says besides its merges. The driver reads it; tasks get its text by a broadcast as large as the vocabulary."""
 
-    def __init__(self, tokenizer: str):
-        spec = json.loads(tokenizer)
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.json = f.read()
+        spec = json.loads(self.json)
         of = byte_of_char()
-        by_id = {i: bytes(of[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
-        by_id |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
-        size = [len(by_id.get(i, b"")) for i in range(max(by_id) + 1)]
-        self.data = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(size))), np.uint8)
-        self.sizes = np.array(size, np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.width = np.dtype("<u2") if len(size) <= 1 << 16 else np.dtype("<u4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        out = self.data[T.ranges(self.starts[ids], self.sizes[ids])].tobytes()
-        try:
-            out.decode("utf-8")
-            return out
-        except UnicodeDecodeError:
-            return out.decode("utf-8", "replace").encode()
-
-
-def added_tokens(tokenizer: str) -> tuple[str, ...]:
-    return tuple(x["content"] for x in json.loads(tokenizer)["added_tokens"])
+        self.pieces = {i: bytes(of[c] for c in piece) for piece, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+        self.added = tuple(x["content"] for x in spec["added_tokens"])
+        self.width = np.dtype("<u2") if max(self.pieces) < 1 << 16 else np.dtype("<u4")
+
+
+SPLIT = "chunk long, seq int, docs array<long>, sizes array<int>, numbers binary, part int, lengths binary, data binary"
+#: Of a part of a chunk's words: their numbers as steps, and packed ids with the number of ids of each.
+CODED = "chunk long, numbers binary, lengths binary, data binary"
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes: seven bits a byte, the last one below 128; compressed."""
+    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3, 4))
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(5):
+        own = size > k
+        out[(end - size)[own] + k] = (numbers[own] >> (7 * k)) & 127 | np.where(size[own] > k + 1, 128, 0)
+    return _squeeze(out.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(_expand(packed), np.uint8)
+    last = np.flatnonzero(data < 128)
+    begin = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
+    out = np.zeros(len(last), np.int64)
+    for k in range(5):
+        own = begin + k <= last
+        out[own] |= (data[begin[own] + k].astype(np.int64) & 127) << (7 * k)
+    return out
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _strings(data: bytes, lengths: np.ndarray) -> pa.Array:
+    edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+
+
+class _Chunk:
+    """Documents as sequences of their words' numbers."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, docs: list, s: Split, size: int) -> None:
+        words, at = s.distinct()
+        words = words.to_pylist()
+        own = np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), np.int32, len(words))
+        self.held.append((docs, np.diff(s.first), own[at]))
+        self.size += size
+
+    def rows(self, chunk: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """Rows of SPLIT: of documents (seq), then of words (part of the table by crc32). Numbers are by frequency, so that they pack well."""
+        words = list(self.number)
+        seen = np.zeros(len(words), np.int64)
+        for _, _, own in self.held:
+            seen += np.bincount(own, minlength=len(words))
+        order = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        row = dict.fromkeys(x.split()[0] for x in SPLIT.split(", ")) | {"chunk": chunk}
+        out = [row | {"seq": k, "docs": docs, "sizes": sizes.tolist(), "numbers": pack(rank[own])} for k, (docs, sizes, own) in enumerate(self.held)]
+        data = [words[i].encode() for i in order.tolist()]
+        part = np.fromiter((zlib.crc32(x) % parts for x in data), np.int64, len(data))
+        by_part = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[by_part], np.arange(parts + 1))
+        for k in range(parts):
+            own = by_part[edge[k] : edge[k + 1]]  # ascending numbers
+            if len(own):
+                mine = [data[i] for i in own.tolist()]
+                out.append(row | {"part": k, "numbers": pack(np.diff(own, prepend=0)), "lengths": pack(np.array([len(x) for x in mine])), "data": _squeeze(b"".join(mine))})
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+        for r in out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c]], kind) for c, kind in zip(row, kinds, strict=True)], list(row))
+
+
+def split(documents: DataFrame, tokenizer: Tokenizer, chunk_bytes: int = CHUNK_BYTES, parts: int | None = None) -> DataFrame:
+    """Rows of SPLIT. Of documents: docs (doc_id), sizes (words of each), numbers (of all their words, in order). Of a part of the chunk's distinct
+    words: numbers (ascending, as steps), lengths and data (the words, one after another)."""
+    added, parts = tokenizer.added, parts or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def distinct_words(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n): every distinct word of the texts and its number of occurrences."""
-    added = added_tokens(tokenizer)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = TaskContext.get().partitionId() << 32, _Chunk()
         for batch in T.slices(batches, SPLIT_BYTES):
-            s = Split(batch.column("text"), added)
-            _, at, n = np.unique(s.hashes, return_index=True, return_counts=True)
-            words = [s.text[a:b] for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
+            size = int(T.buffers(batch.column("text"))[1][-1])
+            if held.held and held.size + size > chunk_bytes:
+                yield from held.rows(name, parts)
+                name, held = name + 1, _Chunk()
+            held.add(batch.column("doc_id").to_pylist(), Split(batch.column("text"), added), size)
+        if held.held:
+            yield from held.rows(name, parts)
 
-    return map_arrow(with_texts(documents), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return map_arrow(texts, run, SPLIT)
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """words with hash, and ids (binary: unsigned integers, little-endian, as wide as the vocabulary needs)."""
-    shared = words.sparkSession.sparkContext.broadcast(tokenizer)  # as large as the vocabulary
+def encode_words(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """The chunks' words (rows of SPLIT with part) as rows of CODED: each part of the table is one task's, which encodes a distinct word once."""
+    shared, width = words.sparkSession.sparkContext.broadcast(tokenizer.json), tokenizer.width
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer as Library
 
-        t, width = Tokenizer.from_str(shared.value), Pieces(shared.value).width
+        t = Library.from_str(shared.value)
         t.no_padding()
         t.no_truncation()
+        table: dict[str, bytes] = {}
+        part = None
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [np.array(e.ids, width).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), T.long_column(word_hashes(words)), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
-
-    return map_arrow(words, encode, "word string, n long, hash long, ids binary")
-
-
-class Hot:
-    """The broadcast part of the table: sorted hashes, each one's ids, and every id's rank by its number of occurrences."""
-
-    def __init__(self, table: pa.Table, width: np.dtype, vocabulary: int):
-        hashes = table.column("hash").to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        data, at = T.buffers(table.column("ids").cast(pa.large_binary()).combine_chunks())
-        at = at // width.itemsize
-        ids, sizes = np.frombuffer(data.tobytes(), width), np.diff(at)
-        seen = np.bincount(ids, np.repeat(table.column("n").to_numpy(), sizes), vocabulary)
-        self.by_rank = np.argsort(-seen, kind="stable").astype(np.uint32)
-        self.rank = np.empty(vocabulary, np.uint32)
-        self.rank[self.by_rank] = np.arange(vocabulary, dtype=np.uint32)
-        self.sizes = sizes[order].astype(np.int32)
-        self.ids = ids[T.ranges(at[:-1][order], sizes[order])]
-        self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int64)
-
-    def pack(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids as bytes: their ranks, seven bits a byte, the last one below 128; and how many bytes each id takes."""
-        r = self.rank[ids]
-        size = 1 + (r >= 1 << 7).astype(np.int64) + (r >= 1 << 14) + (r >= 1 << 21)
-        end = np.cumsum(size)
-        out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-        for k in range(4):
-            own = size > k
-            more = np.where(size[own] > k + 1, 128, 0)
-            out[(end - size)[own] + k] = ((r[own] >> np.uint32(7 * k)) & np.uint32(127)) | more.astype(np.uint32)
-        return out, size
-
-    def unpack(self, data: np.ndarray, width: np.dtype) -> np.ndarray:
-        last = np.flatnonzero(data < 128)
-        begin = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
-        r = np.zeros(len(last), np.uint32)
-        for k in range(4):
-            own = begin + k <= last
-            r[own] |= (data[begin[own] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
-        return self.by_rank[r].astype(width)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Each hash's place, or -1."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-
-def hot_words(table: DataFrame, limit: int = HOT_WORDS) -> tuple[DataFrame, bool]:
-    """The words from the lowest count on of which there are at most limit; whether that is all words."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    seen, least = 0, None
-    steps = sorted(table.groupBy(level.alias("l")).count().collect(), reverse=True)  # at most 8 for each doubling
-    for l, n in steps:
-        if seen + n > limit:
-            return table.filter(level >= least) if least is not None else table.limit(0), False
-        seen, least = seen + n, l
-    return table, True
-
-
-def encode(documents: DataFrame, tokenizer_path: str, hot_limit: int = HOT_WORDS) -> DataFrame:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    part, table = row["part"], {}
+                own = _strings(_expand(row["data"]), unpack(row["lengths"])).to_pylist()
+                new = [w for w in own if w not in table]
+                for k in range(0, len(new), 2000):
+                    table.update(zip(new[k : k + 2000], (np.array(e.ids, width).tobytes() for e in t.encode_batch_fast(new[k : k + 2000], add_special_tokens=False)), strict=True))
+                ids = [table[w] for w in own]
+                counts = np.array([len(x) // width.itemsize for x in ids], np.int64)
+                values = ([row["chunk"]], pa.int64()), ([row["numbers"]], pa.binary()), ([pack(counts)], pa.binary()), ([_squeeze(b"".join(ids))], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in values], ["chunk", "numbers", "lengths", "data"])
+
+    return map_arrow(words.repartition("part").sortWithinPartitions("part"), encode, CODED)
+
+
+def _documents(coded: pa.Table, rows: pa.Table, width: np.dtype) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """From a chunk's rows of CODED and its documents' rows of SPLIT: doc_ids, ids of all these documents, and the number of ids of each."""
+    every = [(np.cumsum(unpack(r["numbers"])), unpack(r["lengths"]), np.frombuffer(_expand(r["data"]), width)) for r in coded.to_pylist()]
+    number, counts, flat = (np.concatenate(x) for x in zip(*every, strict=True)) if every else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, width))
+    size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    size[number], start[number] = counts, np.cumsum(counts) - counts
+    for row in rows.sort_by("seq").to_pylist():
+        at = unpack(row["numbers"])
+        n, first = size[at], np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
+        ids = flat[T.ranges(start[at], n)]
+        yield row["docs"], ids, np.diff(np.concatenate([[0], np.cumsum(n)])[first])
+
+
+def _cut(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary value of each document's ids."""
+    edge = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
+def _joined(documents: DataFrame, tokenizer: Tokenizer, finish: Callable, schema: str, chunk_bytes: int) -> DataFrame:
+    """What finish makes of each part of a chunk (see _documents) when the words' ids have been joined back."""
+    rows = materialize(split(documents, tokenizer, chunk_bytes), "split")
+    coded = encode_words(rows.filter("part is not null").select("chunk", "numbers", "part", "lengths", "data"), tokenizer)
+    width = tokenizer.width
+
+    def run(coded: pa.Table, rows: pa.Table) -> pa.Table:
+        try:
+            return pa.Table.from_batches([b for part in _documents(coded, rows, width) for b in finish(*part)])
+        finally:
+            release_memory()
+
+    ship(documents.sparkSession)
+    rows = rows.filter("seq is not null").select("chunk", "seq", "docs", "sizes", "numbers")
+    return coded.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def encode(documents: DataFrame, tokenizer_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned integers of 2 bytes, or 4 for a vocabulary beyond 65536)."""
-    spark: SparkSession = documents.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:  # the driver's own file; the tasks get its text
-        tokenizer = f.read()
-    added, pieces = added_tokens(tokenizer), Pieces(tokenizer)
-    width, vocabulary = pieces.width, len(pieces.sizes)
-    table = materialize(encode_words(distinct_words(documents, tokenizer), tokenizer), "words")
-    chosen, whole = hot_words(table, hot_limit)
-    hot = spark.sparkContext.broadcast(Hot(chosen.select("hash", "ids", "n").toArrow(), width, vocabulary))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The occurrences of words that weren't broadcast: (doc_id, k, word), k their order in the document."""
-        for batch in T.slices(batches, SPLIT_BYTES):
-            s = Split(batch.column("text"), added)
-            at = np.flatnonzero(hot.value.find(s.hashes) < 0)
-            doc = np.searchsorted(s.first, at, "right") - 1
-            k = np.arange(len(at)) - np.searchsorted(doc, doc)
-            words = [s.text[a:b] for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist(), strict=True)]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([T.long_column(ids[doc]), pa.array(k.astype(np.int32)), pa.array(words, pa.string())], ["doc_id", "k", "word"])
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, ids of the broadcast words, gaps: how many ids come before each of the others. If there are others, the ids are
-        packed, since they will be shuffled."""
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in T.slices(batches, SPLIT_BYTES):
-            s, h = Split(batch.column("text"), added), hot.value
-            at = h.find(s.hashes)
-            sizes = np.where(at >= 0, h.sizes[at], 0).astype(np.int64) if len(h.sizes) else np.zeros(len(at), np.int64)
-            ids = h.ids[T.ranges(h.starts[at], sizes)] if len(h.sizes) else np.zeros(0, width)
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            edge = before[s.first]
-            gap = np.flatnonzero(at < 0)
-            doc = np.searchsorted(s.first, gap, "right") - 1
-            lists = T.ragged(pa.array((before[gap] - edge[doc]).astype(np.int32)), np.bincount(doc, minlength=batch.num_rows))
-            if whole:
-                raw, place = ids.astype(width).tobytes(), edge * width.itemsize
-            else:
-                packed, size = h.pack(ids)
-                raw, place = packed.tobytes(), np.concatenate([[0], np.cumsum(size)])[edge]
-            each = [raw[i:j] for i, j in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each if whole else map(squeeze, each), pa.binary()), lists], ["doc_id", "ids", "gaps"])
-
-    texts = with_texts(documents)
-    out = map_arrow(texts, frequent, "doc_id long, ids binary, gaps array<int>")
-    if whole:
-        return out.select("doc_id", "ids")
-    # Only words that weren't broadcast meet the table here, so no frequent word is a key of this join.
-    placed = map_arrow(texts, rare, "doc_id long, k int, word string").join(table.select("word", F.col("ids").alias("own")), "word")
-    # A set, and not a list: repeated rows have the same words in the same places.
-    placed = placed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("k", "own"))).alias("rest"))
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            merged = []
-            for packed, gaps, rest in zip(*(batch.column(c).to_pylist() for c in ("ids", "gaps", "rest")), strict=True):
-                ids = hot.value.unpack(np.frombuffer(expand(packed), np.uint8), width).tobytes()
-                parts, last = [], 0
-                for gap, own in zip(gaps, rest or (), strict=True):
-                    parts += [ids[last * width.itemsize : gap * width.itemsize], own]
-                    last = gap
-                merged.append(b"".join([*parts, ids[last * width.itemsize :]]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(merged, pa.binary())], ["doc_id", "ids"])
 
-    return map_arrow(out.join(placed.select("doc_id", F.col("rest.own").alias("rest")), "doc_id", "left"), splice, "doc_id long, ids binary")
+    def finish(docs: list, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _cut(ids, counts)], ["doc_id", "ids"])
 
+    return _joined(documents, Tokenizer(tokenizer_path), finish, "doc_id long, ids binary", chunk_bytes)
 
-def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (4-byte unsigned integers, little-endian), text (decoded)."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
+#: Rows that ask for pieces: part (told apart within a task's stream by its change), id; then its documents, with a null id.
+ASKED = "part int, id int, doc_id long, ids binary"
+
+
+def _asking(docs: list, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ASKED for some documents: their distinct ids, then the documents."""
+    wanted = np.unique(ids)
+    part = int(counts.sum() % (1 << 31))
+    nulls = lambda n, kind: pa.nulls(n, kind)
+    names = ["part", "id", "doc_id", "ids"]
+    # A row in front, without an id or ids, says that a new part starts.
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), nulls(1, pa.int64()), nulls(1, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wanted), part, np.int32)), pa.array(wanted.astype(np.int32)), nulls(len(wanted), pa.int64()), nulls(len(wanted), pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), part, np.int32)), nulls(len(docs), pa.int32()), pa.array(docs, pa.int64()), _cut(ids, counts)], names)
+
+
+class Pieces:
+    """The pieces that were joined for the current part."""
+
+    def __init__(self) -> None:
+        self.fill(np.zeros(0, np.int64), b"", np.zeros(1, np.int64))
+
+    def fill(self, ids: np.ndarray, data: bytes, edge: np.ndarray) -> None:
+        size = int(ids.max()) + 1 if len(ids) else 0
+        self.data = np.frombuffer(data, np.uint8)
+        self.sizes, self.starts = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        self.sizes[ids], self.starts[ids] = np.diff(edge), edge[:-1]
+
+    def decode(self, ids: np.ndarray) -> str:
+        size = self.sizes[ids]  # an id that was not joined is beyond the table or below
+        if len(size) and size.min() < 0:
+            raise ValueError("an id came without its piece")
+        return self.data[T.ranges(self.starts[ids], size)].tobytes().decode("utf-8", "replace")
+
+
+def _put_together(width: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value)
+        pieces, held, last = Pieces(), [], None  # held: the current part's pieces that aren't filled in yet
         for batch in batches:
-            ids = [np.frombuffer(x, pieces.width) for x in batch.column("ids").to_pylist()]
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([pieces.decode(x).decode() for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
+            id_ = batch.column("id")
+            kind = np.where(id_.is_null().to_numpy(zero_copy_only=False), 2, np.where(id_.fill_null(0).to_numpy(zero_copy_only=False) < 0, 0, 1))
+            cuts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]]) if len(kind) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    held, last = [], rows.column("part")[b - a - 1].as_py()
+                elif kind[a] == 1:
+                    held.append(rows.select(["id", "piece"]))
+                else:
+                    if rows.column("part")[0].as_py() != last:
+                        raise ValueError("documents came without their pieces")
+                    if held:
+                        table = pa.Table.from_batches(held)
+                        data, edge = T.buffers(table.column("piece").cast(pa.large_binary()))
+                        pieces.fill(table.column("id").to_numpy().astype(np.int64), data.tobytes(), edge)
+                        held = []
+                    ids = [np.frombuffer(x, width) for x in rows.column("ids").to_pylist()]
+                    columns = [rows.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([pieces.decode(x) for x in ids], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
+
+    return run
+
+
+def _with_pieces(asked: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """The join of ids with pieces, and the texts: doc_id, n_tokens, ids, text."""
+    if len(tokenizer.pieces) > BROADCAST_IDS:
+        raise ValueError("a vocabulary beyond a million pieces is not broadcast")
+    table = pa.table({"id": pa.array(list(tokenizer.pieces), pa.int32()), "piece": pa.array(list(tokenizer.pieces.values()), pa.binary())})
+    # The broadcast side is the vocabulary (checked); the other side streams through in its order, so a part's pieces come before its documents.
+    j = asked.join(F.broadcast(asked.sparkSession.createDataFrame(table)), "id", "left").select("part", "id", "piece", "doc_id", "ids")
+    return map_arrow(j, _put_together(tokenizer.width), "doc_id long, n_tokens long, ids binary, text string")
+
+
+def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (4-byte unsigned integers, little-endian), text (decoded)."""
+    tokenizer = Tokenizer(tokenizer_path)
+    width = tokenizer.width
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, DECODED_IDS * width.itemsize, ("ids",)):
+            data, edge = T.buffers(batch.column("ids"))
+            yield from _asking(batch.column("doc_id").to_pylist(), np.frombuffer(data.tobytes(), width), np.diff(edge) // width.itemsize)
+
+    return _with_pieces(map_arrow(encoded.select("doc_id", "ids"), ask, ASKED), tokenizer)
+
 
-    return map_arrow(encoded, run, "doc_id long, n_tokens long, ids binary, text string")
+def round_trip(documents: DataFrame, tokenizer_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """decode(encode(documents)) with one Python stage less: doc_id, n_tokens, ids (4 bytes each), text (decoded)."""
+    tokenizer = Tokenizer(tokenizer_path)
+    return _with_pieces(_joined(documents, tokenizer, _asking, ASKED, chunk_bytes), tokenizer)
 
 
-def round_trip(documents: DataFrame, tokenizer_path: str) -> DataFrame:
+def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, each taken from the operator's ids and decoded text."""
-    out = decode(encode(documents, tokenizer_path), tokenizer_path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
