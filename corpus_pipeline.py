@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlspark.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
-from trawlspark.llm.common import key_of, materialize, restored, rows_without, select_ids
+from trawlspark.llm.common import key_of, materialize, rows_without, select_ids
 from trawlspark.llm.queries import tokenizer_path
 
 
@@ -58,8 +58,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, decoded again for the round trip."""
-    out = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
-    return restored(out).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    out = bpe.round_trip(docs, tokenizer_path())
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
