@@ -21,6 +21,7 @@ from trawlspark.streaming import ingest
 SAMPLE = (
     "audit_all", "filter_has_rule", "filter_url_contains", "filter_view_bar", "grid_window_title_asc", "grid_window_meta_description_desc", "grid_headings", "issue_by_rule", "issue_totals", "rule_index", "report_examples", "crawl_overview",
     "frontier_done", "page_detail", "inlinks", "structure_children", "resource_rows", "sitemap_summary_truncated", "view_urls", "search_preview", "export_pages", "bfs_depth", "redirect_walk", "upsert_pages", "extract_title", "extract_links", "extract_word_count", "normalize_url", "url_notes",
+    "real_audit", "real_grid_has_issue", "real_query_total", "real_links", "real_inlink_counts", "body_hash", "sql_functions", "robots_allows", "sitemap_locations", "image_pass", "crawl_site", "crawl_site_failures", "replace_outlinks", "sitemap_first_writer", "landed_redirects", "follows",
 )
 
 
@@ -142,7 +143,6 @@ def test_store_round_trip(spark, tables, tmp_path):
 
 
 def test_settings():
-    assert api.output_name("https://www.example.com/a b/") == "example.com-a-b"
     for bad in ({"concurrency": 0}, {"max_urls": 0}, {"seed": "example"}):
         with pytest.raises(api.CrawlError):
             api.CrawlSettings(**({"seed": "https://a.com"} | bad))
@@ -175,7 +175,7 @@ def test_depths_have_no_bound(spark, tables):
         level = sorted({v for u in level for v in out.get(u, []) if v is not None} - set(want))
         want |= {v: max(want.values()) + 1 for v in level}
     assert max(want.values()) > 6
-    assert {r["url"]: r["depth"] for r in engine.QUERIES["bfs_depth_all"](spark, SF).collect()} == want
+    assert {r["url"]: r["depth"] for r in engine.QUERIES["bfs_depth"](spark, SF).collect()} == want
 
 
 def test_extraction_keeps_only_crawlable_pages(spark):

@@ -107,7 +107,7 @@ def test_redirects_and_retries():
     assert (go("https://a.com/1").final, len(go("https://a.com/1").hops)) == ("https://a.com/3", 2)
     assert go("https://a.com/l").outcome.startswith("redirect loop") and len(go("https://a.com/l").hops) == 1
     assert go("https://a.com/n").outcome == "no location" and go("https://a.com/1", most=1).outcome.startswith("more than")
-    assert go("https://a.com/1", allowed=lambda u: not u.endswith("2")).outcome == "robots.txt disallows https://a.com/2"
+    assert go("https://a.com/1", allowed=lambda u: f"robots.txt disallows {u}" if u.endswith("2") else None).outcome == "robots.txt disallows https://a.com/2"
     answers, waits = [http.Response(503), http.Response(429, {"retry-after": "3"}), http.Response(200)], []
     assert http.fetch(lambda m, u: answers.pop(0), "u", sleep=waits.append).status == 200 and waits == [0.5, 3.0]
     assert http.wait_before(1, 61) is None and http.wait_before(1, 0.1) == 0.5 and http.wait_before(3, None) is None

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import crawl, schema
 from .functions.urls import canonical_url
 from .operators import audit as A
 from .operators import export, grid, lookups, overviews, views
 from .operators.registry import Registry
-from .sources import store
+from .sources import http, store
 
 
 class CrawlError(ValueError):
@@ -29,6 +33,22 @@ class BadSeed(CrawlError):
         self.suggestion = suggestion
 
 
+class Missing(CrawlError):
+    """No such crawl or page."""
+
+
+class StoreError(CrawlError):
+    """A crawl's folder can't be read or written."""
+
+
+class ExportError(CrawlError):
+    """A file could not be written whole."""
+
+
+class AlreadyRunning(CrawlError):
+    """One crawl runs at a time."""
+
+
 class OutputExists(CrawlError):
     def __init__(self, path: str, suggestion: str):
         super().__init__(f"{path} exists; {suggestion} is free")
@@ -61,9 +81,9 @@ def seed_suggestion(seed: str) -> str | None:
 
 
 def output_name(seed: str) -> str:
-    """A file name from a seed's host and path."""
-    bare = re.sub(r"^https?://(www\.)?", "", seed)
-    return re.sub(r"[^A-Za-z0-9.]+", "-", bare).strip("-.") or "crawl"
+    """A file name from a seed's host: without www., in lower case, other characters than ASCII letters and digits as hyphens."""
+    host = re.sub(r"^(www\.)+", "", seed.rsplit("://", 1)[-1].split("/")[0]).strip()
+    return (re.sub(r"[^A-Za-z0-9]", "-", host).lower().strip("-") or "crawl") + ".crawl"
 
 
 def free_name(path: str) -> str:
@@ -118,21 +138,27 @@ class Crawl:
         return lookups.structure_window(lookups.structure(self.tables["pages"], prefix))
 
     def page_detail(self, page_id: int) -> DataFrame:
-        return lookups.page_detail(self.tables, page_id)
+        found = lookups.page_detail(self.tables, page_id)
+        if self.tables["pages"].filter(F.col("id") == page_id).isEmpty():
+            raise Missing(f"no page {page_id}")
+        return found
 
     def resource_rows(self, offset: int = 0, limit: int = 100) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return grid.window(lookups.resource_rows(self.tables), [F.col("url")], offset, limit)
 
     def sitemap_urls(self, offset: int = 0, limit: int = 100) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return grid.window(lookups.sitemap_rows(self.tables), [F.col("url")], offset, limit)
 
     def sitemap_summary(self) -> DataFrame:
         return lookups.sitemap_summary(self.tables)
 
+    def sitemap_files(self) -> DataFrame:
+        """The sitemap files that were read: those without an answer have status 0."""
+        return self.tables["sitemaps"].orderBy("url")
+
+    def rules(self) -> list[dict[str, str]]:
+        return [{"id": r.id, "severity": r.severity, "description": r.description, "remedy": r.remedy} for r in self.registry.rules]
+
     def view(self, name: str) -> DataFrame:
         return views.view_rows(self.tables, name)
 
@@ -154,7 +180,90 @@ class Crawl:
         if kind in ("docx", "pdf"):
             (export.write_docx if kind == "docx" else export.write_pdf)(self.report(), path)
         elif kind == "xlsx":
-            export.export_workbook(self.tables, self.crawl_overview().first().asDict(), path)
+            dropped = {k: n for k, n in export.export_workbook(self.tables, self.crawl_overview().first().asDict(), path).items() if n}
+            if dropped:
+                raise ExportError(f"{path} is not whole: " + ", ".join(f"{n:,} rows of {k} are beyond a sheet's last row" for k, n in dropped.items()))
         else:
             with open(path, "w", encoding="utf-8", newline="") as out:
                 (export.write_csv if kind == "csv" else export.write_json)(export.export_rows(self.tables, subject, filters, sort), out)
+
+
+class Engine:
+    """What an application holds: at most one open crawl, and at most one that runs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.crawl = spark, None
+        self.lifecycle: crawl.Lifecycle | None = None
+        self.worker: threading.Thread | None = None
+        self.error: BaseException | None = None
+
+    def engine_info(self) -> dict[str, object]:
+        return {"version": schema.VERSION, "spark": self.spark.version, "rules": len(A.standard_registry().rules), "formats": export.FORMATS}
+
+    def rules(self) -> list[dict[str, str]]:
+        return Crawl(self.spark, tables={}).rules()
+
+    def suggest_output(self, seed: str, folder: str = ".") -> str:
+        return free_name(str(Path(folder) / output_name(seed)))
+
+    def open_crawl(self, root: str) -> Crawl:
+        self.crawl = Crawl(self.spark, root)
+        return self.crawl
+
+    def close_crawl(self) -> None:
+        self.crawl = None
+
+    def current_crawl(self) -> Crawl:
+        if self.crawl is None:
+            raise NoCrawlOpen("no crawl is open")
+        return self.crawl
+
+    def may_start(self) -> bool:
+        return self.worker is None or not self.worker.is_alive()
+
+    def start_crawl(self, settings: CrawlSettings, root: str, transport_factory: Callable[[], http.Transport] | None = None, on_progress: Callable[[crawl.Progress], None] = lambda p: None, resume: str | None = None) -> crawl.Lifecycle:
+        """Crawl in the background and store the result in root, which is then open. resume: the folder of a crawl to go on with."""
+        if not self.may_start():
+            raise AlreadyRunning("a crawl is running")
+        config = http.FetchConfig(per_host=settings.concurrency)
+        make = transport_factory or (lambda: http.standard_transport(config))
+        self.lifecycle, self.error = crawl.Lifecycle(settings.max_depth, settings.max_urls, settings.max_seconds), None
+        life = self.lifecycle
+
+        def run() -> None:
+            try:
+                old = store.open_crawl(self.spark, resume) if resume else None
+                pending, seen = crawl.resume_state(old) if old else (None, None)
+                tables = crawl.run_crawl(self.spark, settings.seed, make, life, config, on_progress=on_progress, pending=pending, seen=seen, before=old)
+                store.save(tables, root, analysed=life.status == crawl.COMPLETED)
+                self.crawl = Crawl(self.spark, root)
+            except Exception as e:  # told to who waits for the crawl
+                self.error = e
+
+        self.worker = threading.Thread(target=run, daemon=True)
+        self.worker.start()
+        return life
+
+    def wait(self, timeout: float | None = None) -> None:
+        """Until the running crawl ends; its error is raised here."""
+        if self.worker is not None:
+            self.worker.join(timeout)
+        if self.error is not None:
+            raise StoreError(str(self.error)) from self.error
+
+    def _running(self) -> crawl.Lifecycle:
+        if self.lifecycle is None:
+            raise Missing("no crawl was started")
+        return self.lifecycle
+
+    def pause_crawl(self) -> bool:
+        return self._running().pause()
+
+    def resume_crawl(self) -> bool:
+        return self._running().resume()
+
+    def cancel_crawl(self) -> bool:
+        return self._running().cancel()
+
+    def progress(self) -> crawl.Progress:
+        return self._running().progress()

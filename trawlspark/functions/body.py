@@ -35,7 +35,7 @@ def sniff(body: bytes) -> str | None:
             return kind
     if body[:4] == b"RIFF" and body[8:12] == b"WEBP":
         return "image"
-    head = body.lstrip(b" \t\r\n\x0c")[:512].lower()
+    head = body[:512].lstrip(b" \t\r\n\x0c").lower()  # the window is cut first: a body of blanks is no scan
     return "html" if head.startswith((b"<!doctype html", b"<html")) else None
 
 

@@ -54,10 +54,10 @@ def base_host(name: Column) -> Column:
 
 
 def is_internal(url: Column, seed: Column, subdomains: bool = False) -> Column:
-    """Same base host, and the same port where either is not its scheme's own; with subdomains, hosts below the seed's too."""
+    """Same base host and port, where a scheme's own port counts as none; with subdomains, hosts below the seed's too."""
     mine, home = base_host(host(url)), base_host(host(seed))
-    standard = lambda u: ((port(u) == 443) & u.startswith("https:")) | ((port(u) == 80) & u.startswith("http:"))
-    same_port = (port(url) == port(seed)) | (standard(url) & standard(seed))
+    own = lambda u: F.nullif(port(u), F.when(u.startswith("https:"), 443).otherwise(80))
+    same_port = own(url).eqNullSafe(own(seed))
     below = mine.endswith(F.concat(F.lit("."), home)) if subdomains else F.lit(False)
     return same_port & ((mine == home) | below)
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin
+import unicodedata
+from urllib.parse import unquote, urljoin
 
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 _URL = re.compile(r"(?i)^(https?):[/\\]+([^/\\?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$", re.S)
@@ -38,11 +39,35 @@ def _resolve_dots(path: str) -> str:
 def _host(host: str) -> str | None:
     if host.startswith("["):
         return host.lower() if re.fullmatch(r"\[[0-9a-fA-F:.]+\]", host) else None
+    host = unquote(host) if "%" in host else host
+    name = host.lower() if host.isascii() else _ascii_name(host)
+    if not name or _FORBIDDEN_HOST.search(name):
+        return None
+    labels = name.removesuffix(".").split(".")
+    return _ipv4(labels) if re.fullmatch(r"[0-9]+|0x[0-9a-f]*", labels[-1]) else name
+
+
+def _ascii_name(host: str) -> str | None:
+    """A host in punycode by IDNA 2008: sharp s, final sigma and joiners are letters of their own, other characters fold."""
+    folded = "".join(ch if ch in "ßς\u200c\u200d" else ch.casefold() for ch in host.translate({0x3002: ".", 0xFF0E: ".", 0xFF61: "."}) if ch != "\u00ad")
     try:
-        host = host.encode("ascii").decode() if host.isascii() else host.encode("idna").decode()
+        return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in unicodedata.normalize("NFKC", folded).split("."))
     except UnicodeError:
         return None
-    return host.lower() if host and not _FORBIDDEN_HOST.search(host) else None
+
+
+def _ipv4(labels: list[str]) -> str | None:
+    """Dotted decimal of one to four numbers (decimal, 0 octal, 0x hexadecimal), the last of which fills what is left; None if they are none."""
+    if len(labels) > 4:
+        return None
+    try:
+        n = [int(x[2:] or "0", 16) if x.startswith("0x") else int(x, 8) if len(x) > 1 and x[0] == "0" else int(x) for x in labels]
+    except ValueError:
+        return None
+    if any(x > 255 for x in n[:-1]) or n[-1] >= 256 ** (5 - len(n)):
+        return None
+    whole = n[-1] + sum(x << 8 * (3 - k) for k, x in enumerate(n[:-1]))
+    return ".".join(str(whole >> s & 255) for s in (24, 16, 8, 0))
 
 
 def canonical_url(text: str | None) -> str | None:

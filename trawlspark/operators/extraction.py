@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..functions import urls
 from ..functions.html import ROBOTS, Markup, extract
-from ..functions.text import fnv1a64
+from ..functions.text import fnv1a64_many
 from ..schema import RECORD, RECORD_FIELDS
 from ..shipping import map_arrow, ship
 
@@ -38,7 +39,7 @@ def _record(url: str, html: str | None, t: dict) -> dict:
         "url": url, "status": t["status"], "depth": t["depth"], "size": len(raw), "truncated": bool(t["truncated"]), "content_type": mime, "charset": B.charset(t["content_type"]),
         "kind": kind, "content_type_mismatch": wrong, "elapsed_ms": t["elapsed_ms"], "time_to_headers_ms": t["time_to_headers_ms"], "redirect_chain": t["redirect_chain"] or [],
         "title": m.title, "title_count": m.title_count, "meta_description": m.meta_description, "h1": m.h1, "h2": m.h2, "canonical": m.canonical, "canonical_url": m.canonical_url,
-        **{d: d in m.robots for d in ROBOTS}, "hreflang": m.hreflang, "open_graph": m.open_graph, "links": m.links, "images": m.images, "word_count": len(m.words), "body_hash": m.body_hash,
+        **{d: d in m.robots for d in ROBOTS}, "hreflang": m.hreflang, "open_graph": m.open_graph, "links": m.links, "images": m.images, "word_count": len(m.words), "body_hash": " ".join(m.words).encode() if m.words else None,
     }
 
 
@@ -58,6 +59,9 @@ def extract_records(pages: DataFrame) -> DataFrame:
                     url = urls.canonical_url(row["url"])
                     if url is not None:
                         records.append(_record(url, row["html"], row))
+                full = [r for r in records if r["body_hash"] is not None]
+                for r, h in zip(full, fnv1a64_many([r["body_hash"] for r in full]).tolist(), strict=True):
+                    r["body_hash"] = h
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in records], kinds[c]) for c in order], order)
 
     return map_arrow(source, run, RECORD)
@@ -100,6 +104,9 @@ def text_hashes(df: DataFrame, column: str, into: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def hashed(a: pd.Series) -> pd.Series:
-        return pd.Series([fnv1a64(x.encode()) if isinstance(x, str) else None for x in a], dtype="Int64")
+        there = a.map(lambda x: isinstance(x, str)).to_numpy(bool)
+        out = pd.Series(pd.array(np.zeros(len(a), np.int64), dtype="Int64")).mask(~there)
+        out[there] = fnv1a64_many([x.encode() for x in a[there]])
+        return out
 
     return df.withColumn(into, hashed(F.col(column)))

@@ -18,19 +18,20 @@ def merge_frontier(old: DataFrame, new: DataFrame) -> DataFrame:
 def bfs_depths(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_urls: int | None = None) -> DataFrame:
     """links (source, target), seeds (url) -> url, depth: the fewest links from a seed.
 
-    A level is the distinct targets of the level before that were not seen. Each level is written to shared storage, so the plan of a
-    level reads two tables however deep the crawl is.
+    A level is the distinct targets of the level before that were not seen. Each level is written to shared storage once, and what was
+    seen is the union of the levels' files, so nothing is computed or written again.
     """
-    seen = cut(seeds.select("url", F.lit(0).alias("depth")).distinct())
-    level, depth = seen, 0
+    level, depth = cut(seeds.select("url", F.lit(0).alias("depth")).distinct()), 0
+    seen, total = level, level.count() if max_urls is not None else 0
     while (max_depth is None or depth < max_depth) and not level.isEmpty():
         depth += 1
         found = links.join(level.select(c("url").alias("source")), "source", "left_semi").select(c("target").alias("url")).filter("url is not null").distinct()
         level = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
         if max_urls is not None:
-            level = level.orderBy("url").limit(max(0, max_urls - seen.count()))
+            level = level.orderBy("url").limit(max(0, max_urls - total))
         level = cut(level)
-        seen = cut(seen.unionByName(level))
+        total += level.count() if max_urls is not None else 0
+        seen = seen.unionByName(level)  # each level's rows are written once
     return seen
 
 

@@ -35,15 +35,14 @@ def _missing_alt() -> Column:
 
 
 def _mixed_content() -> Column:
-    insecure = F.filter("links", lambda x: x["target"].startswith("http://"))
-    return F.when(c("url").startswith("https://"), F.transform(insecure, lambda x: x["href"]))
+    return F.when(c("url").startswith("https://"), F.transform(F.filter("links", lambda x: x["target"].startswith("http://")), lambda x: x["href"]))
 
 
 PAGE_RULES = (
     PageRule("response.4xx", "warning", "The server says the page is not there.", "Restore it, redirect it, or stop linking to it.", lambda: once(c("status").between(400, 499), F.concat(F.lit("HTTP "), c("status").cast("string"))), False),
     PageRule("response.5xx", "critical", "The server failed to answer.", "Find the fault in the server's log.", lambda: once(c("status") >= 500, F.concat(F.lit("HTTP "), c("status").cast("string"))), False),
     PageRule("response.redirect-chain", "warning", "The page is reached over more than two redirects.", "Link to the final address.", lambda: once(F.size("redirect_chain") > 2, _count(F.size("redirect_chain"), " redirects")), False),
-    PageRule("response.mixed-content", "critical", "A secure page links to an insecure address.", "Use https in the link.", _mixed_content, False),
+    PageRule("response.mixed-content", "critical", "A secure page links to an insecure address.", "Use https in the link.", _mixed_content),
     PageRule("title.missing", "critical", "There is no title.", "Write one for this page.", lambda: once(c("title").isNull())),
     PageRule("title.too-long", "warning", "The title has more than 60 characters.", "Say the same in fewer.", lambda: once(_chars("title") > 60, _count(_chars("title"), " characters"))),
     PageRule("title.too-short", "warning", "The title has fewer than 30 characters.", "Use the room to describe the page.", lambda: once(_chars("title") < 30, _count(_chars("title"), " characters"))),
@@ -61,14 +60,37 @@ PAGE_RULES = (
     PageRule("media.missing-alt", "warning", "An image has no alt attribute.", "Describe it, or leave alt empty for decoration.", _missing_alt),
 )
 
+KNOWN = frozenset(r.id for r in PAGE_RULES)
+#: Rules that read more than the pages table; of a rule that is not listed here, everything is at hand.
+NEED_DETAIL = frozenset(("response.redirect-chain", "content.missing-h1", "content.multiple-h1", "content.empty-h1", "media.missing-alt"))
+NEED_LINKS = frozenset(("response.mixed-content",))
 
-def page_subjects(tables: dict[str, DataFrame]) -> DataFrame:
-    """What page rules read: pages with their detail and links (array of href, target in document order)."""
-    links = tables["links"].groupBy(c("source_page_id").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "href", c("target_url").alias("target")))), lambda x: F.struct(x["href"].alias("href"), x["target"].alias("target"))).alias("links"))
-    detail = tables["page_detail"].select("page_id", "redirect_chain", "h1", "images")
+
+def page_subjects(tables: dict[str, DataFrame], rules: tuple[PageRule, ...] = PAGE_RULES) -> DataFrame:
+    """What the rules read: pages, with their detail and their links (array of href, target in document order) if a rule asks for them.
+
+    Of the links only insecure ones matter, so the others are filtered at the scan and don't shuffle.
+    """
+    named = {r.id for r in rules}
     none = F.array()
-    j = tables["pages"].join(detail, c("id") == detail["page_id"], "left").drop("page_id").join(links, c("id") == links["page_id"], "left").drop("page_id")
-    return j.withColumns({"redirect_chain": F.coalesce("redirect_chain", none.cast(_TEXT)), "h1": F.coalesce("h1", none.cast(_TEXT)), "images": F.coalesce("images", F.from_json(F.lit("[]"), "array<struct<src: string, alt: string>>")), "links": F.coalesce("links", F.from_json(F.lit("[]"), "array<struct<href: string, target: string>>"))})
+    empty = {"redirect_chain": none.cast(_TEXT), "h1": none.cast(_TEXT), "images": F.from_json(F.lit("[]"), "array<struct<src: string, alt: string>>"), "links": F.from_json(F.lit("[]"), "array<struct<href: string, target: string>>")}
+    j = tables["pages"]
+    if named & NEED_DETAIL or not named <= KNOWN:
+        detail = tables["page_detail"].select("page_id", "redirect_chain", "h1", "images")
+        j = j.join(detail, c("id") == detail["page_id"], "left").drop("page_id")
+    if named & NEED_LINKS or not named <= KNOWN:
+        links = _insecure_links(tables["links"]) if named <= KNOWN else _links(tables["links"])
+        j = j.join(links, c("id") == links["page_id"], "left").drop("page_id")
+    return j.withColumns({k: F.coalesce(k, v) if k in j.columns else v for k, v in empty.items()})
+
+
+def _insecure_links(links: DataFrame) -> DataFrame:
+    return _links(links.filter(c("target_url").startswith("http://")))
+
+
+def _links(links: DataFrame) -> DataFrame:
+    own = F.array_sort(F.collect_list(F.struct("id", "href", c("target_url").alias("target"))))
+    return links.groupBy(c("source_page_id").alias("page_id")).agg(F.transform(own, lambda x: F.struct(x["href"].alias("href"), x["target"].alias("target"))).alias("links"))
 
 
 def page_findings(subjects: DataFrame, rules: tuple[PageRule, ...] = PAGE_RULES) -> DataFrame:

@@ -41,7 +41,7 @@ def _canonical_chain(t: Tables) -> DataFrame:
 def _linked_from(t: Tables, targets: DataFrame) -> DataFrame:
     """targets with linked, the distinct pages that link to them. Pairs are made distinct first, so a page linked from everywhere is
     counted in parts."""
-    pairs = t["links"].select(c("target_url").alias("url"), "source_page_id").join(targets.select("url"), "url", "left_semi").distinct()
+    pairs = t["links"].select(c("target_url").alias("url"), "source_page_id").distinct().join(targets.select("url"), "url", "left_semi")
     return targets.join(pairs.groupBy("url").agg(F.count("*").alias("linked")), "url")
 
 
@@ -68,7 +68,7 @@ def _broken_internal(t: Tables) -> DataFrame:
 
 
 def _orphan(t: Tables) -> DataFrame:
-    linked = t["links"].select(c("target_url").alias("url")).filter("url is not null")
+    linked = t["links"].select(c("target_url").alias("url")).filter("url is not null").distinct()  # the home page is one row, and not one from every page
     return t["pages"].filter("depth > 0").select("url").join(linked, "url", "left_anti").select("url", F.lit(None).cast("string").alias("detail"))
 
 

@@ -33,7 +33,7 @@ PAGE = {
 _LINKED = "(SELECT target_url, count(DISTINCT src) AS n FROM l GROUP BY target_url)"
 #: rule: (severity, SELECT url, page_id, detail)
 OTHER = {
-    "response.mixed-content": ("critical", "SELECT m.url, m.id AS page_id, l.target_url AS detail FROM m JOIN l ON l.src = m.id WHERE l.target_url LIKE 'http://%'"),
+    "response.mixed-content": ("critical", "SELECT m.url, m.id AS page_id, l.target_url AS detail FROM m JOIN l ON l.src = m.id WHERE m.kind = 'html' AND l.target_url LIKE 'http://%'"),
     "media.missing-alt": ("warning", "SELECT m.url, m.id AS page_id, s.missing || ' of ' || s.total || ' images: ' || s.first_src AS detail FROM m JOIN (SELECT id, count(*) AS total, count(*) FILTER (WHERE alt IS NULL) AS missing, min_by(src, j) FILTER (WHERE alt IS NULL) AS first_src FROM images GROUP BY id) s ON s.id = m.id WHERE m.kind = 'html' AND s.missing > 0"),
     "response.redirect-loop": ("critical", "SELECT source_url AS url, CAST(NULL AS BIGINT) AS page_id, hops || ' hops' AS detail FROM redirects WHERE lower(outcome) LIKE 'redirect loop%'"),
     "title.duplicate": ("warning", "SELECT url, id AS page_id, title AS detail FROM m WHERE title IN (SELECT title FROM m WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1)"),

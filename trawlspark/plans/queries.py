@@ -13,6 +13,7 @@ from ..operators import export, extraction, frontier, grid, lookups, overviews,
 from ..operators.grid import Filter, SortSpec
 from ..operators.page_rules import PAGE_RULES, page_findings, page_subjects
 from ..operators.site_rules import SITE_RULES, site_findings
+from . import real
 from .oracles import PAGE_LEVEL, all_findings, finding_sql, on_model
 from .site_model import URL, crawl_tables
 
@@ -40,7 +41,7 @@ def _with_issues(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _page_rule(rule) -> Query:
-    return lambda spark, d: page_findings(page_subjects(crawl_tables(spark, d)), (rule,))
+    return lambda spark, d: page_findings(page_subjects(crawl_tables(spark, d), (rule,)), (rule,))
 
 
 def _site_rule(rule) -> Query:
@@ -167,21 +168,13 @@ def _edges(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
-    t = crawl_tables(spark, d)
-    return frontier.bfs_depths(_edges(t), t["pages"].filter("id = 1").select("url"), max_depth=6)
-
-
-SQL["bfs_depth"] = on_model("SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT url, CAST(min", ", edges AS (SELECT DISTINCT m.url AS source, l.target_url AS target FROM l JOIN m ON m.id = l.src), walk AS (SELECT 'https://e.com/' AS url, 0 AS depth UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.url WHERE w.depth < 6)\nSELECT url, CAST(min", 1)
-QUERIES["bfs_depth"] = bfs_depth
-
-
-def bfs_depth_all(spark: SparkSession, d: str) -> DataFrame:
-    """All pages that can be reached, at any depth. No SQL: a recursive query over links with cycles ends only at a bound, as that of bfs_depth does."""
+    """Every page that can be reached, at any depth. The SQL ends at as many levels as there are pages, which is no bound on what is found."""
     t = crawl_tables(spark, d)
     return frontier.bfs_depths(_edges(t), t["pages"].filter("id = 1").select("url"))
 
 
-QUERIES["bfs_depth_all"] = bfs_depth_all
+SQL["bfs_depth"] = on_model("SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT url, CAST(min", ", edges AS (SELECT DISTINCT m.url AS source, l.target_url AS target FROM l JOIN m ON m.id = l.src), walk AS (SELECT 'https://e.com/' AS url, 0 AS depth UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.url WHERE w.depth < (SELECT n FROM m LIMIT 1))\nSELECT url, CAST(min", 1)
+QUERIES["bfs_depth"] = bfs_depth
 
 
 def redirect_walk(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +295,6 @@ _plain("extract_link_counts", lambda s, d: _records(s, d).select(_page_id(), F.s
 _BODY = "regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)</body>.*$', ''), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 _plain("extract_word_count", lambda s, d: _records(s, d).select(_page_id(), "word_count"), f"SELECT page_id, CAST(len(list_filter(regexp_split_to_array({_BODY}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')) AS INTEGER) AS word_count FROM pages")
 _plain("extract_records", lambda s, d: _records(s, d).select(_page_id(), "size", "kind", "content_type_mismatch", "meta_description", "canonical_url", "noindex"), "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, 'html' AS kind, false AS content_type_mismatch, CAST(NULL AS VARCHAR) AS meta_description, CAST(NULL AS VARCHAR) AS canonical_url, false AS noindex FROM pages")
-_plain("body_hash", lambda s, d: _records(s, d).select(_page_id(), "body_hash"))
 
 
 def body_hash_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -330,3 +322,6 @@ _plain("scope_subdomains", _locality(True), f"SELECT page_id, {_BARE} = 'ththre.
 _plain("normalize_url", lambda s, d: extraction.canonical_urls(_raw(s, d).select("page_id", "url"), "url", "canonical").select("page_id", "canonical"), "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-z]+://[^/?]*)$', '\\1/') AS canonical FROM pages")
 _plain("resolve_links", lambda s, d: extraction.resolved_urls(_raw(s, d).select("page_id", "url", F.lit("/a/./b/../c").alias("href")), "url", "href", "target").select("page_id", "target"), "SELECT page_id, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), '/a/c') AS target FROM pages")
 _plain("status_tone", lambda s, d: crawl_tables(s, d)["pages"].groupBy(status_tone(c("status")).alias("tone")).agg(F.count("*").alias("pages")), on_model("SELECT CASE WHEN status < 300 THEN 'good' WHEN status < 400 THEN 'moved' WHEN status < 500 THEN 'bad' ELSE 'broken' END AS tone, count(*) AS pages FROM m GROUP BY 1"))
+
+QUERIES |= real.QUERIES
+SQL |= real.SQL

@@ -27,11 +27,11 @@ M = f"""SELECT id, {URL.format('id')} AS url,
 FROM (SELECT page_id + 1 AS id, (SELECT count(*) FROM pages) AS n FROM pages) b"""
 
 # Links by their place on the page: 0 to 2 internal (targets with id % 9 = 0 stay unlinked), 3 external, 4 to a forbidden page.
-L = f"""SELECT id * 10 + k AS id, id AS src, k, CASE k WHEN 3 THEN concat('http://other.invalid/ref/', id) WHEN 4 THEN concat('https://e.com/private/', id - id % 25 + 7) ELSE {URL.format('tid')} END AS target_url
+L = f"""SELECT id * 10 + k AS id, id AS src, k, CASE k WHEN 3 THEN concat(CASE WHEN id % 7 = 2 THEN 'http' ELSE 'https' END, '://other.invalid/ref/', id) WHEN 4 THEN concat('https://e.com/private/', id - id % 25 + 7) ELSE {URL.format('tid')} END AS target_url
 FROM (SELECT id, k, (id * 7 + k * 13) % n + 1 AS tid FROM m, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) x) y
 WHERE CASE k WHEN 3 THEN true WHEN 4 THEN id % 25 IN (7, 8) ELSE tid % 9 <> 0 END"""
 
-IMAGES = """SELECT id, j, concat('/img/', (id * 3 + j) % 50, '.png') AS src, CASE (id + j) % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Image ', j) END AS alt, (id * 3 + j) % 50 AS r
+IMAGES = """SELECT id, j, concat('/img/', (id * 3 + j) % 50, '.png') AS src, CASE WHEN (id + j) % 3 = 0 AND id % 5 = 3 THEN NULL WHEN (id + j) % 3 = 1 THEN '' ELSE concat('Image ', j) END AS alt, (id * 3 + j) % 50 AS r
 FROM m, (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE j < image_count"""
 
 RESOURCES = """SELECT DISTINCT concat('https://e.com/img/', r, '.png') AS url, CASE r % 10 WHEN 3 THEN 404 ELSE 200 END AS status,
@@ -57,6 +57,11 @@ def with_clause() -> str:
     return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in SHARED.items())
 
 
+def on_model_sql(sql: str) -> str:
+    """sql over the shared tables."""
+    return f"{with_clause()}\n{sql}"
+
+
 def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
     for name in views:
         text = text.replace(f"FROM {name}", f"FROM {{{name}}}")

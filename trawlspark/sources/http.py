@@ -6,15 +6,19 @@ task's and its pace can be kept.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import robots
+from ..functions.columns import host, port
 from ..functions.urls import resolve
 from ..shipping import map_arrow
 
@@ -22,6 +26,7 @@ from ..shipping import map_arrow
 REDIRECTS = (301, 302, 303, 307, 308)
 RETRIED = (429, 502, 503, 504)
 MAX_REDIRECTS, MAX_BODY, ATTEMPTS = 10, 8 << 20, 3
+ROBOTS_REDIRECTS = 5
 FIRST_WAIT, LONGEST_WAIT, LONGEST_RETRY_AFTER = 0.5, 30.0, 60.0
 
 
@@ -32,6 +37,19 @@ class Response:
     body: bytes = b""
 
 
+Transport = Callable[[str, str], Response]
+
+
+@dataclass(frozen=True)
+class FetchConfig:
+    agent: str = "trawlspark"
+    timeout: float = 30.0
+    per_host: int = 4
+    delay: float = 0.0
+    max_body: int = MAX_BODY
+    max_redirects: int = MAX_REDIRECTS
+
+
 @dataclass
 class Chain:
     start: str
@@ -41,8 +59,58 @@ class Chain:
     response: Response | None = None
 
 
-class Denied(Exception):
-    """robots.txt forbids the URL, or could not be read."""
+@dataclass
+class Head:
+    url: str
+    status: int
+    content_length: int | None
+    content_type: str | None
+
+
+def standard_transport(config: FetchConfig = FetchConfig()) -> Transport:
+    """A transport of the standard library: follows nothing, reads one byte more than a body may have."""
+    import urllib.error
+    import urllib.request
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *args):
+            return None
+
+    opener = urllib.request.build_opener(Stay)
+
+    def transport(method: str, url: str) -> Response:
+        ask = urllib.request.Request(url, method=method, headers={"User-Agent": config.agent})
+        try:
+            answer = opener.open(ask, timeout=config.timeout)
+        except urllib.error.HTTPError as e:
+            answer = e
+        with answer:
+            return Response(answer.status, {k.lower(): v for k, v in answer.headers.items()}, b"" if method == "HEAD" else answer.read(config.max_body + 1))
+
+    return transport
+
+
+class Pace:
+    """Even spacing of a host's requests, for several threads: each takes the next free moment."""
+
+    def __init__(self, delay: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.delay, self.clock, self.sleep, self.next, self.lock = delay, clock, sleep, None, threading.Lock()
+
+    def wait(self) -> None:
+        if self.delay <= 0:
+            return
+        with self.lock:
+            now = self.clock()
+            at = now if self.next is None else max(now, self.next)
+            self.next = at + self.delay
+        if at > now:
+            self.sleep(at - now)
+
+
+def origin_of(url: str) -> str:
+    """Scheme, host and port of a canonical URL."""
+    parts = urlsplit(url)
+    return f"{parts.scheme}://{parts.netloc.rpartition('@')[2]}"
 
 
 def wait_before(attempt: int, retry_after: float | None) -> float | None:
@@ -55,7 +123,7 @@ def wait_before(attempt: int, retry_after: float | None) -> float | None:
     return None if retry_after > LONGEST_RETRY_AFTER else max(own, retry_after)
 
 
-def fetch(transport: Callable[[str, str], Response], url: str, method: str = "GET", sleep: Callable[[float], None] = time.sleep) -> Response:
+def fetch(transport: Transport, url: str, method: str = "GET", sleep: Callable[[float], None] = time.sleep) -> Response:
     """One answer, after retries. A body beyond MAX_BODY is cut."""
     attempt = 0
     while True:
@@ -70,19 +138,33 @@ def fetch(transport: Callable[[str, str], Response], url: str, method: str = "GE
         wait = wait_before(attempt, float(after) if after and after.isdigit() else None)
         if wait is None:
             if r is None:
-                raise ConnectionError(url)
+                raise ConnectionError(f"no answer: {url}")
             return r
         sleep(wait)
 
 
-def follow(transport: Callable[[str, str], Response], url: str, allowed: Callable[[str], bool] = lambda u: True, most: int = MAX_REDIRECTS, **options) -> Chain:
-    """The redirects from url on: landed, loop, limit, no location, or denied on the way."""
+def head(transport: Transport, url: str, **options) -> Head:
+    """What a HEAD request says: the length is the header's."""
+    r = fetch(transport, url, "HEAD", **options)
+    length = r.headers.get("content-length", "").strip()
+    return Head(url, r.status, int(length) if length.isdigit() else None, r.headers.get("content-type"))
+
+
+def follow(transport: Transport, url: str, allowed: Callable[[str], str | None] = lambda u: None, most: int | None = None, config: FetchConfig = FetchConfig(), before: Callable[[], None] = lambda: None, **options) -> Chain:
+    """The redirects from url on: landed, loop, limit, no location, or why the walk was refused (what allowed returns)."""
+    most = config.max_redirects if most is None else most
     chain, at, seen = Chain(url), url, {url}
     while True:
-        if not allowed(at):
-            chain.outcome = f"robots.txt disallows {at}"
+        refused = allowed(at)
+        if refused:
+            chain.outcome = refused
+            return chain
+        before()
+        try:
+            r = fetch(transport, at, **options)
+        except OSError as e:
+            chain.outcome = str(e)
             return chain
-        r = fetch(transport, at, **options)
         if r.status not in REDIRECTS:
             chain.final, chain.response = at, r
             return chain
@@ -102,45 +184,115 @@ def follow(transport: Callable[[str, str], Response], url: str, allowed: Callabl
         at = target
 
 
-def fetch_all(urls: DataFrame, transport_factory: Callable[[], Callable[[str, str], Response]], agent: str = "trawlspark", delay: float = 0.0, partitions: int | None = None) -> DataFrame:
-    """urls (url, host, robots: the host's file or null, robots_status) -> url, status, html, content_type, truncated, elapsed_ms, failure.
+class RobotsCache:
+    """The robots.txt of each origin, fetched once, over at most five redirects. What can't be read forbids the origin."""
+
+    def __init__(self, transport: Transport, config: FetchConfig = FetchConfig(), **options):
+        self.transport, self.config, self.options = transport, config, options
+        self.rules: dict[str, robots.Rules] = {}
+        self.rows: list[dict] = []  # origin, status, body of what was fetched
+        self.reasons: dict[str, str] = {}
+        self.lock = threading.Lock()
+
+    def get(self, origin: str) -> robots.Rules:
+        with self.lock:
+            if origin not in self.rules:
+                chain = follow(self.transport, f"{origin}/robots.txt", most=ROBOTS_REDIRECTS, **self.options)
+                if chain.response is None:
+                    self.reasons[origin] = chain.outcome
+                    self.rules[origin] = robots.Rules(everything=False)
+                    self.rows.append({"origin": origin, "status": 0, "body": None})
+                else:
+                    text = chain.response.body[: self.config.max_body].decode("utf-8", "replace")
+                    self.rules[origin] = robots.from_response(chain.response.status, text, self.config.agent)
+                    if 500 <= chain.response.status < 600:
+                        self.reasons[origin] = f"HTTP {chain.response.status}"
+                    self.rows.append({"origin": origin, "status": chain.response.status, "body": text if 200 <= chain.response.status < 300 else None})
+            return self.rules[origin]
+
+    def refused(self, url: str) -> str | None:
+        """Why a URL may not be fetched, or None."""
+        origin = origin_of(url)
+        if self.get(origin).allows(url[len(origin) :] if url.startswith(origin) else "/" + url.split("://", 1)[-1].partition("/")[2]):
+            return None
+        return f"robots.txt could not be read: {self.reasons[origin]}" if origin in self.reasons else f"robots.txt disallows {url}"
+
+
+HOPS = "array<struct<url: string, status: int, location: string, target: string>>"
+ANSWERS = f"kind string, url string, depth int, status int, final_url string, html string, content_type string, truncated boolean, elapsed_ms int, chain {HOPS}, outcome string, body string"
+_HOP = pa.struct([("url", pa.string()), ("status", pa.int32()), ("location", pa.string()), ("target", pa.string())])
+SCHEMA = pa.schema([
+    ("kind", pa.string()), ("url", pa.string()), ("depth", pa.int32()), ("status", pa.int32()), ("final_url", pa.string()), ("html", pa.string()), ("content_type", pa.string()), ("truncated", pa.bool_()), ("elapsed_ms", pa.int32()),
+    ("chain", pa.list_(_HOP)), ("outcome", pa.string()), ("body", pa.string()),
+])
+#: Rows whose bodies a task holds: per_host of them are under way.
+AT_ONCE = 32
+
+
+def _by_host(urls: DataFrame, partitions: int | None) -> DataFrame:
+    dealt = urls.withColumn("host", F.concat(host(F.col("url")), F.lit(":"), port(F.col("url")).cast("string")))
+    return (dealt.repartition(partitions, "host") if partitions else dealt.repartition("host")).sortWithinPartitions("host")
+
+
+def fetch_all(urls: DataFrame, transport_factory: Callable[[], Transport], config: FetchConfig = FetchConfig(), partitions: int | None = None) -> DataFrame:
+    """urls (url, depth) -> rows of ANSWERS: a "page" for each URL (outcome "landed", or why there is none) and the "robots" files on the way.
 
-    A host's URLs are one task's. A host with very many URLs takes as long as its pace asks for, which no division would shorten.
+    A host's URLs are one task's: its robots.txt is fetched once, its pace is kept, and at most per_host requests are under way. A host
+    with very many URLs takes as long as its pace asks for, which no division would shorten.
     """
-    dealt = urls.select("url", "host", "robots", "robots_status")
-    dealt = (dealt.repartition(partitions, "host") if partitions else dealt.repartition("host")).sortWithinPartitions("host")
+    dealt = _by_host(urls.select("url", F.col("depth").cast("int").alias("depth")), partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transport, rules, last = transport_factory(), {}, {}
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                host = row["host"]
-                if host not in rules:
-                    rules = {host: robots.from_response(row["robots_status"] or 404, row["robots"], agent)}
-                path = "/" + row["url"].split("://", 1)[-1].partition("/")[2]
-                record = {"url": row["url"], "status": None, "html": None, "content_type": None, "truncated": None, "elapsed_ms": None, "failure": None}
-                if not rules[host].allows(path):
-                    out.append(record | {"failure": f"robots.txt disallows {row['url']}"})
-                    continue
-                pause = max(delay, rules[host].crawl_delay or 0) - (time.monotonic() - last.get(host, -1e9))
-                if pause > 0:
-                    time.sleep(pause)
-                begun = time.monotonic()
-                try:
-                    r = fetch(transport, row["url"])
-                    body = r.body[:MAX_BODY]
-                    record |= {"status": r.status, "html": body.decode("utf-8", "replace"), "content_type": r.headers.get("content-type"), "truncated": len(r.body) > MAX_BODY}
-                except (OSError, ValueError) as e:
-                    record["failure"] = str(e)
-                last = {host: time.monotonic()}
-                out.append(record | {"elapsed_ms": int((time.monotonic() - begun) * 1000)})
-            yield pa.RecordBatch.from_pylist(out, SCHEMA)
-
-    return map_arrow(dealt, run, "url string, status int, html string, content_type string, truncated boolean, elapsed_ms int, failure string")
-
-
-SCHEMA = pa.schema([("url", pa.string()), ("status", pa.int32()), ("html", pa.string()), ("content_type", pa.string()), ("truncated", pa.bool_()), ("elapsed_ms", pa.int32()), ("failure", pa.string())])
+        transport = transport_factory()
+        cache, paces, told = RobotsCache(transport, config), {}, 0
+
+        def one(row: dict) -> dict:
+            begun = time.monotonic()
+            pace = paces[row["host"]]
+            chain = follow(transport, row["url"], cache.refused, config=config, before=pace.wait)
+            record = dict.fromkeys(SCHEMA.names) | {"kind": "page", "url": row["url"], "depth": row["depth"], "chain": chain.hops, "outcome": chain.outcome, "elapsed_ms": int((time.monotonic() - begun) * 1000)}
+            if chain.response is not None:
+                r = chain.response
+                body = r.body[: config.max_body]
+                record |= {"status": r.status, "final_url": chain.final, "html": body.decode("utf-8", "replace"), "content_type": r.headers.get("content-type"), "truncated": len(r.body) > config.max_body}
+            return record
+
+        with ThreadPoolExecutor(config.per_host) as pool:
+            for batch in batches:
+                rows = batch.to_pylist()
+                for k in range(0, len(rows), AT_ONCE):
+                    part = rows[k : k + AT_ONCE]
+                    for row in part:
+                        if row["host"] not in paces:
+                            rules = cache.get(origin_of(row["url"]))
+                            paces = {row["host"]: Pace(max(config.delay, rules.crawl_delay or 0))} | paces
+                    out = list(pool.map(one, part))
+                    files = [dict.fromkeys(SCHEMA.names) | {"kind": "robots", "url": x["origin"], "status": x["status"], "body": x["body"]} for x in cache.rows[told:]]
+                    told = len(cache.rows)
+                    yield pa.RecordBatch.from_pylist(out + files, SCHEMA)
+
+    return map_arrow(dealt, run, ANSWERS)
+
+
+def head_all(urls: DataFrame, transport_factory: Callable[[], Transport], config: FetchConfig = FetchConfig(), partitions: int | None = None) -> DataFrame:
+    """urls (url) -> url, status, content_length, content_type of those that answer a HEAD request; others are absent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transport = transport_factory()
+        cache = RobotsCache(transport, config)
+
+        def one(url: str) -> Head | None:
+            try:
+                return None if cache.refused(url) else head(transport, url)
+            except OSError:
+                return None
+
+        with ThreadPoolExecutor(config.per_host) as pool:
+            for batch in batches:
+                found = [x for x in pool.map(one, batch.column("url").to_pylist()) if x is not None]
+                yield pa.RecordBatch.from_pylist([vars(x) for x in found], pa.schema([("url", pa.string()), ("status", pa.int32()), ("content_length", pa.int64()), ("content_type", pa.string())]))
+
+    return map_arrow(_by_host(urls.select("url"), partitions).select("url"), run, "url string, status int, content_length long, content_type string")
 
 
 def robots_rows(df: DataFrame) -> DataFrame:

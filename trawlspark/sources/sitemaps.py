@@ -7,11 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..functions.text import decode_entities
+from ..functions.urls import canonical_url
 
 MAX_LOCATIONS, MAX_FILES = 50_000, 50
 #: Where a sitemap is looked for if robots.txt names none (fixed values).
-GUESSES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml", "/sitemap/sitemap.xml", "/sitemap1.xml")
-_LOC = re.compile(r"<(?:(\w+):)?loc\s*>\s*(?:<!\[CDATA\[(.*?)\]\]>|(.*?))\s*</(?:\w+:)?loc\s*>", re.S | re.I)
+GUESSES = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/sitemap/0")
+_LOC = re.compile(r"<(?:(\w+):)?loc(?:\s[^>]*)?>\s*(?:<!\[CDATA\[(.*?)\]\]>|(.*?))\s*</(?:\w+:)?loc\s*>", re.S | re.I)
 _MEDIA = frozenset(("image", "video", "news"))
 
 
@@ -40,32 +41,30 @@ def parse(xml: str, limit: int = MAX_LOCATIONS) -> Sitemap:
 def discover(origin: str, declared: list[str], fetch: Callable[[str], tuple[int, str] | None]) -> tuple[list[dict], list[tuple[str, str]]]:
     """Sitemap files read (rows of the sitemaps table) and (url, source) pairs, first file wins.
 
-    Files that robots.txt declares are read, else guesses; indexes lead on, MAX_FILES files at most. A guess that lists nothing leaves no
-    row, and the first one that does ends the guessing. A declared file that doesn't answer has status 0.
+    Files that robots.txt declares are read, else guesses; what an index lists is read next. The file that was put in line last comes
+    first. MAX_FILES files at most; those beyond are left out, and the last one read is marked as truncated. A guess that lists nothing leaves
+    no row, and the first one that does ends the guessing. A file that doesn't answer has status 0.
     """
-    queue = [(u, "robots") for u in declared] or [(origin.rstrip("/") + g, "guess") for g in reversed(GUESSES)]
+    line = [(u, "robots") for u in map(canonical_url, declared) if u] or [(origin.rstrip("/") + g, "guess") for g in GUESSES]
     files, listed, seen = [], {}, set()
-    while queue and len(files) < MAX_FILES:
-        url, by = queue.pop() if by_guess(queue) else queue.pop(0)
+    while line:
+        url, by = line.pop()
         if url in seen:
             continue
+        if len(files) >= MAX_FILES:
+            files[-1]["truncated"] = True
+            break
         seen.add(url)
-        answer = fetch(url)
-        status, body = answer if answer else (0, "")
-        found = parse(body) if 200 <= status < 300 else Sitemap()
+        status, body = fetch(url) or (0, "")
+        found = parse(body)
         if by == "guess":
             if not found.locations:
                 continue
-            queue = [x for x in queue if x[1] != "guess"]
+            line = [x for x in line if x[1] != "guess"]
         files.append({"url": url, "status": status, "urls": len(found.locations), "is_index": found.is_index, "found_by": by, "truncated": found.truncated})
         if found.is_index:
-            queue += [(u, url) for u in found.locations]
+            line += [(u, url) for u in map(canonical_url, found.locations) if u]
         else:
             for u in found.locations:
                 listed.setdefault(u, url)
     return files, list(listed.items())
-
-
-def by_guess(queue: list[tuple[str, str]]) -> bool:
-    """Guesses are tried from the end of the list."""
-    return queue[-1][1] == "guess"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, VERSION
+from ..shipping import shared_dir
 
 META = "_meta"
 
@@ -25,11 +25,7 @@ class TooNew(ValueError):
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir, which executors share, and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='trawl-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/trawl-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/trawl-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
