@@ -1,8 +1,9 @@
 """Byte-level BPE by a table of distinct words.
 
 1. Texts are split once into the tokenizer's words (its pre-tokenizer's pattern) by array
-   operations on code points, and written in chunks of about CHUNK_BYTES of text: each
+   operations on code points, and shuffled once in chunks of about CHUNK_BYTES of text: each
    chunk's distinct words with their numbers, and its documents as sequences of numbers.
+   Both of the following steps read that one shuffle.
 2. The chunks' words meet by a hash of the word, a packed row for each chunk and part of
    the table of distinct words. In each part every distinct word is encoded once.
 3. The ids are joined back by position: by chunk and number to the places in its
@@ -28,6 +29,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow, release_memory, ship
 from . import arrowtext as T
-from .common import BROADCAST_IDS, materialize
+from .common import BROADCAST_IDS
 
 #: Text of a chunk, at most (a longer document is a chunk of its own).
 CHUNK_BYTES = 16 << 20
@@ -201,8 +203,15 @@ class _Chunk:
         self.number: dict[str, int] = {}
         self.held: list[tuple[list, np.ndarray, np.ndarray]] = []
         self.size = 0
+        self.seen = blake2b(digest_size=8)
+
+    def name(self, part: int, n: int) -> int:
+        """Tells the chunk from all others, also from what a repeated task would make of the same partition in another order."""
+        self.seen.update(f"{part} {n}".encode())
+        return int.from_bytes(self.seen.digest(), "big") >> 1
 
     def add(self, docs: list, s: Split, size: int) -> None:
+        self.seen.update(s.text.encode())
         words, at = s.distinct()
         words = words.to_pylist()
         own = np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), np.int32, len(words))
@@ -242,20 +251,27 @@ def split(documents: DataFrame, tokenizer: Tokenizer, chunk_bytes: int = CHUNK_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, held = TaskContext.get().partitionId() << 32, _Chunk()
+        part, n, held = TaskContext.get().partitionId(), 0, _Chunk()
         for batch in T.slices(batches, SPLIT_BYTES):
             size = int(T.buffers(batch.column("text"))[1][-1])
             if held.held and held.size + size > chunk_bytes:
-                yield from held.rows(name, parts)
-                name, held = name + 1, _Chunk()
+                yield from held.rows(held.name(part, n), parts)
+                n, held = n + 1, _Chunk()
             held.add(batch.column("doc_id").to_pylist(), Split(batch.column("text"), added), size)
         if held.held:
-            yield from held.rows(name, parts)
+            yield from held.rows(held.name(part, n), parts)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return map_arrow(texts, run, SPLIT)
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = batch.filter(batch.column("part").is_valid())
+        if own.num_rows:
+            yield own.select(["chunk", "numbers", "part", "lengths", "data"])
+
+
 def encode_words(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """The chunks' words (rows of SPLIT with part) as rows of CODED: each part of the table is one task's, which encodes a distinct word once."""
     shared, width = words.sparkSession.sparkContext.broadcast(tokenizer.json), tokenizer.width
@@ -290,11 +306,14 @@ def encode_words(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 def _documents(coded: pa.Table, rows: pa.Table, width: np.dtype) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """From a chunk's rows of CODED and its documents' rows of SPLIT: doc_ids, ids of all these documents, and the number of ids of each."""
     every = [(np.cumsum(unpack(r["numbers"])), unpack(r["lengths"]), np.frombuffer(_expand(r["data"]), width)) for r in coded.to_pylist()]
+    rows = rows.filter(rows.column("seq").is_valid())
     number, counts, flat = (np.concatenate(x) for x in zip(*every, strict=True)) if every else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, width))
     size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     size[number], start[number] = counts, np.cumsum(counts) - counts
     for row in rows.sort_by("seq").to_pylist():
         at = unpack(row["numbers"])
+        if len(at) and at.max() >= len(size):
+            raise ValueError("a chunk came without its words: its input had another order when it was read again")
         n, first = size[at], np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
         ids = flat[T.ranges(start[at], n)]
         yield row["docs"], ids, np.diff(np.concatenate([[0], np.cumsum(n)])[first])
@@ -308,8 +327,9 @@ def _cut(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def _joined(documents: DataFrame, tokenizer: Tokenizer, finish: Callable, schema: str, chunk_bytes: int) -> DataFrame:
     """What finish makes of each part of a chunk (see _documents) when the words' ids have been joined back."""
-    rows = materialize(split(documents, tokenizer, chunk_bytes), "split")
-    coded = encode_words(rows.filter("part is not null").select("chunk", "numbers", "part", "lengths", "data"), tokenizer)
+    # One exchange for both uses: neither a filter nor a projection stands between it and the functions, so the plans of both are the same.
+    rows = split(documents, tokenizer, chunk_bytes).repartition("chunk")
+    coded = encode_words(map_arrow(rows, _words, "chunk long, numbers binary, part int, lengths binary, data binary"), tokenizer)
     width = tokenizer.width
 
     def run(coded: pa.Table, rows: pa.Table) -> pa.Table:
@@ -319,7 +339,6 @@ def _joined(documents: DataFrame, tokenizer: Tokenizer, finish: Callable, schema
             release_memory()
 
     ship(documents.sparkSession)
-    rows = rows.filter("seq is not null").select("chunk", "seq", "docs", "sizes", "numbers")
     return coded.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(run, schema)
 
 
@@ -388,9 +407,10 @@ def _put_together(width: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Itera
                         data, edge = T.buffers(table.column("piece").cast(pa.large_binary()))
                         pieces.fill(table.column("id").to_numpy().astype(np.int64), data.tobytes(), edge)
                         held = []
-                    ids = [np.frombuffer(x, width) for x in rows.column("ids").to_pylist()]
-                    columns = [rows.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([pieces.decode(x) for x in ids], pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
+                    for some in T.slices([rows], DECODED_IDS * width.itemsize, ("ids",)):
+                        ids = [np.frombuffer(x, width) for x in some.column("ids").to_pylist()]
+                        columns = [some.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([pieces.decode(x) for x in ids], pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
 
     return run
 
