@@ -315,7 +315,7 @@ def test_blocks_select_few_unrelated_fingerprints():
     prints = np.random.default_rng(5).integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
     parts = prints.view(np.uint16).reshape(-1, decontaminate.BLOCKS)
     looked_at = sum(np.bitwise_count(np.bitwise_or.reduce([index.table[b, 0][parts[:, b]] for b in range(decontaminate.BLOCKS)])).tolist())
-    assert looked_at < 0.2 * 64 * 20_000 and sum(len(at) for _, at in index.near(prints, 30)) < 0.003 * 64 * 20_000
+    assert looked_at < 0.2 * 64 * 20_000 and sum(len(at) for _, at in index.near(prints, decontaminate.size_class(30))) < 0.003 * 64 * 20_000
 
 
 @pytest.mark.parametrize("size", [15, 31, 59, 200])

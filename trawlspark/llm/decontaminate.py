@@ -9,7 +9,7 @@ similarity over their shingles.
 
 Candidates come from fingerprints alone: every window of every document gets the 64-bit
 SimHash of its weighted shingles. An item is fingerprinted over its first W words, W its
-size class (eight to a doubling, so W > 8/9 L), and so are the windows, so that items of
+size class (four to a doubling, so W > 4/5 L), and so are the windows, so that items of
 like size share them. A fingerprint has BLOCKS blocks of 16 bits; two within RADIUS bits
 differ in at most RADIUS // BLOCKS bits of one block at least (the pigeonhole principle), so
 the index has an entry for each value of each block with the items that are so near
@@ -56,15 +56,32 @@ _NEAR = _ALL[np.bitwise_count(_ALL) <= RADIUS // BLOCKS].astype(np.uint16)  # wh
 
 
 def size_class(words: int) -> int:
-    """The largest size at most words that has a four-bit mantissa."""
-    shift = max(0, words.bit_length() - 4)
+    """The largest size at most words that has a three-bit mantissa."""
+    shift = max(0, words.bit_length() - 3)
     return words >> shift << shift
 
 
-def _signs(hashes: np.ndarray) -> np.ndarray:
+_BYTE_SIGNS = {kind: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(kind) * kind(2) - kind(1) for kind in (np.int16, np.int64, np.float64)}
+#: Rows whose sums are run up together.
+_RUN = 16
+
+
+def _signs(hashes: np.ndarray, kind=np.float64) -> np.ndarray:
     """A row of 64 numbers 1 or -1 for each shingle hash."""
-    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.view(np.int8) * np.int8(2) - np.int8(1)
+    return _BYTE_SIGNS[kind][np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)].reshape(-1, BITS)
+
+
+def _sums(hashes: np.ndarray, weights: np.ndarray, most: int) -> np.ndarray:
+    """Row k: the signed weights of the first k shingles, added up. In 16 bits, modulo 2**16, if the weights of any most shingles stay below 2**15."""
+    kind = np.int16 if most * int(weights.max(initial=0)) < 1 << 15 else np.int64
+    n = len(hashes)
+    x = np.zeros((-(-(n + 1) // _RUN) * _RUN, BITS), kind)
+    np.multiply(_signs(hashes, kind), weights[:, None].astype(kind), out=x[1 : n + 1])
+    runs = x.reshape(-1, _RUN, BITS)
+    for j in range(1, _RUN):
+        runs[:, j] += runs[:, j - 1]
+    runs[1:] += np.cumsum(runs[:-1, -1], axis=0, dtype=kind)[:, None, :]
+    return x[: n + 1]
 
 
 def _packed(positive: np.ndarray) -> np.ndarray:
@@ -76,7 +93,7 @@ def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.uint64:
     """The fingerprint of one sequence of shingles."""
     total = np.zeros(BITS)  # sums of integers: exact
     for k in range(0, len(hashes), SUMMED):
-        total += weights[k : k + SUMMED].astype(np.float64) @ _signs(hashes[k : k + SUMMED]).astype(np.float64)
+        total += weights[k : k + SUMMED].astype(np.float64) @ _signs(hashes[k : k + SUMMED])
     return _packed(total > 0)[0]
 
 
@@ -135,12 +152,9 @@ class Index:
         items = self.classes[size]
         for g in range(items[0] // 64, items[-1] // 64 + 1):
             here = items[items // 64 == g]
-            bits = np.uint64(sum(1 << int(i) % 64 for i in here))
-            found = reduce(np.bitwise_or, (self.table[b, g][parts[:, b]] for b in range(BLOCKS))) & bits
-            some = np.flatnonzero(found)
-            found = found[some]
+            found = reduce(np.bitwise_or, (self.table[b, g][parts[:, b]] for b in range(BLOCKS)))
             for i in here.tolist():
-                at = some[(found >> np.uint64(i % 64)) & np.uint64(1) == 1]
+                at = np.flatnonzero((found & np.uint64(1 << i % 64)) != 0)
                 at = at[distances(prints[at], self.prints[i]) <= RADIUS]
                 if len(at):
                     yield i, at
@@ -156,19 +170,19 @@ class Index:
             sizes = [w for w in self.classes if min(WORDS, w) == k]
             hashes, weights = text.shingles(k)
             most, step = max(sizes) - k + 1, max(SUMMED, max(sizes))
+            prints = {size: [] for size in sizes}
             for a in range(0, len(hashes), step):
-                h, w = hashes[a : a + step + most], weights[a : a + step + most]
-                kind = np.int32 if w.sum() < 1 << 31 else np.int64
-                sums = np.zeros((len(h) + 1, BITS), kind)
-                np.cumsum(_signs(h) * w[:, None].astype(kind), axis=0, dtype=kind, out=sums[1:])
+                sums = _sums(hashes[a : a + step + most], weights[a : a + step + most], most)
                 for size in sizes:
                     shingles = size - k + 1
-                    n = min(step, len(h) - shingles + 1)
-                    if n <= 0:
-                        continue
-                    starts = a + np.flatnonzero(np.arange(a, a + n) + size <= end[a : a + n])
-                    prints = _packed(sums[shingles : shingles + n] > sums[:n])[starts - a]
-                    for i, at in self.near(prints, size):
+                    n = min(step, len(sums) - shingles)
+                    if n > 0:
+                        prints[size].append(_packed(sums[shingles : shingles + n] - sums[:n] > 0))
+            for size, parts in prints.items():
+                if parts:
+                    every = np.concatenate(parts)
+                    starts = np.flatnonzero(np.arange(size, size + len(every)) <= end[: len(every)])
+                    for i, at in self.near(every[starts], size):
                         yield i, starts[at]
         # Documents shorter than the size class, whole: those of fewer than five words have one shingle, which no longer item has.
         short = np.flatnonzero((counts >= WORDS) & (counts < max(self.classes)))
