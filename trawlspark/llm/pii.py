@@ -12,15 +12,19 @@ same length and alphabet, with a keyed SHA-256 as round function, so equal value
 equal pseudonyms in all documents and different values different ones:
 
 * cards: all digits but the last, then a new Luhn digit; separators stay
-* phones: all digits but the country code; social security numbers: all digits
-* IPv4: the 32 bits, as 8 hexadecimal digits
-* dates: the day's number in the 100,000 days from 1900-01-01; the notation stays
+* phones: all digits but the country code, which the plan of calling codes tells from the rest, so that a number is linked
+  in all its groupings; social security numbers: all digits
+* IPv4: the 32 bits, as 8 hexadecimal digits; octets written with leading zeros stay three digits long
+* dates: the day's number in its block of 100,000 days, counted from 1900-01-01; the notation stays. A date with slashes is
+  month first, or day first where that is no date. Years from 19 to 9839
 * secrets: hexadecimal ones within hexadecimal digits, others within letters and digits
 * e-mail: the local part is keyed-hashed, since its format is free; the domain becomes
   ``mail.invalid``
 
-Defined results: a null text stays null with n_found 0; extra columns are kept; an
-empty table gives no rows; a text of any length is one row's work.
+Defined results: a null text stays null with n_found 0, an empty one empty; repeated rows
+come back as often as they are there, with the same text; where two kinds could match, the
+first of e-mail, secret, date, IPv4, phone, social security number, card counts; extra columns
+are kept; an empty table gives no rows; a text of any length is one row's work.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 KEY = "trawlspark"  # a default for tests; pass the corpus's own
 DAYS_FROM, DAYS = "1900-01-01", 100_000
+#: Days of the whole blocks within four-digit years.
+BLOCKS = (-687_000, 2_899_999)
+#: Calling codes of one and two digits (fixed values of the international plan); all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -183,30 +191,42 @@ def _cards(run: Column, key: str) -> Column:
 def _ipv4(s: Column, key: str) -> Column:
     parts = F.transform(F.split(s, r"\."), lambda p: p.cast("int"))
 
+    padded = s.rlike(r"(?:^|\.)0\d")
+
     def permuted(h: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10)), ".")
+        octet = lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(padded, F.lpad(octet(i), 3, "0")).otherwise(octet(i))), ".")
 
     hexes = F.array_join(F.transform(parts, lambda p: F.lpad(F.lower(F.hex(p)), 2, "0")), "")
     return F.when(F.forall(parts, lambda p: p <= 255), _let(feistel(hexes, HEX, key), permuted)).otherwise(s)
 
 
 def _phone(s: Column, key: str) -> Column:
-    country = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
-    rest = F.substr(s, F.length(country) + 1)
-    return F.when(F.length(digits_of(rest)).between(7, 14), F.concat(country, put_digits(rest, feistel(digits_of(rest), DIGITS, key)))).otherwise(s)
+    def moved(d: Column) -> Column:
+        """d: all digits, the country code first."""
+        code = F.length(F.regexp_extract(d, COUNTRY, 0))
+        rest = F.substr(d, code + 1)
+        return F.when((code > 0) & F.length(rest).between(4, 14), put_digits(s, F.concat(F.substr(d, F.lit(1), code), feistel(rest, DIGITS, key)))).otherwise(s)
+
+    return _let(digits_of(s), moved)
 
 
 def _moved(form: str, key: str) -> Callable[[Column], Column]:
     """From a day's number to the notation of its pseudonym."""
     start = F.to_date(F.lit(DAYS_FROM))
-    return lambda day: F.date_format(F.date_add(start, feistel(F.lpad(day.cast("string"), 5, "0"), DIGITS, key).cast("int")), form)
+
+    def move(day: Column) -> Column:
+        block = F.floor(day / DAYS).cast("int") * DAYS
+        return F.date_format(F.date_add(start, block + feistel(F.lpad((day - block).cast("string"), 5, "0"), DIGITS, key).cast("int")), form)
+
+    return move
 
 
 def _date(s: Column, key: str) -> Column:
     out = s
-    for like, form in ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/", "MM/dd/yyyy")):
+    for like, form in ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/", "dd/MM/yyyy"), (r"^\d{2}/", "MM/dd/yyyy")):  # the last that fits counts
         day = F.datediff(F.to_date(F.try_to_timestamp(s, F.lit(form))), F.to_date(F.lit(DAYS_FROM)))
-        out = F.when(s.rlike(like) & F.coalesce(day.between(0, DAYS - 1), F.lit(False)), _let(day, _moved(form, key))).otherwise(out)
+        out = F.when(s.rlike(like) & F.coalesce(day.between(*BLOCKS), F.lit(False)), _let(day, _moved(form, key))).otherwise(out)
     return out
 
 
