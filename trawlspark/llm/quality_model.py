@@ -12,6 +12,8 @@ but toxic) and 2 (good quality, not toxic), and keeps what has P(grade >= 1) >=
 
 Defined results: null and empty texts score s = 0; no labelled rows give every grade the
 same probability; a grade without rows in the sample keeps its place in the order;
+repeated rows, and rows without doc_id, are each scored; of several labels of one doc_id the
+greatest grade counts; a probability of exactly 1/2 is kept; texts of any length are scored whole;
 extra columns are ignored; an empty table gives no rows.
 """
 
