@@ -12,7 +12,7 @@ that hold control characters escaped, and is rendered and parsed again, until
 it does. The escape maps ``~`` to ``~t``, ``<`` to ``~l`` and, in roles, a line
 feed to ``~n``; escaped turns open with ``<|im_start|~|>`` instead, so that the
 parser knows which to unescape. An escaped turn holds no ``<``, so the second
-rendering always parses back; the check of the result stays in the plan.
+rendering always parses back; a conversation that didn't would end the query (raise_error).
 
 The loss mask is a list of spans: where in the rendered string the text of each
 assistant turn stands. Opening mark, role, closing mark and the other turns are
@@ -20,8 +20,8 @@ outside.
 
 Defined results: null texts and roles count as empty strings; turns are in the
 order of turn (null first), then role, then text, repeated rows all kept; rows
-with a null conv_id form one conversation; extra columns are ignored; an empty
-table gives no rows. A conversation is the unit of formatting, so its turns meet
+with a null conv_id form one conversation; texts may be of any length; extra columns
+are ignored; an empty table gives no rows. A conversation is the unit of formatting, so its turns meet
 in one row; its length bounds memory.
 """
 
@@ -89,7 +89,7 @@ def loss_spans(formatted: Column) -> Column:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, escaped, turns (array of role, text as parsed back from formatted), loss_spans (see there), identical."""
+    """conv_id, formatted, escaped, turns (array of role, text as parsed back from formatted), loss_spans (see there)."""
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     source = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
     source = source.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
@@ -98,7 +98,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     tried = first.withColumn("escaped", F.col("back") != F.col("source"))
     out = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), F.lit(True))).otherwise(F.col("plain")))
     out = out.withColumn("turns", F.when(F.col("escaped"), parse(F.col("formatted"))).otherwise(F.col("back")))
-    return out.select("conv_id", "formatted", "escaped", "turns", loss_spans(F.col("formatted")).alias("loss_spans"), (F.col("turns") == F.col("source")).alias("identical"))
+    # What can't be read back is never returned.
+    same = F.col("turns") == F.col("source")
+    out = out.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("conversation does not read back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")))
+    return out.select("conv_id", "formatted", "escaped", "turns", loss_spans(F.col("formatted")).alias("loss_spans"))
 
 
 def training_text(formatted: Column, spans: Column) -> Column:
@@ -115,4 +118,4 @@ def digests(formatted: DataFrame) -> DataFrame:
     """The digest columns of format_conversations()'s result."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     d = formatted.withColumn("loss", training_text(F.col("formatted"), F.col("loss_spans")))
-    return d.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "identical")
+    return d.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, materialize, with_row_keys
 
 MIN_SITES = 10
+#: Line hashes that are broadcast, at most (about 40 bytes each), and the parts a line's occurrences are dealt to beyond that.
+BROADCAST_LINES, SALTS = 500_000, 64
 LG_K = 11
 #: Four standard errors of the sketches (1.04 / sqrt(2 ** LG_K)).
 MARGIN = 4 * 1.04 / 2 ** (LG_K / 2)
@@ -44,6 +46,16 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return d.select("key", "site", "version", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
+def _held(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The occurrences of the lines in hashes (h1, h2). Few of them are broadcast; beyond that the join is salted, since a line may be in a third of
+    all documents."""
+    n = hashes.count()
+    if n <= BROADCAST_LINES:
+        return lines.join(F.broadcast(hashes), ["h1", "h2"], "left_semi")
+    salted = hashes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"], "left_semi").drop("salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2) of the lines that spread over min_sites sites and texts."""
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sites"), F.hll_sketch_agg("version", LG_K).alias("texts"))
@@ -53,7 +65,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sure = seen.filter((F.col("sites") > high) & (F.col("texts") > high)).select("h1", "h2")
     near = seen.filter((F.col("sites") <= high) | (F.col("texts") <= high)).select("h1", "h2")
     # Distinct (line, site) and (line, text) first: what meets in one task is a line's distinct values, not its rows.
-    held = lines.join(near, ["h1", "h2"], "left_semi")
+    held = _held(lines, near)
     exact = held.select("h1", "h2", F.lit(0).alias("kind"), F.xxhash64("site").alias("v")).unionByName(held.select("h1", "h2", F.lit(1).alias("kind"), F.col("version").alias("v"))).distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count_if(F.col("kind") == 0).alias("sites"), F.count_if(F.col("kind") == 1).alias("texts"))
     return sure.unionByName(exact.filter((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites)).select("h1", "h2"))
@@ -64,7 +76,7 @@ def cleaned(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     packed = with_row_keys(documents)
     lines = occurrences(packed)
     found = materialize(boilerplate(lines, min_sites), "boilerplate")
-    drop = lines.join(found, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("drop"))
+    drop = _held(lines, found).groupBy("key").agg(F.collect_set("at").alias("drop"))
     j = packed.join(drop, "key", "left").withColumn("lines", split_lines(F.col("row.text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))

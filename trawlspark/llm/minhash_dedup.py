@@ -271,11 +271,12 @@ def _linked_block(table: pa.Table) -> pa.Table:
 def _block_links(plausible: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the components of each group, found block by block."""
     rows = _labelled(plausible, found)
+    rows = rows.join(texts.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size")), "id")
     sizes = rows.groupBy("g", "c").agg(F.count("*").alias("n"))
     # A component of more than one block has blocks of its own; the others share blocks.
     unit = F.when(F.col("n") > BLOCK, F.col("c")).otherwise(F.lit(None).cast("long"))
-    rows = materialize(rows.join(sizes, ["g", "c"]).select("id", "g", "c", unit.alias("u")), "blocked")
-    units = rows.groupBy("g", "u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    rows = materialize(rows.join(sizes, ["g", "c"]).select("id", "g", "c", "size", unit.alias("u")), "blocked")
+    units = rows.groupBy("g", "u").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("k"))
     rows = rows.join(units.withColumnsRenamed({"g": "g_", "u": "u_"}), (F.col("g") == F.col("g_")) & F.col("u").eqNullSafe(F.col("u_"))).select("id", "g", "c", F.struct("u", F.pmod(F.xxhash64("id"), "k").cast("int").alias("x")).alias("block"))
     blocks = units.select("g", "u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x")).select("g", F.struct("u", "x").alias("block"))
     # Pairs of blocks, not of documents; two blocks of one large component don't meet, nor does such a block meet itself.

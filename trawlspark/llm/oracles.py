@@ -26,3 +26,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length(role) + length(text) + CASE WHEN escaped THEN 26 + {_GROWN.format('role')} + {_GROWN.format('text')} ELSE 24 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+_R = {"word_length": ("word_chars", 100, "n_words", 250), "symbols": ("n_symbols", 1000, "word_chars", 50), "shouted": ("n_shouted", 1000, "word_chars", 200), "dup_lines": ("n_dup_lines", 1000, "n_lines", 350), "repeats": ("n_repeat_words", 1000, "n_words", 100)}
+_ROUNDED = "CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) END"
+
+
+def _fences(keys: str) -> str:
+    """Of the groups of keys: rows, and each ratio's fences from the quartiles by rank, rounded down to their cells' least integers."""
+    by = f"PARTITION BY {keys + ', ' if keys else ''}ratio"
+    rows = f"SELECT {keys + ', ' if keys else ''}ratio, slack, x, row_number() OVER ({by} ORDER BY x) AS k, count(*) OVER ({by}) AS n FROM each_"
+    quarters = f"SELECT {keys + ', ' if keys else ''}ratio, any_value(slack) AS slack, any_value(n) AS n, max({_ROUNDED}) FILTER (WHERE k = ceil(n * 0.25)) AS q1, max({_ROUNDED}) FILTER (WHERE k = ceil(n * 0.75)) AS q3 FROM ({rows}) GROUP BY {keys + ', ' if keys else ''}ratio"
+    return f"SELECT {keys + ', ' if keys else ''}ratio, n, q1 - ((q3 - q1) * 3.0 + slack) AS low, q3 + ((q3 - q1) * 3.0 + slack) AS high FROM ({quarters})"
+
+
+_EACH = " UNION ALL ".join(f"SELECT rid, lang, source, '{r}' AS ratio, {slack} AS slack, CASE WHEN {den} = 0 THEN 0 ELSE ({num} * {k}) // {den} END AS x FROM stats WHERE n_words > 0" for r, (num, k, den, slack) in _R.items())
+
+OP5 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') AS lines FROM d),
+grams AS (SELECT rid, unnest(range(1, len(ws) - 3)) AS p, unnest(list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' '))) AS g FROM w WHERE len(ws) >= 5),
+again AS (SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(p, p + 5)) AS pos FROM again) GROUP BY rid),
+stats AS (SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ length(regexp_replace(text, '[^A-Z!]', '', 'g')) AS n_shouted, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c ON c.rid = w.rid),
+each_ AS ({_EACH}),
+own AS ({_fences("lang, source")}), of_lang AS ({_fences("lang")}), whole AS ({_fences("")}),
+bad AS (SELECT DISTINCT e.rid FROM each_ e JOIN own o ON o.lang IS NOT DISTINCT FROM e.lang AND o.source IS NOT DISTINCT FROM e.source AND o.ratio = e.ratio JOIN of_lang l ON l.lang IS NOT DISTINCT FROM e.lang AND l.ratio = e.ratio JOIN whole a ON a.ratio = e.ratio
+ WHERE e.x > CASE WHEN o.n >= 200 THEN o.high WHEN l.n >= 200 THEN l.high ELSE a.high END OR (e.ratio = 'word_length' AND e.x < CASE WHEN o.n >= 200 THEN o.low WHEN l.n >= 200 THEN l.low ELSE a.low END)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM judged"""

@@ -49,7 +49,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return chat_format.digests(chat_format.format_conversations(rows.unionByName(planted))).drop("identical")
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(planted)))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_pii, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate, op9_bpe, op10_quality_model)}
-SQL: dict[str, str] = {"op4_line_dedup": oracles.OP4, "op6_substring_dedup": oracles.OP6, "op7_chat_format": oracles.OP7}
+SQL: dict[str, str] = {"op4_line_dedup": oracles.OP4, "op5_quality_rules": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_chat_format": oracles.OP7}
