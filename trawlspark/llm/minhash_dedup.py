@@ -13,7 +13,7 @@ shingles have 32 more bands of permutations of their own: 1e-8 for two of them,
 at most 6e-6 for larger sets.
 
 Documents with equal sets (told by 128 bits of BLAKE2b over the whole set, itself of
-128-bit digests of words) are one class; only its smallest doc_id is banded. A bucket is never expanded into
+seeded 128-bit digests of words) are one class; only its smallest doc_id is banded. A bucket is never expanded into
 all pairs: each member is compared with the bucket's leader, which joins whole
 groups in one round, and then with other leaders where that would join different
 components. What is left are buckets with members of different components. Those of

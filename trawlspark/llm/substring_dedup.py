@@ -13,7 +13,7 @@ each task sends a repeated hash once for each CHUNK_BYTES of text, whatever its
 number of places there.
 
 Anchors group by 64 bits, which only choose what is extended; windows group by 128 bits
-(both lanes of BLAKE2b digests of their words), which decide. Words are bytes, unchanged by case.
+(both lanes of their words' digests), which decide. Words are bytes, unchanged by case.
 Defined results: null texts have
 no words; documents shorter than LENGTH lose nothing; exact copies lose all words
 of their windows, and so do repeated rows; rows that share a doc_id, or have none,
