@@ -19,7 +19,7 @@ from trawlspark.streaming import ingest
 
 #: Each kind of query once; tests/oracles.py runs them all.
 SAMPLE = (
-    "audit_all", "filter_has_rule", "filter_url_contains", "filter_view_bar", "grid_window_title_asc", "grid_window_meta_description_desc", "grid_headings", "issue_by_rule", "issue_totals", "rule_index", "report_examples", "crawl_overview",
+    "audit_all", "filter_has_rule", "filter_url_contains", "filter_view_bar", "grid_window_title_asc", "grid_window_meta_description_desc", "grid_headings", "grid_keyset_title_desc", "issue_by_rule", "issue_totals", "rule_index", "report_examples", "crawl_overview",
     "frontier_done", "page_detail", "inlinks", "structure_children", "resource_rows", "sitemap_summary_truncated", "view_urls", "search_preview", "export_pages", "bfs_depth", "redirect_walk", "upsert_pages", "extract_title", "extract_links", "extract_word_count", "normalize_url", "url_notes",
     "real_audit", "real_grid_has_issue", "real_query_total", "real_links", "real_inlink_counts", "body_hash", "sql_functions", "robots_allows", "sitemap_locations", "image_pass", "crawl_site", "crawl_site_failures", "replace_outlinks", "sitemap_first_writer", "landed_redirects", "follows",
 )
@@ -102,6 +102,15 @@ def test_windows_do_not_overlap(tables):
     assert rows(0, 10) + rows(10, 10) == rows(0, 20) and rows(10**6, 5) == []
 
 
+def test_windows_after_a_row(tables):
+    for column in ("title", "meta_description", "depth"):
+        for down in (False, True):
+            sort = grid.SortSpec(column, down)
+            rows = [(r[column], r["id"]) for r in grid.grid_window(tables["pages"], sort, 0, 1000).collect()]
+            for k in (0, 5, len(rows) - 3, len(rows) - 1):
+                assert [(r[column], r["id"]) for r in grid.grid_window(tables["pages"], sort, 0, 1000, after=rows[k]).collect()] == rows[k + 1 :]
+
+
 def test_injection_is_text(tables):
     for needle in ("'; drop table pages", "\\", "%' or 1=1 --"):
         assert grid.matching(tables["pages"], (grid.Filter("url_contains", needle),)).count() == 0

@@ -95,6 +95,15 @@ class SortSpec:
         return [F.col(c).desc_nulls_last() if self.descending else F.col(c).asc_nulls_first() for c in (self.column, "id")]
 
 
+    def after(self, value: object, id_: int) -> Column:
+        """The rows that come after the one with this value and id: where a further window starts, at no cost for what came before."""
+        own, later = F.col(self.column), F.col("id") < id_ if self.descending else F.col("id") > id_
+        if value is None:
+            return own.isNull() & later if self.descending else own.isNotNull() | later
+        beyond = (own < F.lit(value)) | own.isNull() if self.descending else own > F.lit(value)
+        return F.coalesce(beyond, F.lit(False)) | F.coalesce((own == F.lit(value)) & later, F.lit(False))
+
+
 def supported_sorts(filters: tuple[Filter, ...]) -> list[str]:
     return [s for s in SORT_COLUMNS if all(f.supports(s) for f in filters)]
 
@@ -113,13 +122,16 @@ def matching(pages: DataFrame, filters: tuple[Filter, ...], issues: DataFrame |
 
 
 def window(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
-    """limit rows (1000 at most) from offset on: a top-k, which never sorts all rows."""
+    """limit rows (1000 at most) from offset on: a top-k, which never sorts all rows. It holds offset + limit rows, so far-off windows had better
+    start after a known row (SortSpec.after)."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(0, min(limit, MAX_WINDOW)))
 
 
-def grid_window(pages: DataFrame, sort: SortSpec, offset: int = 0, limit: int = 100, issues: DataFrame | None = None, detail: DataFrame | None = None) -> DataFrame:
-    """The grid's columns of a window; with detail, first headings and their numbers, joined after the window is cut."""
-    rows = window(matching(pages, sort.filters, issues).select(*GRID), sort.order(), offset, limit)
+def grid_window(pages: DataFrame, sort: SortSpec, offset: int = 0, limit: int = 100, issues: DataFrame | None = None, detail: DataFrame | None = None, after: tuple[object, int] | None = None) -> DataFrame:
+    """The grid's columns of a window; with detail, first headings and their numbers, joined after the window is cut. after: value of the sort column and
+    id of the row before the window."""
+    found = matching(pages, sort.filters, issues).select(*GRID)
+    rows = window(found if after is None else found.filter(sort.after(*after)), sort.order(), offset, limit)
     if detail is None:
         return rows
     heads = detail.select(F.col("page_id").alias("id"), F.get("h1", F.lit(0)).alias("h1"), F.get("h2", F.lit(0)).alias("h2"), F.size("h1").alias("h1_count"), F.size("h2").alias("h2_count"))
