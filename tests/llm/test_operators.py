@@ -5,6 +5,7 @@ import time
 import zlib
 
 import brute
+import compare
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,7 +13,7 @@ import pytest
 from conftest import SF
 
 import corpus_pipeline
-from trawlspark.llm import bpe, chat_format, common, components, decontaminate, line_dedup, minhash_dedup, pii, quality_model, quality_rules, substring_dedup, toxicity
+from trawlspark.llm import bpe, chat_format, common, components, decontaminate, line_dedup, minhash_dedup, oracles, pii, quality_model, quality_rules, substring_dedup, toxicity
 from trawlspark.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -673,6 +674,7 @@ def test_pipeline(spark, documents):
             assert out.columns == columns
         if name == "quality rules":
             assert all(n >= 10 and 5 * rep <= n for n, *_, rep in (brute.base_counts(r["text"]) for r in got.values()))
+            assert set(got) == {r[0] for r in compare.connect(SF).sql(f"SELECT doc_id FROM ({oracles.OP5}) WHERE kept").fetchall()} and len(got) > len(rows) / 2
         elif name == "line dedup":
             gone = brute.boilerplate([(r["source"], r["text"]) for r in rows], line_dedup.MIN_SITES)
             assert {i: r["text"] for i, r in got.items()} == {r["doc_id"]: brute.without_lines(r["text"], gone) for r in rows}
@@ -686,6 +688,32 @@ def test_pipeline(spark, documents):
         docs = out
 
 
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_quality_rules", "op6_substring_dedup", "op7_chat_format"])
+def test_sql(spark, name):
+    assert compare.differences(QUERIES[name](spark, SF), compare.connect(SF), oracles.SQL[name]) == ""
+
+
+def test_clashing_columns_of_the_other_tables(spark):
+    """Extra columns of labels, benchmark and conversations take no part."""
+    extra = lambda df: df.selectExpr("*", *(f"'extra' AS `{c}`" for c in ("y", "own", "again", "rows", "source", "plain", "key", "items") if c not in df.columns))
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "en") for k in range(30)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "some words of text 7")], "item_id long, text string")
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "x" * 200_000), (2, None, "assistant", "a < b")], "conv_id long, turn long, role string, text string")
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert same(toxicity.toxicity(docs, labels), toxicity.toxicity(docs, extra(labels))) and same(quality_model.grade_documents(docs, labels), quality_model.grade_documents(docs, extra(labels)))
+    assert same(decontaminate.decontaminate(docs, items), decontaminate.decontaminate(docs, extra(items)))
+    one, two = (chat_format.digests(chat_format.format_conversations(t)) for t in (talk, extra(talk)))
+    assert same(one, two) and {r["loss_chars"] for r in one.collect()} == {200_000, 5}
+
+
+def test_pipeline_of_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, SF), "stage")
+        assert docs.count() == 0
+
+
 def test_pipeline_takes_odd_rows(spark):
     docs = odd(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:

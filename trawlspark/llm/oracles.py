@@ -54,3 +54,5 @@ bad AS (SELECT DISTINCT e.rid FROM each_ e JOIN own o ON o.lang IS NOT DISTINCT
  WHERE e.x > CASE WHEN o.n >= 200 THEN o.high WHEN l.n >= 200 THEN l.high ELSE a.high END OR (e.ratio = 'word_length' AND e.x < CASE WHEN o.n >= 200 THEN o.low WHEN l.n >= 200 THEN l.low ELSE a.low END)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM judged"""
+
+SQL = {"op4_line_dedup": OP4, "op5_quality_rules": OP5, "op6_substring_dedup": OP6, "op7_chat_format": OP7}

@@ -65,4 +65,4 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_pii, op4_line_dedup, op5_quality_rules, op6_substring_dedup, op7_chat_format, op8_decontaminate, op9_bpe, op10_quality_model)}
-SQL: dict[str, str] = {"op4_line_dedup": oracles.OP4, "op5_quality_rules": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_chat_format": oracles.OP7}
+SQL: dict[str, str] = oracles.SQL
