@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
 but the last return the columns of documents; the last one returns doc_id, n_tokens, ids
 (binary, 4-byte unsigned little-endian integers), ids_sha256 and decoded_sha256.
+
+Defined results: null and empty texts are rejected by the quality rules (too few words);
+rows without doc_id are told apart by their texts; repeated rows are judged alike, and near
+dedup leaves one of them; of documents at the threshold of a rule or a similarity the
+operators' docstrings say which stay; texts of any length pass whole; extra columns, whatever
+their names, are carried along; empty tables give empty tables in every stage.
 """
 
 from __future__ import annotations
