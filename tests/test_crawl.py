@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 from trawlspark import api, crawl
 from trawlspark.functions import body
 from trawlspark.functions.columns import is_internal
+from trawlspark.functions.html import extract
 from trawlspark.functions.text import fnv1a64, fnv1a64_many
 from trawlspark.functions.urls import canonical_url
 from trawlspark.operators import records
-from trawlspark.sources import http, sitemaps
+from trawlspark.sources import graph, http, sitemaps
 
 
 def site():
@@ -173,3 +174,18 @@ def test_one_record_for_each_url(spark):
     p = spark.createDataFrame([("https://a.com/#x", "<title>deep</title>", 3), ("https://a.com", "<title>near</title>", 1)], "url string, html string, depth int")
     t = records.crawl_tables_of(extract_records(p))
     assert [(r["url"], r["title"], r["depth"]) for r in t["pages"].collect()] == [("https://a.com/", "near", 1)] and t["issues"].count() == 0
+
+
+def test_difficult_answers(spark):
+    waits = []
+    ask = graph.difficult_site(waits.append)
+    go = lambda path: http.follow(ask, f"https://d.invalid{path}", sleep=lambda s: None)
+    assert (go("/redirect-chain/3").final, len(go("/redirect-chain/3").hops)) == ("https://d.invalid/redirect-chain/0", 3) and go("/redirect-chain/99").outcome == "more than 10 redirects"
+    assert go("/redirect-loop/3/0").outcome == "redirect loop at https://d.invalid/redirect-loop/3/0" and len(go("/redirect-loop/3/0").hops) == 3
+    assert go("/slow/90000").response.status == 200 and waits == [30.0] and go("/status/503").response.status == 503 and go("/none").response.status == 404
+    assert [http.head(ask, f"https://d.invalid/static/img-{k}.jpg").content_length for k in (1, 3, 4)] == [20 << 10, None, 300 << 10]
+    urls = spark.createDataFrame([(f"https://d.invalid{p}", 0) for p in ("/huge/9", "/malformed", "/redirect-loop/2/0")], "url string, depth int")
+    got = {r["url"].rpartition("invalid")[2]: r for r in http.fetch_all(urls, graph.difficult_site).collect() if r["kind"] == "page"}
+    assert got["/huge/9"]["truncated"] and len(got["/huge/9"]["html"]) == http.MAX_BODY and got["/redirect-loop/2/0"]["outcome"].startswith("redirect loop")
+    links = extract(got["/malformed"]["html"], "https://d.invalid/malformed").links
+    assert [x["target"] for x in links] == ["https://d.invalid/first", "https://d.invalid/second"]

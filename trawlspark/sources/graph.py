@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .http import Response
+
 NAVIGATION, EXTRA, BRANCH = 6, 14, 8
+#: What a request to the difficult site can ask for at most.
+MOST_HOPS, LONGEST_MS, MOST_MB = 20, 30_000, 16
 
 
 def _draw(seed: int, salt: str, n: int | Column, *more: Column) -> Column:
@@ -33,3 +41,47 @@ def render(pages: DataFrame, links: DataFrame) -> DataFrame:
     own = links.groupBy(F.col("source").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="/p/'), "target", F.lit('">page '), "target", F.lit("</a>")))), "\n").alias("anchors"))
     head = F.concat(F.lit("<!DOCTYPE html><html><head><title>Page "), F.col("id"), F.lit(" of the generated site</title>"), F.when(F.col("has_description"), F.concat(F.lit('<meta name="description" content="What page '), F.col("id"), F.lit(' of the generated site is about.">'))).otherwise(""), F.when(F.col("noindex"), '<meta name="robots" content="noindex">').otherwise(""), F.lit("</head><body><h1>Page "), F.col("id"), F.lit("</h1>"))
     return pages.join(own, "id", "left").select("id", "url", F.concat(head, F.coalesce("anchors", F.lit("")), F.lit("</body></html>")).alias("html"))
+
+
+def difficult_site(sleep: Callable[[float], None] = time.sleep) -> Callable[[str, str], Response]:
+    """A transport for what goes wrong on the web: /redirect-chain/N, /redirect-loop/SIZE/STEP, /slow/MS, /huge/MB, /malformed, /status/CODE, and
+    images /static/img-K.jpg, of which the third is missing and the fourth has 300 KB. Numbers are cut to the limits above."""
+    page = {"content-type": "text/html; charset=utf-8"}
+
+    def titled(name: str) -> Response:
+        return Response(200, page, f"<!DOCTYPE html><html><head><title>{name}</title></head><body><h1>{name}</h1></body></html>".encode())
+
+    def chain(n: int) -> Response:
+        left = min(n, MOST_HOPS)
+        return Response(301, {"location": f"/redirect-chain/{left - 1}"}) if left else titled("End of the chain")
+
+    def loop(size: int, step: int) -> Response:
+        return Response(302, {"location": f"/redirect-loop/{max(1, size)}/{(step + 1) % max(1, size)}"})
+
+    def slow(ms: int) -> Response:
+        sleep(min(ms, LONGEST_MS) / 1000)
+        return titled("Slow")
+
+    def huge(mb: int) -> Response:
+        line = b"<p>words that fill a very large page, line after line after line</p>\n"
+        return Response(200, page, b"<html><head><title>Huge</title></head><body>" + line * (max(1, min(mb, MOST_MB)) * (1 << 20) // len(line) + 1))
+
+    def image(k: int) -> Response:
+        size = {4: 300 << 10}.get(k, 20 << 10)
+        return Response(404) if k == 3 else Response(200, {"content-type": "image/jpeg", "content-length": str(size)}, bytes(size))
+
+    def malformed() -> Response:
+        return Response(200, page, b"<html><head><title>Not well formed</title><body><p>open <a href=/first>one<div><b>more <a href='/second'>two</a> 1 < 2 <odd tag=x><p>end")
+
+    routes = ((r"/redirect-chain/(\d+)", chain), (r"/redirect-loop/(\d+)/(\d+)", loop), (r"/slow/(\d+)", slow), (r"/huge/(\d+)", huge), (r"/status/(\d+)", lambda code: Response(code, {"content-type": "text/plain"}, b"status")), (r"/static/img-(\d+)\.jpg", image), (r"/malformed", malformed))
+
+    def transport(method: str, url: str) -> Response:
+        path = "/" + url.split("://", 1)[-1].partition("/")[2]
+        for pattern, answer in routes:
+            m = re.fullmatch(pattern, path)
+            if m:
+                r = answer(*map(int, m.groups()))
+                return Response(r.status, r.headers) if method == "HEAD" else r
+        return Response(404)
+
+    return transport
