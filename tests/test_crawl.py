@@ -62,6 +62,7 @@ def test_crawl_finds_pages_redirects_and_failures(tables):
     assert {r["url"] for r in tables["frontier"].collect()} == {f"{u}{p}" for p in ("/", "/a", "/b", "/old", "/loop", "/private/x", "/gone")}
     life = tables["_life"]
     assert (life.status, life.admitted, life.written, life.by_class[2], life.by_class[4], life.failed) == ("completed", 7, 5, 4, 1, 2)
+    assert rows(life.live(), "url") == rows(tables["pages"], "url") and crawl.Lifecycle().live() is None
     assert tables["_told"][-1].status == "completed" and tables["_told"][0].queued == 1 and tables["_told"][-1].urls_per_second > 0
 
 

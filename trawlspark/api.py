@@ -265,5 +265,9 @@ class Engine:
     def cancel_crawl(self) -> bool:
         return self._running().cancel()
 
+    def live_pages(self) -> DataFrame | None:
+        """The pages of the running crawl so far."""
+        return self._running().live()
+
     def progress(self) -> crawl.Progress:
         return self._running().progress()

@@ -56,6 +56,13 @@ class Lifecycle:
     failed: int = 0
     by_class: dict[int, int] = field(default_factory=lambda: dict.fromkeys(range(1, 6), 0))
 
+    #: The records of the rounds that have ended: what can be read while the crawl goes on.
+    parts: list[DataFrame] = field(default_factory=list)
+
+    def live(self) -> DataFrame | None:
+        """The pages so far, as rows of the pages table; None before the first round has ended. A round that is under way is not in it."""
+        return R.page_rows(_union(list(self.parts)).withColumn("id", F.lit(None).cast("long"))) if self.parts else None
+
     def __post_init__(self) -> None:
         self.changed = threading.Condition()
         self.started, self.paused_at, self.paused = self.clock(), None, 0.0
@@ -165,6 +172,7 @@ def run_crawl(
             landed = pages.filter("outcome = 'landed'").select(c("final_url").alias("url"), "status", "depth", "html", "truncated", "content_type", "elapsed_ms", F.transform("chain", lambda x: x["url"]).alias("redirect_chain"))
             part = store.cut(extract_records(landed))
             records.append(part)
+            life.parts.append(part)
             for r in part.groupBy("status").count().collect():  # one row for each status
                 life.record(r["status"], r["count"])
                 life.written += r["count"]

@@ -34,7 +34,7 @@ class PageRule(Rule):
 
 @dataclass(frozen=True)
 class SiteRule(Rule):
-    """find: from the crawl tables to a DataFrame (url, detail)."""
+    """find: from the crawl tables to a DataFrame (url, detail), with page_id where the rule knows it."""
 
     find: Callable[[dict[str, DataFrame]], DataFrame] = None
 

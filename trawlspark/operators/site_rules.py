@@ -1,7 +1,9 @@
-"""Rules that compare pages: each is a join or an aggregate over the crawl tables, giving (url, detail)."""
+"""Rules that compare pages: each is a join or an aggregate over the crawl tables, giving (url, detail), and page_id where the subject is a row of pages."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ def _shared(column: str, show: bool):
     """Pages that share a value with another page. Values are counted first, with partial sums, and the few repeated ones join back."""
 
     def find(t: Tables) -> DataFrame:
-        pages = t["pages"].select("url", c(column).alias("v")).filter("v is not null")
+        pages = t["pages"].select("url", c("id").alias("page_id"), c(column).alias("v")).filter("v is not null")
         repeated = pages.groupBy("v").count().filter("count > 1").select("v")
-        return pages.join(repeated, "v", "left_semi").select("url", (c("v") if show else F.lit(None).cast("string")).alias("detail"))
+        return pages.join(repeated, "v", "left_semi").select("url", "page_id", (c("v") if show else F.lit(None).cast("string")).alias("detail"))
 
     return find
 
@@ -28,14 +30,14 @@ def _redirect_loop(t: Tables) -> DataFrame:
 
 
 def _canonical_non_200(t: Tables) -> DataFrame:
-    a, b = t["pages"].select("url", "canonical_url").filter("canonical_url is not null"), t["pages"].select(c("url").alias("target"), "status").filter("status != 200")
-    return a.join(b, c("canonical_url") == c("target")).select("url", F.concat(c("canonical_url"), F.lit(" returns "), c("status").cast("string")).alias("detail"))
+    a, b = t["pages"].select("url", c("id").alias("page_id"), "canonical_url").filter("canonical_url is not null"), t["pages"].select(c("url").alias("target"), "status").filter("status != 200")
+    return a.join(b, c("canonical_url") == c("target")).select("url", "page_id", F.concat(c("canonical_url"), F.lit(" returns "), c("status").cast("string")).alias("detail"))
 
 
 def _canonical_chain(t: Tables) -> DataFrame:
-    away = t["pages"].select("url", "canonical_url").filter("canonical_url != url")
+    away = t["pages"].select("url", c("id").alias("page_id"), "canonical_url").filter("canonical_url != url")
     b = away.select(c("url").alias("middle"), c("canonical_url").alias("end"))
-    return away.join(b, c("canonical_url") == c("middle")).select("url", F.concat(F.lit("via "), c("middle"), F.lit(" to "), c("end")).alias("detail"))
+    return away.join(b, c("canonical_url") == c("middle")).select("url", "page_id", F.concat(F.lit("via "), c("middle"), F.lit(" to "), c("end")).alias("detail"))
 
 
 def _linked_from(t: Tables, targets: DataFrame) -> DataFrame:
@@ -63,13 +65,13 @@ def _oversized_image(t: Tables) -> DataFrame:
 
 
 def _broken_internal(t: Tables) -> DataFrame:
-    broken = t["pages"].filter("status >= 400").select("url", "status")
-    return _linked_from(t, broken).select("url", F.concat(c("status").cast("string"), F.lit(", "), _pages(c("linked"))).alias("detail"))
+    broken = t["pages"].filter("status >= 400").select("url", c("id").alias("page_id"), "status")
+    return _linked_from(t, broken).select("url", "page_id", F.concat(c("status").cast("string"), F.lit(", "), _pages(c("linked"))).alias("detail"))
 
 
 def _orphan(t: Tables) -> DataFrame:
     linked = t["links"].select(c("target_url").alias("url")).filter("url is not null").distinct()  # the home page is one row, and not one from every page
-    return t["pages"].filter("depth > 0").select("url").join(linked, "url", "left_anti").select("url", F.lit(None).cast("string").alias("detail"))
+    return t["pages"].filter("depth > 0").select("url", c("id").alias("page_id")).join(linked, "url", "left_anti").select("url", "page_id", F.lit(None).cast("string").alias("detail"))
 
 
 SITE_RULES = (
@@ -89,9 +91,12 @@ SITE_RULES = (
 
 def site_findings(tables: Tables, rules: tuple[SiteRule, ...] = SITE_RULES) -> DataFrame:
     """(url, page_id, rule_id, severity, detail): page_id is null where the subject never became a page."""
-    parts = [r.find(tables).select("url", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), "detail") for r in rules]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    ids = tables["pages"].select("url", c("id").alias("page_id"))
-    return every.join(ids, "url", "left").select("url", "page_id", "rule_id", "severity", "detail")
+    found = [(r, r.find(tables)) for r in rules]
+    tagged = lambda r, df, *more: df.select("url", *more, F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), "detail")
+    parts = [tagged(r, df, "page_id") for r, df in found if "page_id" in df.columns]
+    others = [tagged(r, df) for r, df in found if "page_id" not in df.columns]
+    if others:  # of their subjects, those that became pages are looked up
+        ids = tables["pages"].select("url", c("id").alias("page_id"))
+        parts.append(reduce(DataFrame.unionByName, others).join(ids, "url", "left"))
+    columns = ("url", "page_id", "rule_id", "severity", "detail")
+    return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))

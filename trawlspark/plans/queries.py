@@ -103,19 +103,19 @@ for _column in grid.SORT_COLUMNS:
 
 
 def _grid_keyset(column: str, descending: bool) -> Query:
-    """The window after row 60, found by that row's value and id."""
+    """The window after row 20, found by that row's value and id."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         pages, sort = crawl_tables(spark, d)["pages"], SortSpec(column, descending)
-        last = grid.grid_window(pages, sort, 59, 1).first()
-        return grid.grid_window(pages, sort, 0, 40, after=(last[column], last["id"]))
+        last = grid.grid_window(pages, sort, 19, 1).first()
+        return grid.grid_window(pages, sort, 0, 40 if last else 0, after=(last[column], last["id"]) if last else None)
 
     return run
 
 
 for _column, _down in (("title", False), ("title", True), ("depth", True), ("url", False)):
     _way = "DESC NULLS LAST" if _down else "ASC NULLS FIRST"
-    _add(f"grid_keyset_{_column}_{'desc' if _down else 'asc'}", _grid_keyset(_column, _down), f"SELECT {_GRID_SQL} FROM m ORDER BY {_column} {_way}, id {_way} LIMIT 40 OFFSET 60")
+    _add(f"grid_keyset_{_column}_{'desc' if _down else 'asc'}", _grid_keyset(_column, _down), f"SELECT {_GRID_SQL} FROM m ORDER BY {_column} {_way}, id {_way} LIMIT 40 OFFSET 20")
 
 
 def grid_filtered(spark: SparkSession, d: str) -> DataFrame:

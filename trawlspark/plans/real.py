@@ -133,6 +133,29 @@ def body_hash(spark: SparkSession, d: str) -> DataFrame:
     return real_tables(spark, d)["pages"].filter("body_hash is not null").select("url", "body_hash")
 
 
+# ---- heads: pages with all that a head can say, written from the rows of pages ---------------------
+
+
+@_query("extract_head", """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('About page ', page_id, ' & more') END AS meta_description,
+ CASE WHEN page_id % 5 = 1 THEN concat('https://h.invalid/canon/', page_id) END AS canonical_url, page_id % 3 = 0 AS noindex, page_id % 3 IN (0, 1) AS nofollow, page_id % 7 = 2 AS noarchive,
+ CASE WHEN page_id % 2 = 0 THEN concat('title=T ', page_id, '|type=article') ELSE concat('title=T ', page_id) END AS open_graph, concat('en=/en/', page_id, '|fr-ca=', CASE WHEN page_id % 2 = 0 THEN 'https://h.invalid/fr' ELSE '' END) AS hreflang,
+ CASE WHEN page_id % 6 = 5 THEN '' ELSE concat('Part ', page_id, '|', 'Next part') END AS h2, concat('/i/', page_id, '.png=', CASE page_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '' ELSE 'Alt text' END) AS images FROM pages""")
+def extract_head(spark: SparkSession, d: str) -> DataFrame:
+    id_, text = c("page_id"), F.lit
+    part = lambda when, *parts: F.when(when, F.concat(*(p if not isinstance(p, str) else text(p) for p in parts))).otherwise(text(""))
+    html = F.concat(
+        text("<!DOCTYPE html><html><head>"), part(id_ % 4 != 0, '<META NAME="Description" content="About  page ', id_, ' &amp; more">'), part(id_ % 5 == 1, '<link rel="x CANONICAL" href="../canon/', id_, '">'),
+        text('<meta name="robots" content="'), F.when(id_ % 3 == 0, " NONE").when(id_ % 3 == 1, "nofollow, max-snippet:5").otherwise("index"), text('">'), part(id_ % 7 == 2, '<meta name=googlebot content=noarchive>'),
+        text('<meta property="og:title" content="T '), id_, text('">'), part(id_ % 2 == 0, "<meta property='OG:type' content='article'>"),
+        text('<link rel=alternate hreflang="EN" href="/en/'), id_, text('"><link rel="alternate" hreflang=fr-CA'), part(id_ % 2 == 0, ' href="https://h.invalid/fr"'), text("></head><body>"),
+        part(id_ % 6 != 5, "<h2> Part <b>", id_, "</b></h2><h2>Next\n part</h2>"), text('<img src="/i/'), id_, text('.png"'), F.when(id_ % 3 == 0, "").when(id_ % 3 == 1, " alt").otherwise(' alt="Alt text"'), text("></body></html>"),
+    )
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(text("https://h.invalid/a/"), id_).alias("url"), html.alias("html"))
+    pairs = lambda name, a, b: F.array_join(F.transform(name, lambda x: F.concat(x[a], text("="), F.coalesce(x[b], text("null")))), "|").alias(name)
+    r = extraction.extract_records(p)
+    return r.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "meta_description", "canonical_url", "noindex", "nofollow", "noarchive", pairs("open_graph", "name", "value"), pairs("hreflang", "lang", "href"), F.array_join("h2", "|").alias("h2"), pairs("images", "src", "alt"))
+
+
 # ---- functions, robots and sitemaps ---------------------------------------------------------------
 
 _PATH = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*(/[^#]*)', 1), '#.*$', '')"
