@@ -50,6 +50,8 @@ BITS, BLOCKS, RADIUS = 64, 4, 18
 ITEMS_AT_ONCE, ITEM_BYTES = 4096, 4 << 20
 #: Words whose windows are fingerprinted at a time, and shingles that are verified at a time.
 SUMMED, VERIFIED = 1 << 11, 1 << 20
+#: Fingerprints that are looked up at a time: as many as a processor's cache holds.
+LOOKED_UP = 1 << 16
 
 _ALL = np.arange(1 << 16)
 _NEAR = _ALL[np.bitwise_count(_ALL) <= RADIUS // BLOCKS].astype(np.uint16)  # what near block values differ by
@@ -149,15 +151,19 @@ class Index:
 
     def near(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         """The items of a size class with the places of the fingerprints within RADIUS."""
-        parts = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T).astype(np.intp)
-        items = self.classes[size]
-        for g in range(items[0] // 8, items[-1] // 8 + 1):
-            found = reduce(np.bitwise_or, (self.table[b, g].take(parts[b]) for b in range(BLOCKS)))
-            for i in items[items // 8 == g].tolist():
-                at = np.flatnonzero((found & np.uint8(1 << i % 8)) != 0)  # booleans are found faster
-                at = at[distances(prints[at], self.prints[i]) <= RADIUS]
-                if len(at):
-                    yield i, at
+        items, found = self.classes[size], {}
+        for k in range(0, len(prints), LOOKED_UP):
+            some = prints[k : k + LOOKED_UP]
+            parts = np.ascontiguousarray(some.view(np.uint16).reshape(-1, BLOCKS).T).astype(np.intp)
+            for g in range(items[0] // 8, items[-1] // 8 + 1):
+                hits = reduce(np.bitwise_or, (self.table[b, g].take(parts[b]) for b in range(BLOCKS)))
+                for i in items[items // 8 == g].tolist():
+                    at = np.flatnonzero((hits & np.uint8(1 << i % 8)) != 0)  # booleans are found faster
+                    at = at[distances(some[at], self.prints[i]) <= RADIUS]
+                    if len(at):
+                        found.setdefault(i, []).append(at + k)
+        for i, parts in found.items():
+            yield i, np.concatenate(parts)
 
     def candidates(self, text: _Text) -> Iterator[tuple[int, np.ndarray]]:
         """An item and the first words of windows whose fingerprints are near its own."""
