@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Rows of a round's table in one file, about: later rounds are small, and a file for each of hundreds of partitions costs more than its rows.
+FILE_ROWS = 250_000
+
 
 def _parents(e: DataFrame, r: int) -> DataFrame:
     """(v, p): every vertex with its parent of round r."""
@@ -29,19 +32,22 @@ def _parents(e: DataFrame, r: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, component): component is the smallest id that can be reached."""
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    steps: list[DataFrame] = []
-    while not steps or not e.isEmpty():
+    steps: list[tuple[DataFrame, int]] = []
+    n = e.count()
+    while not steps or n:
+        files = -(-2 * n // FILE_ROWS) or 1  # at most two vertices for each edge
         parent = _parents(e, len(steps))
         up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = materialize(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "parents")
-        steps.append(step)
+        step = materialize(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")).coalesce(files), "parents")
+        steps.append((step, files))
         pa, pb = step.select(F.col("v").alias("a"), F.col("p").alias("pa")), step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = e.join(pa, "a").join(pb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct()
-        before, e = e, materialize(moved, "edges")
+        before, e = e, materialize(moved.coalesce(files), "edges")
         discard(before)
-    root = steps.pop().withColumnRenamed("p", "root")
+        n = e.count()
+    root = steps.pop()[0].withColumnRenamed("p", "root")
     while steps:
-        last = root.select(F.col("v").alias("p"), "root")
-        root = materialize(steps.pop().join(last, "p", "left").select("v", F.coalesce("root", "p").alias("root")), "roots")
+        last, (step, files) = root.select(F.col("v").alias("p"), "root"), steps.pop()
+        root = materialize(step.join(last, "p", "left").select("v", F.coalesce("root", "p").alias("root")).coalesce(files), "roots")
     least = root.groupBy("root").agg(F.min("v").alias("component"))
     return root.join(least, "root").select(F.col("v").alias("id"), "component")
