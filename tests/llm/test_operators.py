@@ -98,7 +98,7 @@ def test_near_duplicates_of_real_documents(spark, real):
 def test_near_duplicates_around_the_threshold(spark):
     """One group whose pairs lie on both sides of 0.75: leaders join most of it, blocks the rest."""
     base, docs = prose(120), []
-    for i in range(300):
+    for i in range(700):
         w = list(base)
         for _ in range(R.choice((1, 2, 3, 4, 5, 6))):
             w[R.randrange(len(w))] = R.choice(VOCABULARY)

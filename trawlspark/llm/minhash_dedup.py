@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow, ship
 from . import arrowtext as T
-from .common import materialize, select_ids, with_texts
+from .common import BROADCAST_IDS, materialize, select_ids, with_texts
 from .components import components
 
 WORDS = 5
@@ -268,16 +268,22 @@ def _linked_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
 
+def _small_side(df: DataFrame) -> DataFrame:
+    """df for a join with many rows of one key: broadcast if it is small, so that they stay where they are."""
+    df = materialize(df, "side")
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _block_links(plausible: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the components of each group, found block by block."""
     rows = _labelled(plausible, found)
     rows = rows.join(texts.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size")), "id")
-    sizes = rows.groupBy("g", "c").agg(F.count("*").alias("n"))
     # A component of more than one block has blocks of its own; the others share blocks.
-    unit = F.when(F.col("n") > BLOCK, F.col("c")).otherwise(F.lit(None).cast("long"))
-    rows = materialize(rows.join(sizes, ["g", "c"]).select("id", "g", "c", "size", unit.alias("u")), "blocked")
-    units = rows.groupBy("g", "u").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("k"))
-    rows = rows.join(units.withColumnsRenamed({"g": "g_", "u": "u_"}), (F.col("g") == F.col("g_")) & F.col("u").eqNullSafe(F.col("u_"))).select("id", "g", "c", F.struct("u", F.pmod(F.xxhash64("id"), "k").cast("int").alias("x")).alias("block"))
+    large = rows.groupBy(F.col("g").alias("g_"), F.col("c").alias("c_")).count().filter(F.col("count") > BLOCK).select("g_", "c_")
+    rows = rows.join(_small_side(large), (F.col("g") == F.col("g_")) & (F.col("c") == F.col("c_")), "left").select("id", "g", "c", "size", F.col("c_").alias("u"))
+    rows = materialize(rows, "blocked")
+    units = materialize(rows.groupBy("g", "u").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("k")), "units")
+    rows = rows.join(_small_side(units.withColumnsRenamed({"g": "g_", "u": "u_"})), (F.col("g") == F.col("g_")) & F.col("u").eqNullSafe(F.col("u_"))).select("id", "g", "c", F.struct("u", F.pmod(F.xxhash64("id"), "k").cast("int").alias("x")).alias("block"))
     blocks = units.select("g", "u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x")).select("g", F.struct("u", "x").alias("block"))
     # Pairs of blocks, not of documents; two blocks of one large component don't meet, nor does such a block meet itself.
     meet = blocks.withColumnRenamed("block", "p").join(blocks.withColumnRenamed("block", "q"), "g").filter("p <= q and not (p.u is not null and p.u <=> q.u)")
