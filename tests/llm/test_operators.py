@@ -688,7 +688,7 @@ def test_pipeline(spark, documents):
         docs = out
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_quality_rules", "op6_substring_dedup", "op7_chat_format"])
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op4_line_dedup", "op5_quality_rules", "op6_substring_dedup", "op7_chat_format"])
 def test_sql(spark, name):
     assert compare.differences(QUERIES[name](spark, SF), compare.connect(SF), oracles.SQL[name]) == ""
 

@@ -55,4 +55,13 @@ bad AS (SELECT DISTINCT e.rid FROM each_ e JOIN own o ON o.lang IS NOT DISTINCT
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM judged"""
 
-SQL = {"op4_line_dedup": OP4, "op5_quality_rules": OP5, "op6_substring_dedup": OP6, "op7_chat_format": OP7}
+OP1 = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT both_.b, r.low FROM r JOIN both_ ON both_.a = r.id WHERE both_.b > r.low)
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM (SELECT id, min(low) AS component_id FROM r GROUP BY id) LEFT JOIN n ON n.doc_id = id"""
+
+SQL = {"op1_minhash_dedup": OP1, "op4_line_dedup": OP4, "op5_quality_rules": OP5, "op6_substring_dedup": OP6, "op7_chat_format": OP7}
