@@ -82,15 +82,16 @@ def _weighted(w: list[str]) -> dict[tuple, int]:
 
 def contaminated(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
     found = set()
+    wanted = [(item, len(q), _weighted(q)) for item, q in ((item, words(text, True)) for item, text in items) if q]
     for i, t in docs:
         w = words(t, True)
-        for item, text in items:
-            q = words(text, True)
-            if not q or not w:
-                continue
-            want = _weighted(q)
-            for k in range(max(1, len(w) - len(q) + 1)):
-                have = _weighted(w[k : k + len(q)])
+        runs = {k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for k in {min(5, n, len(w)) for _, n, _ in wanted} if k}
+        for item, size, want in wanted:
+            k = min(5, size, len(w))
+            if not k or runs[k].isdisjoint(want):
+                continue  # nothing in common: similarity 0 everywhere
+            for start in range(max(1, len(w) - size + 1)):
+                have = _weighted(w[start : start + size])
                 both = sum(min(have.get(s, 0), n) for s, n in want.items())
                 if 100 * both >= 75 * (sum(have.values()) + sum(want.values()) - both):
                     found.add((i, item))
