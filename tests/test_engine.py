@@ -21,7 +21,7 @@ from trawlspark.streaming import ingest
 SAMPLE = (
     "audit_all", "filter_has_rule", "filter_url_contains", "filter_view_bar", "grid_window_title_asc", "grid_window_meta_description_desc", "grid_headings", "grid_keyset_title_desc", "issue_by_rule", "issue_totals", "rule_index", "report_examples", "crawl_overview",
     "frontier_done", "page_detail", "inlinks", "structure_children", "resource_rows", "sitemap_summary_truncated", "view_urls", "search_preview", "export_pages", "bfs_depth", "redirect_walk", "upsert_pages", "extract_title", "extract_links", "extract_word_count", "normalize_url", "url_notes",
-    "extract_head", "real_audit", "real_grid_has_issue", "real_query_total", "real_links", "real_inlink_counts", "body_hash", "sql_functions", "robots_allows", "sitemap_locations", "image_pass", "crawl_site", "crawl_site_failures", "replace_outlinks", "sitemap_first_writer", "landed_redirects", "follows",
+    "extract_head", "detail_json", "thousands", "real_audit", "real_grid_has_issue", "real_query_total", "real_links", "real_inlink_counts", "body_hash", "sql_functions", "robots_allows", "sitemap_locations", "image_pass", "crawl_site", "crawl_site_failures", "replace_outlinks", "sitemap_first_writer", "landed_redirects", "follows",
 )
 
 

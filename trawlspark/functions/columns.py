@@ -86,6 +86,11 @@ def crumbs(url: Column) -> Column:
     return F.array_join(F.concat(F.array(host(url)), parts), " › ")
 
 
+def json_or_null(text: Column, kind: str) -> Column:
+    """A detail field that is kept as JSON text; null where it doesn't parse, never an error."""
+    return F.from_json(text, kind, {"mode": "PERMISSIVE"})
+
+
 def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 

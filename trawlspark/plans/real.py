@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..crawl import Lifecycle, run_crawl
-from ..functions.columns import path_of
+from ..functions.columns import json_or_null, path_of, thousands
 from ..functions.sql import register_functions
 from ..operators import audit as A
 from ..operators import extraction, frontier, grid, lookups, overviews
@@ -168,6 +168,20 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT page_id, normalize_url(url) AS canonical, join_url(url, '/a/../xé') AS joined FROM {pages}", pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"))
 
 
+@_query("detail_json", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('a', page_id, '|b') END AS h1, CASE WHEN page_id % 3 = 0 THEN 2 END AS n FROM pages")
+def detail_json(spark: SparkSession, d: str) -> DataFrame:
+    """Detail fields as JSON text, of which some are cut off, no JSON, or missing."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id")
+    text = F.when(c("page_id") % 3 == 0, F.concat(F.lit('["a'), c("page_id"), F.lit('", "b"]'))).when(c("page_id") % 6 == 1, '["cut off').when(c("page_id") % 3 == 1, "no json")
+    h1 = json_or_null(text, "array<string>")
+    return p.select("page_id", F.array_join(h1, "|").alias("h1"), F.when(h1.isNotNull(), F.size(h1)).alias("n"))
+
+
+@_query("thousands", "SELECT page_id, format('{:,}', page_id * 12345) AS shown FROM pages")
+def thousands_shown(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", thousands(c("page_id") * 12345).alias("shown"))
+
+
 @_query("robots_allows", f"SELECT page_id, CASE WHEN path LIKE '%?page=2%' AND NOT starts_with(path, '/fr/1') THEN false WHEN starts_with(path, '/fr/1') THEN NOT path LIKE '%?page=2%' WHEN starts_with(path, '/fr/') THEN false WHEN regexp_full_match(path, '/en/.*5') THEN false ELSE true END AS allowed FROM (SELECT page_id, {_PATH} AS path FROM pages)")
 def robots_allows(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
