@@ -180,8 +180,10 @@ def run_crawl(
             links = part.select("depth", F.explode("links").alias("l")).select(c("l.target").alias("url"), (c("depth") + 1).alias("depth"), "l.nofollow").filter("url is not null")
             found = links.filter(follows(c("url"), F.lit(start), c("nofollow"), subdomains)).groupBy("url").agg(F.min("depth").alias("depth"))
             new = store.cut(found.join(known, "url", "left_anti"))
-            pending = store.cut(pending.join(taken, "url", "left_anti").unionByName(new))
-            known = store.cut(known.unionByName(new))
+            # Each level is written once; what is known is the union of the levels' files.
+            left = None if allowed == waiting and life.max_depth is None else pending.join(taken, "url", "left_anti")
+            pending = new if left is None else store.cut(left.unionByName(new))
+            known = known.unionByName(new)
         life.complete()
         every, pages = (_union(records), _union(answers)) if records else (None, None)
         if every is None:
