@@ -13,6 +13,7 @@ from ..operators import export, extraction, frontier, grid, lookups, overviews,
 from ..operators.grid import Filter, SortSpec
 from ..operators.page_rules import PAGE_RULES, page_findings, page_subjects
 from ..operators.site_rules import SITE_RULES, site_findings
+from ..sources.store import cut
 from . import real
 from .oracles import PAGE_LEVEL, all_findings, finding_sql, on_model
 from .site_model import URL, crawl_tables
@@ -32,7 +33,7 @@ def _add(name: str, query: Query, sql: str | None = None, issues: bool = False,
 def _with_issues(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The crawl tables with findings, written once: several views read them."""
     t = crawl_tables(spark, sf_dir)
-    t["issues"] = A.audit(t)
+    t["issues"] = cut(A.audit(t))
     t["pages"] = A.with_issue_flag(t["pages"], t["issues"])
     return t
 
