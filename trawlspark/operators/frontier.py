@@ -21,11 +21,12 @@ def bfs_depths(links: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     A level is the distinct targets of the level before that were not seen. Each level is written to shared storage once, and what was
     seen is the union of the levels' files, so nothing is computed or written again.
     """
+    links = cut(links.select("source", "target").filter("target is not null").distinct())  # every level reads them
     level, depth = cut(seeds.select("url", F.lit(0).alias("depth")).distinct()), 0
     seen, total = level, level.count() if max_urls is not None else 0
     while (max_depth is None or depth < max_depth) and not level.isEmpty():
         depth += 1
-        found = links.join(level.select(c("url").alias("source")), "source", "left_semi").select(c("target").alias("url")).filter("url is not null").distinct()
+        found = links.join(level.select(c("url").alias("source")), "source", "left_semi").select(c("target").alias("url")).distinct()
         level = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
         if max_urls is not None:
             level = level.orderBy("url").limit(max(0, max_urls - total))

@@ -70,7 +70,8 @@ def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
-    m = _sql(spark, M, pages=pages)
+    # Counted once, and not by each of the many plans that read m.
+    m = _sql(spark, M.replace("(SELECT count(*) FROM pages)", f"CAST({pages.count()} AS BIGINT)"), pages=pages)
     images = _sql(spark, IMAGES, m=m)
     failures, redirects = _sql(spark, FAILURES, m=m), _sql(spark, REDIRECTS, m=m)
     return {
