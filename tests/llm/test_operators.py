@@ -731,3 +731,16 @@ def test_near_dedup_leaves_one_row_of_each_group(spark):
     assert out.columns == docs.columns
     left = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
     assert left == sorted([(1, a), (None, b), (3, "alone"), (4, "x y z"), (4, "another text"), (None, "no id"), (9, None)], key=repr)
+
+
+def test_python_stages_get_batches_of_bounded_bytes(spark):
+    """A task's rows reach Python a few megabytes at a time, not the whole task at once (the pipeline's executors ran out of memory)."""
+    from trawlspark import shipping
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes], "n": [b.num_rows]})
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 1000) AS text")
+    got = shipping.map_arrow(texts, sizes, "size long, n long").collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * shipping.ARROW_BYTES

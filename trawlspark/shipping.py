@@ -22,8 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of rows that a task hands to Python at a time, about (a longer row is a batch of its own). Spark's own bound is 64 MB, of which the
+#: JVM holds up to three copies outside its heap and the worker one more.
+ARROW_BYTES = 4 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once for each Spark application."""
+    """Send this package's modules to the executors, once for each Spark application, and bound the session's Arrow batches (a lower bound stays)."""
+    if not 0 < int(spark.conf.get(_ARROW_SETTING).rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(_ARROW_SETTING, ARROW_BYTES)
     context = spark.sparkContext
     if getattr(context, "_trawlspark_shipped", False):
         return
