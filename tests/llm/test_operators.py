@@ -221,6 +221,26 @@ def test_repeats_at_every_offset_and_length(spark):
     check_repeats(spark, docs)
 
 
+def test_places_travel_as_arrays():
+    """A chunk sends a row for each part of its hashes, not one for each place; the places that come out are those of a plain count, over both lanes."""
+    r = np.random.default_rng(5)
+    chunks = [(r.integers(0, 4000, n).astype(np.uint64) << np.uint64(52), r.integers(0, 2, n).astype(np.uint64), r.integers(0, 50, n), r.integers(0, 90, n)) for n in (1, 700, 3000, 5000)]
+    parts = np.arange(100, 116, dtype=np.int32)
+    for lanes in (1, 2):
+        rows = [b for h, o, key, at in chunks for b in substring_dedup._places(parts, h, o if lanes == 2 else None, key, at)]
+        sent = pa.Table.from_batches(rows).sort_by("part")
+        assert sent.num_rows <= 4 * 2 * 16
+        names = [x for h, o, _, _ in chunks for x in (zip(h.tolist(), o.tolist(), strict=True) if lanes == 2 else h.tolist())]
+        places = [x for _, _, key, at in chunks for x in zip(key.tolist(), at.tolist(), strict=True)]
+        count = collections.Counter(names)
+        found = list(substring_dedup._repeated(iter(sent.to_batches(7)), parts))
+        assert sum(b.num_rows for b in found) <= 16
+        documents = [row for b in substring_dedup._by_document(iter(found)) for row in b.to_pylist()]
+        assert len({row["key"] for row in documents}) == len(documents)
+        got = [(row["key"], a) for row in documents for a in row["ats"]]
+        assert sorted(got) == sorted(p for p, x in zip(places, names, strict=True) if count[x] > 1)
+
+
 # ---- quality rules and lines ----------------------------------------------------------------------
 
 

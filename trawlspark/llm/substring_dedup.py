@@ -10,7 +10,9 @@ the windows around it that could hold it, and those are grouped by the hash of
 their LENGTH words. Both groupings count and never pair places up, so a passage
 that a third of all documents hold is no larger work than the rows it is in; and
 each task sends a repeated hash once for each CHUNK_BYTES of text, whatever its
-number of places there.
+number of places there. Places travel as arrays, one row for each part of a chunk's
+sorted hashes, and are sorted and grouped as arrays where all of a part's rows meet; so do
+those found, by document.
 
 Anchors group by 64 bits, which only choose what is extended; windows group by 128 bits
 (both lanes of their words' digests), which decide. Words are bytes, unchanged by case.
@@ -25,10 +27,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
@@ -42,38 +45,90 @@ ANCHOR = LENGTH - PERIOD + 1
 #: Repeats within so much text are told apart by the task itself.
 CHUNK_BYTES = 8 << 20
 
+#: Repeated places that a task holds before it deals them out by document.
+DEALT = 1 << 22
+
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-PLACES = "hash long, other long, key long, at int, again boolean"
+PLACES = "part int, hash binary, other binary, key binary, at binary"
+FOUND, REPEATED = "part int, key binary, at binary", "key long, ats array<int>"
+
+
+def _order(h: np.ndarray, o: np.ndarray | None) -> np.ndarray:
+    """The order by hash, and by its other lane where hashes are equal and that differs."""
+    order = np.argsort(h)
+    if o is not None and ((h[order[1:]] == h[order[:-1]]) & (o[order[1:]] != o[order[:-1]])).any():
+        order = np.lexsort((o, h))
+    return order
+
+
+def _new(h: np.ndarray, o: np.ndarray | None) -> np.ndarray:
+    """Of sorted hashes: whether one differs from the one before it."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    if o is not None:
+        new[1:] |= o[1:] != o[:-1]
+    return new
+
 
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The values' bytes, cut at the edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-def _places(hashes: np.ndarray, others: np.ndarray, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, other, key, at, again). A hash's places within the chunk: one row stands for the hash (both of its lanes), again true if it
-    has more places; the others, known to be repeated, come with a null hash."""
+
+def part_numbers(spark: SparkSession) -> np.ndarray:
+    """A number for each shuffle partition that Spark's hash deals to it: parts with these numbers never share one."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers, size = np.zeros(0, np.int32), 16 * n + 64
+    while len(numbers) < n:  # once, but for one case in millions
+        size *= 2
+        rows = spark.range(size).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("to")).toArrow().sort_by("id")
+        numbers = rows.column("id").to_numpy()[np.unique(rows.column("to").to_numpy(), return_index=True)[1]]
+    return numbers
+
+
+def _part(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which part 64-bit hashes belong to: ascends with the hash."""
+    return ((h >> T.U64(32)) * T.U64(len(parts)) >> T.U64(32)).astype(np.int64)
+
+
+def _places(parts: np.ndarray, hashes: np.ndarray, others: np.ndarray | None, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of PLACES: a row for each part of the chunk's hashes, with arrays. A hash's places within the chunk: one stands for the hash (both of
+    its lanes), with ~at if it has more; the others, known to be repeated, come without hashes, in rows dealt over the parts."""
     if not len(hashes):
         return
-    order = np.lexsort((others, hashes)) if others.any() else np.argsort(hashes, kind="stable")
-    h, o = hashes[order], others[order]
-    head = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
+    order = _order(hashes, others)
+    h, o, key, at = hashes[order], None if others is None else others[order], keys[order].astype(np.int64), at[order].astype(np.int32)
+    head = _new(h, o)
     more = np.zeros(len(h), bool)
     more[:-1] = ~head[1:]
-    columns = [pa.array(h.view(np.int64), mask=~head), pa.array(o.view(np.int64), mask=~head), T.long_column(keys[order]), pa.array(at[order].astype(np.int32)), pa.array(more | ~head)]
-    yield from pa.Table.from_arrays(columns, ["hash", "other", "key", "at", "again"]).to_batches(20_000)
+    own = np.where(more, ~at, at)[head]
+    part = _part(h[head], parts)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+    none = pa.nulls(len(edges) - 1, pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(parts[part[edges[:-1]]]), _packed(h[head], edges), none if o is None else _packed(o[head], edges), _packed(key[head], edges), _packed(own, edges)], ["part", "hash", "other", "key", "at"])
+    if not head.all():
+        key, at = key[~head], at[~head]
+        edges = np.append(np.arange(0, len(key), 1 << 14), len(key))
+        some = parts[(int(h[0]) + np.arange(len(edges) - 1)) % len(parts)]
+        none = pa.nulls(len(some), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some), none, none, _packed(key, edges), _packed(at, edges)], ["part", "hash", "other", "key", "at"])
 
 
-def _chunked(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def _chunked(rows: Iterator[tuple], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
-    for n, *part in parts:
-        held.append(part)
+    join = lambda held: (None if x[0] is None else np.concatenate(x) for x in zip(*held, strict=True))
+    for n, *row in rows:
+        held.append(row)
         size += n
         if size >= CHUNK_BYTES:
-            yield from _places(*map(np.concatenate, zip(*held, strict=True)))
+            yield from _places(parts, *join(held))
             held, size = [], 0
     if held:
-        yield from _places(*map(np.concatenate, zip(*held, strict=True)))
+        yield from _places(parts, *join(held))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
+def _anchors(batches: Iterator[pa.RecordBatch], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows():
         for batch in T.slices(batches):
             words = T.split_words(batch.column("text"))
             starts, n = T.window_starts(words, ANCHOR)
@@ -83,40 +138,89 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = _IN_COVER[at % PERIOD] & long
             keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), n)
             hashes = T.Windows(words.hashes())(starts[take], ANCHOR)
-            yield len(words.data), hashes, np.zeros_like(hashes), keys[take], at[take]
+            yield len(words.data), hashes, None, keys[take], at[take]
+
+    yield from _chunked(rows(), parts)
 
-    yield from _chunked(parts())
+
+def _dealt(parts: np.ndarray, keys: list[np.ndarray], ats: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND: a row for each part of the documents, with arrays."""
+    key, at = np.concatenate(keys), np.concatenate(ats)
+    if not len(key):
+        return
+    h = T.mix(key.view(T.U64))
+    order = np.argsort(h)
+    part = _part(h[order], parts)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+    yield pa.RecordBatch.from_arrays([pa.array(parts[part[edges[:-1]]]), _packed(key[order], edges), _packed(at[order], edges)], ["part", "key", "at"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of FOUND, of each document all: rows of REPEATED, one for each document."""
+    keys, ats = [], []
+    for batch in batches:
+        keys += [np.frombuffer(x, np.int64) for x in batch.column("key").to_pylist()]
+        ats += [np.frombuffer(x, np.int32) for x in batch.column("at").to_pylist()]
+    if not keys:
+        return
+    key, at = np.concatenate(keys), np.concatenate(ats)
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lists = T.ragged(pa.array(at), np.diff(np.append(first, len(key))))
+    yield from pa.Table.from_arrays([pa.array(key[first]), lists], ["key", "ats"]).to_batches(20_000)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From places sorted by hash, nulls first: the places whose hash has another row, or that have a twin in their own chunk."""
-    last: tuple | None = None  # the row before this batch: hash, other, key, at, told
+def _repeated(batches: Iterator[pa.RecordBatch], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """From rows of PLACES sorted by part, of each part all: the places whose hash has another one, or that have a twin in their own chunk."""
+    held: list[tuple] = []
+    last, keys, ats, size = None, [], [], 0
+    array = lambda column, kind: np.frombuffer(b"".join(column), kind)
+
+    def flush() -> None:
+        """The repeated places of the part that is held."""
+        nonlocal size
+        if not held:
+            return
+        hash_, other, key, at = zip(*held, strict=True)
+        held.clear()
+        h, o = array(hash_, T.U64), None if other[0] is None else array(other, T.U64)
+        order = _order(h, o)
+        new = _new(h[order], None if o is None else o[order])
+        at = array(at, np.int32)[order]
+        out = ~new | (at < 0)
+        out[:-1] |= ~new[1:]
+        keys.append(array(key, np.int64)[order][out])
+        ats.append(np.where(at < 0, ~at, at)[out])
+        size += len(keys[-1])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        hash_, other, key, at, again = batch.columns
-        known = hash_.is_null().to_numpy(zero_copy_only=False)
-        h, o = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (hash_, other))
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (o[1:] == o[:-1]) & ~known[1:] & ~known[:-1]
-        out = same | known | again.to_numpy(zero_copy_only=False)
-        out[:-1] |= same[1:]
-        if last is not None and not known[0] and last[:2] == (h[0], o[0]):
-            out[0] = True
-            if not last[4]:
-                yield pa.RecordBatch.from_arrays([pa.array([last[2]], pa.int64()), pa.array([last[3]], pa.int32())], ["key", "at"])
-        mask = pa.array(out)
-        yield pa.RecordBatch.from_arrays([key.filter(mask), at.filter(mask)], ["key", "at"])
-        last = None if known[-1] else (h[-1], o[-1], key[-1].as_py(), at[-1].as_py(), bool(out[-1]))
-
-
-def repeated_places(places: DataFrame) -> DataFrame:
-    """(key, at) of the places whose hash occurs at another place too."""
-    return map_arrow(places.repartition("hash", F.when(F.col("hash").isNull(), F.col("key"))).sortWithinPartitions("hash", "other"), _repeated, "key long, at int")
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
+        for part, hash_, other, key, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last:
+                flush()
+                last = part
+            if hash_ is None:
+                keys.append(np.frombuffer(key, np.int64))
+                ats.append(np.frombuffer(at, np.int32))
+                size += len(keys[-1])
+            else:
+                held.append((hash_, other, key, at))
+            if size >= DEALT:
+                yield from _dealt(parts, keys, ats)
+                keys, ats, size = [], [], 0
+    flush()
+    if keys:
+        yield from _dealt(parts, keys, ats)
+
+
+def repeated_places(places: DataFrame, parts: np.ndarray) -> DataFrame:
+    """(key, ats) of the places whose hash occurs at another place too, a row for each document that has any."""
+    found = map_arrow(places.repartition("part").sortWithinPartitions("part"), partial(_repeated, parts=parts), FOUND)
+    return map_arrow(found.repartition("part"), _by_document, REPEATED)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows():
         for batch in T.slices(batches):
             words = T.split_words(batch.column("text"))
             lists = batch.column("ats")
@@ -136,7 +240,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lanes = words.digests()
             yield len(words.data), *(T.Windows(lanes[k], k)(starts, LENGTH) for k in (0, 1)), keys, starts - words.first[of]
 
-    yield from _chunked(parts())
+    yield from _chunked(rows(), parts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +277,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words left, joined by one space), kept_sha256."""
     texts = with_row_keys(documents).select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
-    anchors = repeated_places(map_arrow(texts.select("key", "text"), _anchors, PLACES))
-    anchors = materialize(anchors.groupBy("key").agg(F.collect_list("at").alias("ats")), "anchors")
-    windows = repeated_places(map_arrow(_joined(texts.select("key", "text"), anchors), _windows, PLACES))
-    windows = materialize(windows.groupBy("key").agg(F.collect_list("at").alias("ats")), "windows")
+    parts = part_numbers(documents.sparkSession)
+    anchors = map_arrow(texts.select("key", "text"), partial(_anchors, parts=parts), PLACES)
+    anchors = materialize(repeated_places(anchors, parts), "anchors")
+    windows = map_arrow(_joined(texts.select("key", "text"), anchors), partial(_windows, parts=parts), PLACES)
+    windows = materialize(repeated_places(windows, parts), "windows")
     n = windows.count()
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     if n > BROADCAST_IDS:
