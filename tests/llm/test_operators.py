@@ -241,6 +241,12 @@ def test_places_travel_as_arrays():
         assert sorted(got) == sorted(p for p, x in zip(places, names, strict=True) if count[x] > 1)
 
 
+def test_repeats_of_one_large_hash():
+    high = np.full(3, 2**64 - 1, np.uint64)
+    rows = list(substring_dedup._places(np.arange(16, dtype=np.int32), high, None, np.arange(3), np.arange(3)))
+    assert sum(b.num_rows for b in rows) == 2
+
+
 # ---- quality rules and lines ----------------------------------------------------------------------
 
 

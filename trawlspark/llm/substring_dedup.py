@@ -109,7 +109,7 @@ def _places(parts: np.ndarray, hashes: np.ndarray, others: np.ndarray | None, ke
     if not head.all():
         key, at = key[~head], at[~head]
         edges = np.append(np.arange(0, len(key), 1 << 14), len(key))
-        some = parts[(int(h[0]) + np.arange(len(edges) - 1)) % len(parts)]
+        some = parts[(int(h[0]) % len(parts) + np.arange(len(edges) - 1)) % len(parts)]
         none = pa.nulls(len(some), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(some), none, none, _packed(key, edges), _packed(at, edges)], ["part", "hash", "other", "key", "at"])
 
