@@ -1,4 +1,4 @@
-"""The bounded sample of labelled texts that the classifiers learn from."""
+"""The labelled rows that classifiers learn from, and a bounded sample of their texts."""
 
 from __future__ import annotations
 
@@ -19,13 +19,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
+def labelled_rows(labels: DataFrame, label: Column) -> DataFrame:
+    """doc_id and its greatest label y, without the held-out fold and without nulls."""
+    return labels.select("doc_id", label.cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: Column, per_class: int, classes: int, *more: str) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
     """Texts (doc_id, text and the columns of more), labels and weights of at most per_class rows of each class, in the order of a keyed hash of doc_id.
 
     The held-out fold takes no part; rows with a null label or doc_id neither; of several labels of one doc_id the greatest counts, and of its
     texts one. The weights give each class its share of all labelled rows.
     """
-    rows = labels.select("doc_id", label.cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = labelled_rows(labels, label)
     total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect() if 0 <= r["y"] < classes}  # a row for each class
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     texts = with_texts(documents, *more).filter(F.length("text") <= SAMPLE_CHARS)
