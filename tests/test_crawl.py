@@ -177,6 +177,72 @@ def test_one_record_for_each_url(spark):
     assert [(r["url"], r["title"], r["depth"]) for r in t["pages"].collect()] == [("https://a.com/", "near", 1)] and t["issues"].count() == 0
 
 
+def wide(delay=""):
+    def factory():
+        """A home page that links to 90 others, of which one is forbidden; /p/5 shows two images."""
+
+        def transport(method, url):
+            path = "/" + url.split("://", 1)[1].partition("/")[2]
+            if path == "/robots.txt":
+                return http.Response(200, {}, f"User-agent: *\n{delay}\nDisallow: /p/7$".encode())
+            body = "".join(f'<a href="/p/{k}">{k}</a>' for k in range(90)) if path == "/" else '<img src="/i/1.png"><img src="/i/2.png">' if path == "/p/5" else f"page {path}"
+            return http.Response(200, {"content-type": "text/html"}, f"<html><body>{body}</body></html>".encode())
+
+        return transport
+
+    return factory
+
+
+def test_a_large_host_is_asked_and_parsed_by_several_tasks(spark, monkeypatch):
+    cut, tasks = crawl.store.cut, []
+
+    def watched(df, *more):
+        out = cut(df, *more)
+        if "chain" in df.columns or "body_hash" in df.columns and "id" not in df.columns:
+            tasks.append(("fetched" if "chain" in df.columns else "parsed", out.count(), out.select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count()))
+        return out
+
+    monkeypatch.setattr(crawl.store, "cut", watched)
+    monkeypatch.setattr(http, "SHARE_URLS", 20, raising=False)
+    monkeypatch.setattr(crawl, "FILE_ROWS", 8, raising=False)
+    life = crawl.Lifecycle()
+    t = crawl.run_crawl(spark, "https://w.invalid/", wide(), life)
+    assert tasks[2][2] == 4 and tasks[3][2] > 1
+    assert [x[:2] for x in tasks] == [("fetched", 2), ("parsed", 1), ("fetched", 90), ("parsed", 89)]  # the first level's robots file is a row
+    u = "https://w.invalid"
+    assert rows(t["pages"], "url", "depth", "status") == {(f"{u}/", 0, 200)} | {(f"{u}/p/{k}", 1, 200) for k in range(90) if k != 7}
+    assert rows(t["crawl_failures"], "url", "reason") == {(f"{u}/p/7", f"robots.txt disallows {u}/p/7")} and rows(t["robots_files"], "origin", "status") == {(u, 200)}
+    assert rows(t["resources"], "url") == {(f"{u}/i/1.png",), (f"{u}/i/2.png",)} and (life.written, life.failed, life.by_class[2]) == (90, 1, 90)
+
+
+def test_hosts_are_shared_within_their_limits(spark, monkeypatch):
+    monkeypatch.setattr(http, "SHARE_URLS", 20)
+    asked = []
+
+    def cache(delay="", config=http.FetchConfig()):
+        ask = wide(delay)()
+        return http.RobotsCache(lambda m, u: asked.append(u) or ask(m, u), config)
+
+    urls = lambda *hosts: spark.createDataFrame([(f"https://{h}.invalid/p/{k}", 1) for h, n in hosts for k in range(n)], "url string, depth int")
+    one, known = urls(("w", 90), ("x", 3)), cache()
+    shared, n = http.shares(one, known)
+    assert {h: s.widths for h, s in shared.items()} == {"w.invalid:443": (1, 1, 1, 1)} and n == min(5, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert http.shares(one, known)[0] == shared and asked == ["https://w.invalid/robots.txt"]
+    assert http.shares(one, cache(config=http.FetchConfig(per_host=3)))[0]["w.invalid:443"].widths == (1, 1, 1)
+    assert {s.widths for s in http.shares(urls(("w", 90), ("x", 30)), cache(config=http.FetchConfig(per_host=5)))[0].values()} == {(3, 2)}
+    # A pace is one task's to keep; a file that can't be read forbids all; with large hosts for all cores there is nothing to divide.
+    for c, u in ((cache("Crawl-delay: 2"), one), (cache(config=http.FetchConfig(delay=0.1)), one), (cache(config=http.FetchConfig(per_host=1)), one), (cache("#" * 70_000), one), (cache(), urls(*((f"h{k}", 21) for k in range(5)))), (cache(), urls(("w", 20)))):
+        assert http.shares(u, c) == ({}, None)
+    assert http.shares(one, http.RobotsCache(lambda m, u: http.Response(500))) == ({}, None)
+    got = http.fetch_all(one, wide(), partitions=n, shared=shared).withColumn("p", F.spark_partition_id())
+    pages = got.filter("kind = 'page'")
+    assert rows(pages, "url", "depth") == rows(one, "url", "depth") and pages.count() == 93 and pages.filter("outcome <> 'landed'").count() == 1
+    assert pages.filter("url like '%w.inv%'").select("p").distinct().count() == 4 and pages.filter("url like '%x.inv%'").select("p").distinct().count() == 1
+    assert rows(got.filter("kind = 'robots'"), "url") == {("https://x.invalid",)}
+    heads = http.head_all(one.select("url"), wide(), partitions=n, shared=shared).withColumn("p", F.spark_partition_id())
+    assert heads.count() == 92 and heads.filter("url like '%w.inv%'").select("p").distinct().count() == 4
+
+
 def test_difficult_answers(spark):
     waits = []
     ask = graph.difficult_site(waits.append)

@@ -134,6 +134,8 @@ class Lifecycle:
 
 #: URLs of one round, at most: bounds what a stopped driver loses.
 ROUND = 1_000_000
+#: Answers in one file, at most: a host's answers come from few tasks, and its pages are parsed by as many as there are files.
+FILE_ROWS = 1024
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -155,6 +157,7 @@ def run_crawl(
         pending = store.cut(first if pending is None else pending)
         known = store.cut(merge_frontier(seen, pending) if seen is not None else pending)
         records, answers, robots = [], [], []
+        cache = http.RobotsCache(transport_factory(), config)  # of hosts that several tasks ask
         while True:
             due = pending if life.max_depth is None else pending.filter(c("depth") <= life.max_depth)
             waiting = due.count()
@@ -165,7 +168,8 @@ def run_crawl(
             if not allowed:
                 break
             taken = due if allowed == waiting else store.cut(due.orderBy("depth", "url").limit(allowed))
-            got = store.cut(http.fetch_all(taken, transport_factory, config))
+            shared, partitions = http.shares(taken, cache) if allowed > http.SHARE_URLS else (None, None)
+            got = store.cut(http.fetch_all(taken, transport_factory, config, partitions, shared), FILE_ROWS)
             pages = got.filter("kind = 'page'").drop("kind", "body")
             robots.append(got.filter("kind = 'robots'").select(c("url").alias("origin"), "status", "body"))
             answers.append(pages)
@@ -173,10 +177,10 @@ def run_crawl(
             part = store.cut(extract_records(landed))
             records.append(part)
             life.parts.append(part)
-            for r in part.groupBy("status").count().collect():  # one row for each status
+            outcomes = part.select("status", F.lit(True).alias("landed")).unionByName(pages.filter("outcome <> 'landed'").select(F.lit(None).cast("int").alias("status"), F.lit(False).alias("landed")))
+            for r in outcomes.groupBy("landed", "status").count().collect():  # one row for each status
                 life.record(r["status"], r["count"])
-                life.written += r["count"]
-            life.record(None, pages.filter("outcome <> 'landed'").count())
+                life.written += r["count"] * r["landed"]
             links = part.select("depth", F.explode("links").alias("l")).select(c("l.target").alias("url"), (c("depth") + 1).alias("depth"), "l.nofollow").filter("url is not null")
             found = links.filter(follows(c("url"), F.lit(start), c("nofollow"), subdomains)).groupBy("url").agg(F.min("depth").alias("depth"))
             new = store.cut(found.join(known, "url", "left_anti"))
@@ -189,11 +193,13 @@ def run_crawl(
         if every is None:
             every = extract_records(spark.createDataFrame([], "url string, html string"))
             pages = spark.createDataFrame([], http.ANSWERS).drop("kind", "body")
+        if cache.rows:
+            robots.append(spark.createDataFrame([(x["origin"], x["status"], x["body"]) for x in cache.rows], "origin string, status int, body string"))
         files, listed = _sitemaps(spark, start, transport_factory, config)
         tables = R.crawl_tables_of(
             every, crawl_failures=R.failure_rows(pages), crawl_redirects=R.redirect_rows(pages), frontier=known, sitemaps=files, sitemap_urls=listed,
             robots_files=_union(robots).dropDuplicates(["origin"]) if robots else spark.createDataFrame([], "origin string, status int, body string"),
-            resources=store.cut(http.head_all(R.image_urls(every), transport_factory, config)) if check_images else spark.createDataFrame([], "url string, status int, content_length long, content_type string"),
+            resources=store.cut(image_heads(R.image_urls(every), transport_factory, cache)) if check_images else spark.createDataFrame([], "url string, status int, content_length long, content_type string"),
             crawl=spark.createDataFrame([(start, life.max_depth, life.max_urls, None if life.max_seconds is None else int(life.max_seconds * 1e9), life.status == COMPLETED)], "seed_url string, max_depth int, max_urls long, max_duration_ns long, analysed boolean"),
         )
         if before is not None:
@@ -208,6 +214,13 @@ def run_crawl(
         raise
 
 
+def image_heads(urls: DataFrame, transport_factory: Callable[[], http.Transport], cache: http.RobotsCache) -> DataFrame:
+    """The image pass: urls (url) are written first, as they are counted by host and then asked for."""
+    urls = store.cut(urls)
+    shared, partitions = http.shares(urls, cache)
+    return http.head_all(urls, transport_factory, cache.config, partitions, shared)
+
+
 def _joined(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables of a stopped crawl and of what went on from it. Ids of the old part stay, those of the new one follow after them."""
     last = old["pages"].agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("n")).first()["n"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..crawl import Lifecycle, run_crawl
+from ..crawl import Lifecycle, image_heads, run_crawl
 from ..functions.columns import json_or_null, path_of, thousands
 from ..functions.sql import register_functions
 from ..operators import audit as A
@@ -223,7 +223,7 @@ def image_pass(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct image of the pages is asked for once."""
     t = crawl_tables(spark, d)
     shown = t["page_detail"].join(t["pages"].select(c("id").alias("page_id"), "url"), "page_id").select("url", "images")
-    return http.head_all(R.image_urls(shown), _image_transport)
+    return image_heads(R.image_urls(shown), _image_transport, http.RobotsCache(_image_transport()))
 
 
 class SiteTransport:

@@ -1,7 +1,7 @@
 """Fetching with an injected transport: robots gate, redirects, retries, and one host at a time for each task.
 
 ``transport(method, url) -> Response`` does the network's part; Spark deals the URLs by host, so that a host's requests are one
-task's and its pace can be kept.
+task's and its pace can be kept. A host without a pace that has very many URLs is dealt over several tasks (see shares).
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import robots
@@ -28,6 +29,8 @@ RETRIED = (429, 502, 503, 504)
 MAX_REDIRECTS, MAX_BODY, ATTEMPTS = 10, 8 << 20, 3
 ROBOTS_REDIRECTS = 5
 FIRST_WAIT, LONGEST_WAIT, LONGEST_RETRY_AFTER = 0.5, 30.0, 60.0
+#: A host with more URLs than SHARE_URLS may be dealt over several tasks, which are told its robots.txt; one of more than SHARE_ROBOTS characters is not sent.
+SHARE_URLS, SHARE_ROBOTS = 2000, 1 << 16
 
 
 @dataclass
@@ -210,6 +213,11 @@ class RobotsCache:
                     self.rows.append({"origin": origin, "status": chain.response.status, "body": text if 200 <= chain.response.status < 300 else None})
             return self.rules[origin]
 
+    def learn(self, shared: dict[str, Share]) -> None:
+        """The robots files of shared hosts, which were fetched before."""
+        for s in shared.values():
+            self.rules[s.origin] = robots.from_response(s.status, s.body, self.config.agent)
+
     def refused(self, url: str) -> str | None:
         """Why a URL may not be fetched, or None."""
         origin = origin_of(url)
@@ -229,22 +237,95 @@ SCHEMA = pa.schema([
 AT_ONCE = 32
 
 
-def _by_host(urls: DataFrame, partitions: int | None) -> DataFrame:
-    dealt = urls.withColumn("host", F.concat(host(F.col("url")), F.lit(":"), port(F.col("url")).cast("string")))
-    return (dealt.repartition(partitions, "host") if partitions else dealt.repartition("host")).sortWithinPartitions("host")
+@dataclass(frozen=True)
+class Share:
+    """A host that several tasks ask: its origin's robots.txt, and how many requests each of the tasks may have under way."""
+
+    origin: str
+    status: int
+    body: str | None
+    widths: tuple[int, ...]
+
+
+def _key() -> Column:
+    return F.concat(host(F.col("url")), F.lit(":"), port(F.col("url")).cast("string"))
 
 
-def fetch_all(urls: DataFrame, transport_factory: Callable[[], Transport], config: FetchConfig = FetchConfig(), partitions: int | None = None) -> DataFrame:
+def shares(urls: DataFrame, cache: RobotsCache) -> tuple[dict[str, Share], int | None]:
+    """The hosts of urls (url) to deal over several tasks, and over how many partitions all are dealt: those with more than SHARE_URLS URLs
+    and without a pace, which only one task could keep.
+
+    per_host requests of a host are under way as ever: its tasks divide them. There are as many tasks as cores are left for it. cache fetches
+    the robots files, on the driver and once; none is asked for where all cores have a large host of their own.
+    """
+    config, spark, out = cache.config, urls.sparkSession, {}
+    cores = spark.sparkContext.defaultParallelism
+    counted = urls.groupBy(_key().alias("host")).agg(F.count("*").alias("n"), F.min("url").alias("first"), F.max("url").alias("last"))
+    large = F.collect_list(F.when(F.col("n") > SHARE_URLS, F.struct("host", "first", "last")))
+    hosts, large = counted.agg(F.count("*"), large).first()
+    tasks = min(config.per_host, cores // max(1, len(large)))
+    for r in large if tasks > 1 and config.delay <= 0 else []:
+        origin = origin_of(r["first"])
+        if origin_of(r["last"]) != origin or cache.get(origin).crawl_delay or origin in cache.reasons:
+            continue
+        robot = next(x for x in cache.rows if x["origin"] == origin)
+        if len(robot["body"] or "") <= SHARE_ROBOTS:
+            out[r["host"]] = Share(origin, robot["status"], robot["body"], tuple(config.per_host // tasks + (k < config.per_host % tasks) for k in range(tasks)))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return out, max(len(out) * tasks, min(most, len(out) * tasks + hosts - len(out))) if out else None
+
+
+def _by_host(urls: DataFrame, partitions: int | None, shared: dict[str, Share]) -> DataFrame:
+    """urls with host and share, the number of the task within those of its host."""
+    dealt = urls.withColumn("host", _key()).withColumn("share", F.lit(0))
+    if not shared:
+        return (dealt.repartition(partitions, "host") if partitions else dealt.repartition("host")).sortWithinPartitions("host")
+    n = max(partitions or 1, sum(len(s.widths) for s in shared.values()))
+    share, place, start = F.lit(0), F.pmod(F.xxhash64("host"), F.lit(n)).cast("int"), 0
+    for name, s in shared.items():  # a partition for each of its tasks, none of which another shared host has
+        share = F.when(F.col("host") == name, F.pmod(F.xxhash64("url"), F.lit(len(s.widths))).cast("int")).otherwise(share)
+        place = F.when(F.col("host") == name, F.lit(start) + F.col("share")).otherwise(place)
+        start += len(s.widths)
+    return dealt.withColumn("share", share).repartitionById(n, place).sortWithinPartitions("host")
+
+
+class _Pools:
+    """Threads for as many requests as may be under way: per_host, or what a shared host's task has of them."""
+
+    def __init__(self, config: FetchConfig, shared: dict[str, Share]):
+        self.config, self.shared, self.pools = config, shared, {}
+
+    def __enter__(self) -> _Pools:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for p in self.pools.values():
+            p.shutdown()
+
+    def map(self, function: Callable[[dict], object], rows: list[dict]) -> Iterator:
+        """What function gives for each row; other hosts are waited for before and after a shared one."""
+        for (name, k), part in groupby(rows, lambda r: (r["host"] if r["host"] in self.shared else None, r["share"])):
+            n = self.config.per_host if name is None else self.shared[name].widths[k]
+            if n == 1:
+                yield from map(function, part)
+            else:
+                yield from self.pools.setdefault(n, ThreadPoolExecutor(n)).map(function, list(part))
+
+
+def fetch_all(urls: DataFrame, transport_factory: Callable[[], Transport], config: FetchConfig = FetchConfig(), partitions: int | None = None, shared: dict[str, Share] | None = None) -> DataFrame:
     """urls (url, depth) -> rows of ANSWERS: a "page" for each URL (outcome "landed", or why there is none) and the "robots" files on the way.
 
     A host's URLs are one task's: its robots.txt is fetched once, its pace is kept, and at most per_host requests are under way. A host
-    with very many URLs takes as long as its pace asks for, which no division would shorten.
+    with very many URLs takes as long as its pace asks for, which no division would shorten; where it asks for none, shared (see shares) divides
+    the host's URLs and its requests between tasks. Their robots files are not among the rows.
     """
-    dealt = _by_host(urls.select("url", F.col("depth").cast("int").alias("depth")), partitions)
+    shared = shared or {}
+    dealt = _by_host(urls.select("url", F.col("depth").cast("int").alias("depth")), partitions, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transport = transport_factory()
         cache, paces, told = RobotsCache(transport, config), {}, 0
+        cache.learn(shared)
 
         def one(row: dict) -> dict:
             begun = time.monotonic()
@@ -257,7 +338,7 @@ def fetch_all(urls: DataFrame, transport_factory: Callable[[], Transport], confi
                 record |= {"status": r.status, "final_url": chain.final, "html": body.decode("utf-8", "replace"), "content_type": r.headers.get("content-type"), "truncated": len(r.body) > config.max_body}
             return record
 
-        with ThreadPoolExecutor(config.per_host) as pool:
+        with _Pools(config, shared) as pools:
             for batch in batches:
                 rows = batch.to_pylist()
                 for k in range(0, len(rows), AT_ONCE):
@@ -266,7 +347,7 @@ def fetch_all(urls: DataFrame, transport_factory: Callable[[], Transport], confi
                         if row["host"] not in paces:
                             rules = cache.get(origin_of(row["url"]))
                             paces = {row["host"]: Pace(max(config.delay, rules.crawl_delay or 0))} | paces
-                    out = list(pool.map(one, part))
+                    out = list(pools.map(one, part))
                     files = [dict.fromkeys(SCHEMA.names) | {"kind": "robots", "url": x["origin"], "status": x["status"], "body": x["body"]} for x in cache.rows[told:]]
                     told = len(cache.rows)
                     yield pa.RecordBatch.from_pylist(out + files, SCHEMA)
@@ -274,25 +355,27 @@ def fetch_all(urls: DataFrame, transport_factory: Callable[[], Transport], confi
     return map_arrow(dealt, run, ANSWERS)
 
 
-def head_all(urls: DataFrame, transport_factory: Callable[[], Transport], config: FetchConfig = FetchConfig(), partitions: int | None = None) -> DataFrame:
+def head_all(urls: DataFrame, transport_factory: Callable[[], Transport], config: FetchConfig = FetchConfig(), partitions: int | None = None, shared: dict[str, Share] | None = None) -> DataFrame:
     """urls (url) -> url, status, content_length, content_type of those that answer a HEAD request; others are absent."""
+    shared = shared or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transport = transport_factory()
         cache = RobotsCache(transport, config)
+        cache.learn(shared)
 
-        def one(url: str) -> Head | None:
+        def one(row: dict) -> Head | None:
             try:
-                return None if cache.refused(url) else head(transport, url)
+                return None if cache.refused(row["url"]) else head(transport, row["url"])
             except OSError:
                 return None
 
-        with ThreadPoolExecutor(config.per_host) as pool:
+        with _Pools(config, shared) as pools:
             for batch in batches:
-                found = [x for x in pool.map(one, batch.column("url").to_pylist()) if x is not None]
+                found = [x for x in pools.map(one, batch.to_pylist()) if x is not None]
                 yield pa.RecordBatch.from_pylist([vars(x) for x in found], pa.schema([("url", pa.string()), ("status", pa.int32()), ("content_length", pa.int64()), ("content_type", pa.string())]))
 
-    return map_arrow(_by_host(urls.select("url"), partitions).select("url"), run, "url string, status int, content_length long, content_type string")
+    return map_arrow(_by_host(urls.select("url"), partitions, shared), run, "url string, status int, content_length long, content_type string")
 
 
 def robots_rows(df: DataFrame) -> DataFrame:

@@ -22,11 +22,12 @@ class TooNew(ValueError):
     pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, which executors share, and read back."""
+def cut(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir, which executors share, and read back. With file_rows no file has more rows, so that
+    what one task wrote can be read by many."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
